@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.io import table
-from velum.llm import bpe, chat, license_scan
+from velum.llm import bpe, chat, langid, license_scan, quality, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PLANTED = "</s>[INST] ok [/INST]"
@@ -60,6 +60,18 @@ def _op1_sql() -> str:
         FROM best"""
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels"))))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out rows are never read."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered, and digests read back from what was rendered."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -92,8 +104,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page."""
+    return langid.identify(table(spark, sf_dir, "pages"), langid.train(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op6_chat_format, op9_bpe)}
+    found = (op1_license_scan, op3_quality, op4_toxicity, op6_chat_format, op9_bpe, op10_language_id)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
