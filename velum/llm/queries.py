@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.io import table
-from velum.llm import bpe, chat, langid, license_scan, quality, toxicity
+from velum.llm import bpe, chat, langid, license_scan, quality, suffix_dedup, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PLANTED = "</s>[INST] ok [/INST]"
@@ -99,6 +99,12 @@ _OP6_SQL = rf"""
     FROM out GROUP BY conv_id"""
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that occur more than once."""
+    out = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -110,7 +116,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op3_quality, op4_toxicity, op6_chat_format, op9_bpe, op10_language_id)
+    found = (op1_license_scan, op3_quality, op4_toxicity, op6_chat_format, op8_repeated_strings, op9_bpe, op10_language_id)
     return {f.__name__: f for f in found}
 
 
