@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.io import table
-from velum.llm import bpe, chat, langid, license_scan, quality, suffix_dedup, toxicity
+from velum.llm import bpe, chat, jaccard, langid, license_scan, quality, suffix_dedup, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PLANTED = "</s>[INST] ok [/INST]"
@@ -72,6 +72,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered, and digests read back from what was rendered."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -116,7 +121,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op3_quality, op4_toxicity, op6_chat_format, op8_repeated_strings, op9_bpe, op10_language_id)
+    found = (op1_license_scan, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op8_repeated_strings, op9_bpe, op10_language_id)
     return {f.__name__: f for f in found}
 
 
