@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.io import table
-from velum.llm import bpe, chat, jaccard, langid, license_scan, quality, suffix_dedup, toxicity
+from velum.llm import bpe, chat, decontaminate, jaccard, langid, license_scan, quality, suffix_dedup, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PLANTED = "</s>[INST] ok [/INST]"
@@ -104,6 +104,11 @@ _OP6_SQL = rf"""
     FROM out GROUP BY conv_id"""
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 400-byte strings that occur more than once."""
     out = suffix_dedup.remove(table(spark, sf_dir, "documents"))
@@ -121,7 +126,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op8_repeated_strings, op9_bpe, op10_language_id)
+    found = (op1_license_scan, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op7_decontaminate, op8_repeated_strings, op9_bpe, op10_language_id)
     return {f.__name__: f for f in found}
 
 
