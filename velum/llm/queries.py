@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.io import table
-from velum.llm import bpe, chat, decontaminate, jaccard, langid, license_scan, quality, suffix_dedup, toxicity
+from velum.llm import bpe, chat, decontaminate, jaccard, langid, lattice, license_scan, quality, suffix_dedup, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PLANTED = "</s>[INST] ok [/INST]"
@@ -60,6 +60,11 @@ def _op1_sql() -> str:
         FROM best"""
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return lattice.join(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probability and verdict of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -126,7 +131,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op7_decontaminate, op8_repeated_strings, op9_bpe, op10_language_id)
+    found = (op1_license_scan, op2_embedding_dedup, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op7_decontaminate, op8_repeated_strings, op9_bpe, op10_language_id)
     return {f.__name__: f for f in found}
 
 
