@@ -1,2 +1,66 @@
-STAGES = []
+"""Five stages from raw documents to tokens; each stage works on all that the one before kept.
+
+quality classifier -> n-gram Jaccard join -> suffix-array dedup -> benchmark decontamination -> BPE.
+All stages but the last return the columns of `documents` (doc_id, text, lang, source, n_chars).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from velum.io import table
+from velum.llm import bpe, decontaminate, jaccard, quality, suffix_dedup
+from velum.llm.common import stored
+from velum.llm.queries import TOKENIZER
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of every class of near-duplicates the document with the smallest id; equal rows leave one."""
+    dropped = jaccard.join(docs).where("NOT kept").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated 400-byte strings out of texts (n_chars follows); documents that consist of them go."""
+    return suffix_dedup.cut_texts(docs, carry=("lang", "source")).where("n_removed = 0 OR n_chars > 0").select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark item occurs."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS[1:])
+    return found.where("NOT contaminated").select(*COLUMNS)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the texts that are left."""
+    return bpe.digests(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_strings", repeated_string_stage),
+    ("decontamination", decontamination_stage),
+    ("tokens", token_stage),
+]
+
+#: Classifier, joins on hashed sets and token merges have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what a stage returns is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -131,8 +131,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     found = (op1_license_scan, op2_embedding_dedup, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op7_decontaminate, op8_repeated_strings, op9_bpe, op10_language_id)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

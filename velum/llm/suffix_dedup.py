@@ -223,8 +223,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
     return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "starts")).alias("spans"))
 
 
-def packed_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(k1, k2, id, packed, size): whole texts as compressed bytes, which makes their shuffles small."""
+def packed_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(k1, k2, _id, packed, size, *carry): whole texts as compressed bytes, which makes their shuffles small."""
+    kept = ", ".join(["", *(f"`_c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))])
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +233,13 @@ def packed_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         for batch in batches:
             texts = batch.column(3).to_pylist()
             packed = [codec.compress(x, asbytes=True) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary()), pa.array([len(x) for x in texts], pa.int64())], names=["k1", "k2", "_id", "packed", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary()), pa.array([len(x) for x in texts], pa.int64()), *batch.columns[4:]], names=["k1", "k2", "_id", "packed", "size", *(f"_c{i}" for i in range(len(carry)))])
 
-    source = docs.select(F.xxhash64(id_col).alias("k1"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k2"), F.col(id_col).alias("_id"), utf8(text).alias("_text"))
-    return map_batches(source, pack, f"k1 long, k2 long, _id {kind}, packed binary, size long")
+    source = docs.select(
+        F.xxhash64(id_col).alias("k1"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k2"), F.col(id_col).alias("_id"), utf8(text).alias("_text"),
+        *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)),
+    )
+    return map_batches(source, pack, f"k1 long, k2 long, _id {kind}, packed binary, size long{kept}")
 
 
 def _unpacked(packed: bytes, size: int) -> bytes:
@@ -254,18 +258,12 @@ def removed(size: int, spans: list[tuple[int, int]], length: int) -> list[tuple[
     return [(a, b) for a, b in out]
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", most: int = MOST_RUNS) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary) for each row of `docs`.
-
-    Every byte covered by a string of `length` bytes that starts at another place too, in the same document or another,
-    is removed; strings are judged on the input. Null texts count as empty; texts shorter than `length` stay whole;
-    repeated rows (also with null or equal ids) are copies of each other like any other texts; extra columns are
-    dropped; an empty table gives an empty table. Texts cross two shuffles compressed, beside them only runs do.
-    """
-    gram = min(gram, length)
-    found = repeats(docs, length, gram, text, id_col, most)
-    joined = packed_texts(docs, text, id_col).join(found, ["k1", "k2"], "left").select("_id", "packed", "size", "spans")
+def _removed(docs: DataFrame, length: int, gram: int, text: str, id_col: str, most: int, carry: tuple[str, ...], as_text: bool) -> DataFrame:
+    found = repeats(docs, length, min(gram, length), text, id_col, most)
+    extra = [f"_c{i}" for i in range(len(carry))]
+    joined = packed_texts(docs, text, id_col, carry).join(found, ["k1", "k2"], "left").select("_id", "packed", "size", "spans", *extra)
     kind = docs.schema[id_col].dataType.simpleString()
+    out = (text, "string", pa.string()) if as_text else ("kept", "binary", pa.binary())
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,9 +272,31 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
                 whole = _unpacked(packed, size)
                 gone = removed(size, [(s["at"], s["starts"]) for s in spans or ()], length)
                 cuts = [0, *(x for span in gone for x in span), size]
-                rows.append((size, sum(b - a for a, b in gone), len(gone), b"".join(whole[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))))
+                pieces = [whole[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+                left = "".join(p.decode("utf-8", "ignore") for p in pieces) if as_text else b"".join(pieces)
+                rows.append((size, sum(b - a for a, b in gone), len(gone), left))
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int64()] * 3 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+            kinds = [pa.int64()] * 3 + [out[2]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[4:]], names=[id_col, "n_bytes", "n_removed", "n_spans", out[0], *carry])
+
+    kept = ", ".join(["", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    return map_batches(joined, drop, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, `{out[0]}` {out[1]}{kept}")
+
+
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", most: int = MOST_RUNS) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept binary) for each row of `docs`.
+
+    Every byte covered by a string of `length` bytes (2 at least) that starts at another place too, in the same document
+    or another, is removed; strings are judged on the input. Null texts count as empty; texts shorter than `length` stay
+    whole; repeated rows (also with null or equal ids) are copies of each other like any other texts; extra columns are
+    dropped; an empty table gives an empty table. Texts cross two shuffles compressed, beside them only runs do.
+    """
+    return _removed(docs, length, gram, text, id_col, most, (), False)
+
 
-    return map_batches(joined, drop, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+def cut_texts(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, text, *carry, n_chars): remove() with what is left as text.
+
+    A character of which only a part is removed goes as a whole. The same cases as in remove().
+    """
+    return _removed(docs, length, GRAM, "text", "doc_id", MOST_RUNS, carry, True).withColumn("n_chars", F.char_length("text").cast("long"))
