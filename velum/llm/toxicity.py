@@ -1,8 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A document is the bag of its words and of their character n-grams (with word boundaries), each hashed to one of
-2 ** BITS rows of an embedding table. The mean row goes through a linear two-class softmax. Table and softmax are fitted
-together, so a misspelling that was never seen is judged by the n-grams it shares with what was.
+2 ** BITS rows of an embedding table. The mean row, rare features weighing more, goes through a linear two-class softmax.
+Table and softmax are fitted together, so a misspelling that was never seen is judged by the n-grams it shares with what was.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from velum.llm.samples import bounded, train_side
 BITS, DIM, GRAMS = 18, 12, (3, 4, 5)
 #: Labelled documents that the model is fitted on at most.
 MOST_TRAIN = 6000
+#: Features in fewer training documents than this number and this share of them are left out.
+LEAST_DOCS, LEAST_SHARE = 3, 0.005
 THRESHOLD = 0.3
-_ONE = np.uint64(1)
+_ALL = (1 << 64) - 1
 
 
 def bag(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -37,12 +39,14 @@ def bag(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     padded[~inside] = 32
     so_far = np.concatenate([[0], np.cumsum(inside)])
     wide = padded.astype(np.uint64)
-    packed = wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)
-    for k in GRAMS:
-        if k > 3:
-            packed = packed[: len(wide) - k + 1] | wide[k - 1 :] << np.uint64(8 * (k - 1))
-        at = np.flatnonzero(so_far[k - 1 : len(wide)] - so_far[1 : len(wide) - k + 2] == k - 2) if len(wide) >= k else np.zeros(0, np.int64)
-        yield (mix(packed[at] | np.uint64(k << 56)) >> np.uint64(64 - BITS)).astype(np.int64), owner[at + 1]
+    packed = wide
+    for k in range(2, max(GRAMS) + 1):
+        if k > len(wide):
+            break
+        packed = packed[:-1] | wide[k - 1 :] << np.uint64(8 * (k - 1))
+        if k in GRAMS:
+            at = np.flatnonzero(so_far[k - 1 : len(wide)] - so_far[1 : len(wide) - k + 2] == k - 2)
+            yield (mix(packed[at] ^ np.uint64(k * 0x9E3779B97F4A7C15 & _ALL)) >> np.uint64(64 - BITS)).astype(np.int64), owner[at + 1]
     start, end, owner_of = words_of(raw, offsets)
     yield (span_hash(prefix_hash(raw), start, end) >> np.uint64(64 - BITS)).astype(np.int64), owner_of
 
@@ -56,7 +60,7 @@ def counted(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
     return [(key[a:b] & ((1 << BITS) - 1), count[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 0.3, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """(value of each bucket, bias): the log-odds of a document are the mean value of its bag plus the bias.
 
     The embedding table and the softmax are trained together by Adagrad, one document a step. Since the softmax is
@@ -69,7 +73,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate:
     bias = np.zeros(2, np.float32)
     table_sum, weight_sum = np.full(1 << BITS, 1e-8, np.float32), np.full((2, DIM), 1e-2, np.float32)
     held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), bool)
-    bags = [(i, (c / c.sum()).astype(np.float32) if len(c) else c.astype(np.float32), y) for i, c, y in rows]
+    spread = np.zeros(1 << BITS, np.int64)
+    for i, _, _ in rows:
+        spread[i] += 1
+    common = spread >= max(LEAST_DOCS, LEAST_SHARE * len(rows))
+    weight = np.where(common, np.log((1 + len(rows)) / (1 + spread)), 0).astype(np.float32)
+    bags = [(i, (c / max(1, c.sum()) * weight[i]).astype(np.float32), y) for i, c, y in rows]
+    bags = [(i[s > 0], s[s > 0], y) for i, s, y in bags]
     train = np.flatnonzero(~held)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -92,22 +102,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate:
     value = (table @ (weights[1] - weights[0])).astype(np.float64)
     some = np.flatnonzero(held) if held.any() else train
     raw = np.array([float(bags[j][1] @ value[bags[j][0]]) if len(bags[j][0]) else 0.0 for j in some])
-    return _calibrated(value, raw, np.array([bags[j][2] for j in some], float))
+    return _calibrated(value * weight, raw, np.array([bags[j][2] for j in some], float))
 
 
 def _calibrated(value: np.ndarray, raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Scale and bias of the log-odds by a logistic fit with a weak prior (Newton steps)."""
     if not len(raw) or y.min() == y.max():
         return value, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    spread = raw.std() or 1.0
-    x = np.stack([raw / spread, np.ones(len(raw))], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+    middle, spread = raw.mean(), raw.std() or 1.0
+    x = np.stack([(raw - middle) / spread, np.ones(len(raw))], 1)
+    w = np.array([1.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + np.array([0.02 * w[0], 0])
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.02, 1e-6])
-        w -= np.clip(np.linalg.solve(bend, slope), -2, 2)
-    return value * (w[0] / spread), float(w[1])
+        slope = x.T @ (p - y) + np.array([0.05 * w[0], 0])
+        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag([0.05, 1e-6])
+        w -= np.clip(np.linalg.solve(bend, slope), -0.5, 0.5)
+    scale = max(w[0], 0.05) / spread
+    return value * scale, float(w[1] - scale * middle)
 
 
 def scores(raw: np.ndarray, offsets: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
