@@ -46,7 +46,7 @@ def decayed(confidence: Column, accesses: Column, days: Column) -> Column:
 
 def decay(nodes: DataFrame, now: Column) -> DataFrame:
     """`nodes` (confidence, access_count, last_accessed_at, decay_score, ...) with new decay_score, flagged and newly."""
-    days = (F.unix_micros(now) - F.unix_micros("last_accessed_at")) / 86_400_000_000
+    days = (F.unix_micros(now) - F.unix_micros(F.col("last_accessed_at").cast("timestamp"))) / 86_400_000_000
     fresh = nodes.withColumn("_s", decayed(F.col("confidence"), F.col("access_count"), days))
     return fresh.withColumn("flagged", F.col("_s") < DECAY_FLAG).withColumn("newly", F.col("flagged") & ~(F.col("decay_score") < DECAY_FLAG)).withColumn("decay_score", F.col("_s")).drop("_s")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velum.plans import text_queries
+from velum.plans import table_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, table_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
