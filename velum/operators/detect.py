@@ -23,6 +23,9 @@ CAMEL = rf"{EDGE}[A-Z][a-z]{{2,}}[A-Z][a-zA-Z]+{EDGE}"
 # Technical terms that are no entities; more can be given.
 TECH_TERMS = ("JavaScript", "TypeScript", "PostgreSQL", "FileSystem", "FormData", "WebSocket", "DataFrame", "PySpark", "GraphQL", "AbortController", "TypeError", "ArrayBuffer")
 
+#: What a text must hold for a pattern to match at all, a plain string or a pattern that is quick to look for.
+NEEDS = {URL: "://", EMAIL: "@", DOMAIN: r"\.(?:com|io|ai|dev|app|net|org|co)", HANDLE: "@", PHONE: r"[0-9][0-9]{3}(?![A-Za-z_])", IPV4: r"[0-9]\.[0-9]", SECRET: r"[A-Za-z0-9+/]{20}", CAMEL: r"[a-z][A-Z]"}
+
 SPAN = "array<struct<start:int,text:string,kind:string>>"
 _MARK, _HIT = "\x01", "\x02"
 
@@ -40,7 +43,11 @@ def spans(text: Column, pattern: str, kind: str) -> Column:
         F.when(F.startswith(p, F.lit(_HIT)), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), F.substring(p, F.lit(2), F.char_length(p)).alias("text"), F.lit(kind).alias("kind")))).otherwise(acc["out"]).alias("out"),
     )
     found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(SPAN))
+    need = NEEDS.get(pattern)
+    if need is None:
+        return found
+    likely = F.contains(text, F.lit(need)) if need in ("@", "://") else text.rlike(need)
+    return F.when(likely, found).otherwise(F.array().cast(SPAN))
 
 
 def _free(found: Column, taken: Column) -> Column:
@@ -48,10 +55,14 @@ def _free(found: Column, taken: Column) -> Column:
     return F.filter(found, lambda s: ~F.exists(taken, lambda t: (s["start"] >= t["start"]) & (s["start"] < t["start"] + F.char_length(t["text"]))))
 
 
-def first_of_each(found: Column) -> Column:
-    """Trimmed spans of three bytes or more, the first of each text whatever its case."""
-    big = F.filter(found, lambda s: F.octet_length(F.trim(s["text"])) >= 3)
-    return F.filter(big, lambda s, i: ~F.exists(F.slice(big, F.lit(1), i), lambda t: F.lower(t["text"]) == F.lower(s["text"])))
+def first_of_each(df: DataFrame, found: str, out: str) -> DataFrame:
+    """`df` with `out`: trimmed spans of column `found` with three bytes or more, the first of each text whatever its case.
+
+    The steps are columns of their own, since what a lambda holds is evaluated again for each element.
+    """
+    df = df.withColumn("_big", F.filter(found, lambda s: F.octet_length(F.trim(s["text"])) >= 3))
+    df = df.withColumn("_keys", F.transform("_big", lambda s: F.lower(s["text"])))
+    return df.withColumn(out, F.filter("_big", lambda s, i: F.array_position("_keys", F.lower(s["text"])) == i + 1)).drop("_big", "_keys")
 
 
 def raw_spans(df: DataFrame, text: str = "text", terms: tuple[str, ...] = TECH_TERMS) -> DataFrame:
@@ -78,16 +89,19 @@ def camel_case(text: Column, terms: tuple[str, ...] = TECH_TERMS) -> Column:
 
 def entities(df: DataFrame, text: str = "text", terms: tuple[str, ...] = TECH_TERMS, custom: Column | None = None, allowed: tuple[str, ...] = ()) -> DataFrame:
     """`df` with `entities`: classes, then `custom` spans, then CamelCase; each text once, `allowed` words dropped."""
-    found = raw_spans(df, text, terms)
-    every = F.concat("found", *([custom] if custom is not None else []), camel_case(F.col(text), terms))
+    every = F.concat("found", *([custom] if custom is not None else []), "_camel")
+    found = raw_spans(df, text, terms).withColumn("_camel", camel_case(F.col(text), terms)).withColumn("_every", every)
+    out = first_of_each(found, "_every", "entities").drop("found", "_camel", "_every")
     drop = [a.lower() for a in allowed]
-    return found.withColumn("entities", F.filter(first_of_each(every), lambda s: ~F.lower(s["text"]).isin(*drop) if drop else F.lit(True))).drop("found")
+    return out.withColumn("entities", F.filter("entities", lambda s: ~F.lower(s["text"]).isin(*drop))) if drop else out
 
 
 def detections(df: DataFrame, id_cols: list[str], text: str = "text", **options) -> DataFrame:
     """(*id_cols, ord, start, text, kind): one row per detected entity, `ord` counting from 0 in a document."""
     found = entities(df.select(*id_cols, F.col(text).alias("_body")), "_body", **options)
-    return found.select(*id_cols, F.posexplode("entities").alias("ord", "e")).select(*id_cols, "ord", "e.start", "e.text", "e.kind")
+    # An outer explode: a plain one is guarded by a filter on the array, for which Spark would make the array twice.
+    rows = found.select(*id_cols, F.posexplode_outer("entities").alias("ord", "e")).where("ord IS NOT NULL")
+    return rows.select(*id_cols, "ord", "e.start", "e.text", "e.kind")
 
 
 def fact_terms(facts: DataFrame, terms: tuple[str, ...] = TECH_TERMS) -> DataFrame:

@@ -48,10 +48,30 @@ class Word:
         return re.match(r"\[[A-Z]+_", self.raw) is not None
 
 
-Rule = Callable[[list[Word], int, Lexicon], tuple[str, int, int] | None]
+class _Words:
+    """Words of a text, taken apart only when a rule looks at them; most never are."""
 
+    def __init__(self, raw: list[tuple[int, str]]):
+        self.raw, self.made = raw, {}
 
-def _honorific(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, i: int) -> Word:
+        if i not in self.made:
+            self.made[i] = Word(self.raw[i][1], self.raw[i][0])
+        return self.made[i]
+
+    def may_start(self, i: int) -> bool:
+        """A capital, or lower case behind an opening mark, or a form of address."""
+        word = self.raw[i][1]
+        return not word.islower() or word.strip(string.punctuation) in HONORIFICS
+
+
+Rule = Callable[[_Words, int, Lexicon], tuple[str, int, int] | None]
+
+
+def _honorific(words: _Words, i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
     """Up to three capitalised words behind a form of address."""
     if words[i].norm not in HONORIFICS:
         return None
@@ -61,7 +81,7 @@ def _honorific(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, i
     return ("PERSON", i + 1, i + 1 + n) if n else None
 
 
-def _person(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
+def _person(words: _Words, i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
     """A capitalised first name and a capitalised word behind it that is no suffix, term or place."""
     if not words[i].capital or words[i].norm not in lexicon.first_names:
         return None
@@ -71,13 +91,13 @@ def _person(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, int]
     return "PERSON", i, i + 1 + both
 
 
-def _two_word_place(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
+def _two_word_place(words: _Words, i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
     if i + 1 < len(words) and words[i].capital and words[i + 1].capital and f"{words[i].norm} {words[i + 1].norm}" in lexicon.places:
         return "PLACE", i, i + 2
     return None
 
 
-def _code_means_place(words: list[Word], i: int) -> bool:
+def _code_means_place(words: _Words, i: int) -> bool:
     """Whether an ambiguous code stands as a place: behind a word of direction or a comma, or before a verb."""
     if i and (words[i - 1].norm in TOWARDS or words[i - 1].raw.endswith(",")):
         return True
@@ -85,7 +105,7 @@ def _code_means_place(words: list[Word], i: int) -> bool:
     return not words[i].raw.endswith(",") and after is not None and not after.capital and after.norm in COPULAS
 
 
-def _place(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
+def _place(words: _Words, i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
     """One capitalised word; codes of three letters or fewer in capitals only; `X, ST` takes the code along."""
     w = words[i]
     if not w.capital or w.norm not in lexicon.places or (len(w.norm) <= 3 and w.surface != w.surface.upper()):
@@ -97,7 +117,7 @@ def _place(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, int]
     return "PLACE", i, i + 1 + state
 
 
-def _organisation(words: list[Word], i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
+def _organisation(words: _Words, i: int, lexicon: Lexicon) -> tuple[str, int, int] | None:
     if i + 1 < len(words) and words[i].capital and not words[i].placeholder and words[i + 1].norm in ORG_SUFFIXES and words[i + 1].capital:
         return "ORG", i, i + 2
     return None
@@ -108,10 +128,12 @@ RULES: tuple[Rule, ...] = (_honorific, _person, _two_word_place, _place, _organi
 
 def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, str, str]]:
     """(start, text, kind): from left to right the first rule that fits takes its words; each text once."""
-    words = [Word(m[0], m.start()) for m in re.finditer(r"\S+", text)]
+    words = _Words([(m.start(), m[0]) for m in re.finditer(r"\S+", text)])
     out, seen, i = [], set(), 0
     while i < len(words):
-        hit = None if words[i].placeholder else next((h for rule in RULES if (h := rule(words, i, lexicon))), None)
+        hit = None
+        if words.may_start(i) and not words[i].placeholder:
+            hit = next((h for rule in RULES if (h := rule(words, i, lexicon))), None)
         if hit is None:
             i += 1
             continue

@@ -46,21 +46,26 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def present(lowered: Column, held: Column) -> Column:
+    """Entries whose original the lower-cased text holds; cheap, and made before any pattern is built."""
+    return F.filter(held, lambda e: F.contains(lowered, F.lower(e["original"])))
+
+
 def mask(text: Column, held: Column) -> Column:
     """`text` with each original replaced by its token, whatever its case, where it stands as a word of its own.
 
     Longest originals go first. An original isn't touched behind a letter, digit or one of _ @ /, nor before a word
-    character. Entries that the text doesn't hold are left out before any pattern is built.
+    character. `held` should be present() entries only.
     """
-    here = F.filter(held, lambda e: F.contains(F.lower(text), F.lower(e["original"])))
-    return F.aggregate(here, text, lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_@/])"), _quoted(e["original"]), F.lit(r"(?!\w)")), e["token"]))
+    return F.aggregate(held, text, lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_@/])"), _quoted(e["original"]), F.lit(r"(?!\w)")), e["token"]))
 
 
 def mask_turns(turns: DataFrame, tokens: DataFrame, text: str = "text") -> DataFrame:
     """`turns` (session, turn, text, ...) with `masked`: only tokens known by their turn are used."""
     joined = turns.join(entries(tokens), "session", "left")
     usable = F.filter(F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>")), lambda e: e["first_turn"] <= F.col("turn"))
-    return joined.withColumn("_e", usable).withColumn("masked", mask(F.col(text), F.col("_e"))).drop("entries", "_e")
+    joined = joined.withColumns({"_e": usable, "_low": F.lower(text)}).withColumn("_e", present(F.col("_low"), F.col("_e")))
+    return joined.withColumn("masked", mask(F.col(text), F.col("_e"))).drop("entries", "_e", "_low")
 
 
 def restore(text: Column, held: Column) -> Column:

@@ -113,7 +113,7 @@ def text_rank(queries: DataFrame, docs: DataFrame, limit: int, k1: float = 1.2,
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     sized = docs.select("id", words(F.col("content")).alias("w")).withColumn("size", F.size("w"))
     whole = sized.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean"))
-    terms = sized.select("id", "size", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    terms = sized.select("id", "size", F.explode_outer("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
     terms = terms.groupBy("word", "id").agg(F.first("size").alias("size"), F.count("*").alias("tf"))
     spread = terms.groupBy("word").agg(F.count("*").alias("df"))
     joined = asked.join(terms, "word").join(spread, "word").crossJoin(F.broadcast(whole))  # one row

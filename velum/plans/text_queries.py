@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.functions import vectors
-from velum.io import table
+from velum.io import spread, table
 from velum.operators import conversation, detect, lexicon, masking, memory, retrieval
 
 _RE_EMAIL, _RE_URL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", r"""https?://[^\s,)>''"]+"""
@@ -17,7 +17,7 @@ _RE_CAMEL = r"\b[A-Z][a-z]{2,}[A-Z][a-zA-Z]+\b"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def detect_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ _DETECT_CLASSES = f"""
 
 
 def detect_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _docs(spark, sf_dir).select("lang", F.explode(F.concat(detect.spans(F.col("text"), detect.EMAIL, "EMAIL"), detect.spans(F.col("text"), detect.PHONE, "PHONE"), detect.spans(F.col("text"), detect.IPV4, "IP"))).alias("e"))
+    found = _docs(spark, sf_dir).select("lang", F.explode_outer(F.concat(detect.spans(F.col("text"), detect.EMAIL, "EMAIL"), detect.spans(F.col("text"), detect.PHONE, "PHONE"), detect.spans(F.col("text"), detect.IPV4, "IP"))).alias("e")).where("e IS NOT NULL")
     return found.groupBy("lang", F.col("e.kind").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct(F.lower("e.text")).alias("n_distinct"))
 
 
@@ -58,7 +58,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mail_found(docs: DataFrame) -> DataFrame:
     spans = F.filter(detect.spans(F.col("text"), detect.EMAIL, "EMAIL"), lambda s: F.octet_length(s["text"]) >= 3)
-    return docs.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), F.posexplode(spans).alias("ord", "e")).select("session", "turn", "ord", "e.text", "e.kind")
+    return docs.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), F.posexplode_outer(spans).alias("ord", "e")).where("ord IS NOT NULL").select("session", "turn", "ord", "e.text", "e.kind")
 
 
 def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
