@@ -30,7 +30,7 @@ TEMPLATES = (
     ("gpl-3-notice", "licensed under the gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 3"),
     ("gpl-2-notice", "licensed under the gnu general public license <<beginOptional>>as published by the free software foundation <<endOptional>><<beginOptional>>either <<endOptional>>version 2"),
     ("lgpl-notice", "licensed under the gnu lesser general public license <<var;words=3>>"),
-    ("cc-by-notice", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>creative commons attribution <<var;words=4>> license"),
+    ("cc-by-notice", "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>creative commons attribution <<var;words=6>> license"),
     ("cc-by-nc-notice", "licensed under cc by nc <<beginOptional>>4 0<<endOptional>>"),
     ("mpl-2-notice", "subject to the terms of the mozilla public license <<beginOptional>>v 2 0<<endOptional>><<beginOptional>>version 2 0<<endOptional>>"),
     ("bsd-grant", "redistribution and use in source and binary forms with or without modification are permitted"),
