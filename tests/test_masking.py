@@ -155,3 +155,15 @@ def test_promotions(spark):
     rows = [(c, t, k) for c in range(4) for t, k in (("Acme", "ORG"), ("Ann", "PERSON"))] + [(9, "acme", "ORG"), (9, "Oslo", "PLACE")]
     got = masking.promotions(spark.createDataFrame(rows, "call long, text string, kind string")).collect()
     assert [(r.content.lower(), r.n_calls) for r in got] == [("acme", 5)]
+
+
+def test_bodies_and_occurrences(spark):
+    shape = "session string, original string, kind string, token string, first_turn long"
+    tokens = spark.createDataFrame([("s", "Ann", "PERSON", "[PERSON_1]", 0)], shape)
+    rows = [("s", 0, "user", "hi Ann"), ("s", 1, "assistant", "hi Ann"), ("s", 2, "user", '[{"type":"text","text":"Ann \\"x\\""},{"type":"image","text":"Ann"}]'), ("s", 3, "user", "[not json Ann"), ("t", 0, "user", "Ann"), ("s", 4, "user", None)]
+    out = masking.mask_bodies(spark.createDataFrame(rows, "session string, turn long, role string, content string"), tokens)
+    got = {(r.session, r.turn): r.content for r in out.collect()}
+    assert got[("s", 0)] == "hi [PERSON_1]" and got[("s", 1)] == "hi Ann" and got[("t", 0)] == "Ann" and got[("s", 4)] is None and got[("s", 3)] == "[not json [PERSON_1]"
+    assert got[("s", 2)] == '[{"type":"text","text":"[PERSON_1] \\"x\\""},{"type":"image","text":"Ann"}]'
+    counted = masking.occurrences(out.withColumnRenamed("content", "masked"), tokens).collect()
+    assert [(r.token, r.n) for r in counted] == [("[PERSON_1]", 3)]

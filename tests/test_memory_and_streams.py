@@ -201,3 +201,24 @@ def test_sources(spark, tmp_path):
     assert formats.labelled_corpus(spark, str(tmp_path / "c.jsonl")).first().entities[0].text == "Ann"
     formats.write_digest(spark.createDataFrame([("# a",), ("- b",)], "line string"), str(tmp_path / "digest"))
     assert [r.value for r in spark.read.text(str(tmp_path / "digest")).collect()] == ["# a", "- b"]
+
+
+def test_blobs_and_hash_embedding(spark):
+    df = spark.createDataFrame([(1, [1.0, -2.5]), (2, None)], "id long, v array<float>")
+    packed = vectors.to_blob(df, "v", "b")
+    assert [r.w for r in vectors.from_blob(packed, "b", "w", 2).orderBy("id").collect()] == [[1.0, -2.5], None]
+    with pytest.raises(Exception, match="another length"):
+        vectors.from_blob(packed, "b", "w", 3).collect()
+    texts = spark.createDataFrame([(1, "the red fox"), (2, "The red, fox!"), (3, "blue whales swim"), (4, "")], "id long, content string")
+    got = {r.id: np.array(r.vector) for r in retrieval.embedded(texts, dims=32).collect()}
+    assert np.allclose(got[1], got[2]) and abs(np.linalg.norm(got[1]) - 1) < 1e-9 and got[1] @ got[3] < 0.9 and not got[4].any()
+
+
+def test_overlap_matches(spark):
+    from velum.operators import store
+
+    shape = "doc_id long, ord int, kind string, text string"
+    gold = spark.createDataFrame([(1, 0, "P", "Ann Lee"), (1, 1, "P", "Bob"), (2, 0, "O", "Acme")], shape)
+    found = spark.createDataFrame([(1, 0, "P", "Ann"), (1, 1, "P", "ann lee"), (1, 2, "P", "bob"), (2, 0, "P", "Acme")], shape)
+    got = sorted(map(tuple, store.overlap_matches(gold, found).collect()))
+    assert got == [(1, "P", 2, 1, 0), (2, "O", 0, 0, 1), (2, "P", 0, 1, 0)]

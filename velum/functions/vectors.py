@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,3 +129,22 @@ def register(spark: SparkSession) -> list[str]:
     for name, (args, out, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {out} RETURN {body}")
     return sorted(bodies)
+
+
+def from_blob(df: DataFrame, blob: str, out: str, dims: int | None = None) -> DataFrame:
+    """`df` with `out`: array<float> of little-endian 32-bit floats; null for null or odd lengths, checked against `dims`."""
+    @F.pandas_udf("array<float>")
+    def unpack(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: np.frombuffer(b, "<f4") if b is not None and len(b) % 4 == 0 else None)
+
+    got = unpack(F.col(blob))
+    return df.withColumn(out, got if dims is None else F.when(F.octet_length(blob) == 4 * dims, got).when(F.col(blob).isNotNull(), F.raise_error(F.lit("vector of another length"))))
+
+
+def to_blob(df: DataFrame, vector: str, out: str) -> DataFrame:
+    """`df` with `out`: the vector as little-endian 32-bit floats."""
+    @F.pandas_udf("binary")
+    def pack(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return df.withColumn(out, pack(F.col(vector)))

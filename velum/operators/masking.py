@@ -135,3 +135,25 @@ def import_sessions(envelopes: DataFrame) -> DataFrame:
     checked = read.select("session", F.when(F.col("e.version") > ENVELOPE_VERSION, F.raise_error(F.lit("session envelope of a newer version"))).otherwise(F.col("e.tokenMap.reverse")).alias("m"))
     rows = checked.select("session", F.explode("m").alias("token", "original"))
     return rows.select("session", "original", F.regexp_extract("token", r"^\[([A-Z]+)_", 1).alias("kind"), "token", F.lit(0).cast("long").alias("first_turn"))
+
+
+def occurrences(turns: DataFrame, tokens: DataFrame, text: str = "masked") -> DataFrame:
+    """(session, token, n): how often each token of a session stands in its turns."""
+    found = turns.select("session", F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN})"), 1)).alias("token")).where("token IS NOT NULL")
+    counted = found.groupBy("session", "token").agg(F.count("*").alias("n"))
+    return tokens.select("session", "token").join(counted, ["session", "token"])
+
+
+def mask_bodies(messages: DataFrame, tokens: DataFrame) -> DataFrame:
+    """`messages` (session, turn, role, content) with content masked for users: a plain text, or a JSON array of blocks.
+
+    Only `text` blocks change; other roles, other blocks and bodies that are neither stay as they are.
+    """
+    shape = "array<map<string,string>>"
+    joined = messages.join(entries(tokens), "session", "left")
+    held = F.filter(F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>")), lambda e: e["first_turn"] <= F.col("turn"))
+    joined = joined.withColumns({"_e": held, "_low": F.lower("content"), "_blocks": F.when(F.col("content").rlike(r"^\s*\["), F.from_json("content", shape))})
+    joined = joined.withColumn("_e", present(F.col("_low"), F.col("_e")))
+    changed = F.transform("_blocks", lambda b: F.when(b["type"] == "text", F.transform_values(b, lambda k, v: F.when(k == "text", mask(v, F.col("_e"))).otherwise(v))).otherwise(b))
+    body = F.when(F.col("_blocks").isNotNull(), F.to_json(changed)).otherwise(mask(F.col("content"), F.col("_e")))
+    return joined.withColumn("content", F.when(F.col("role") == "user", body).otherwise(F.col("content"))).drop("entries", "_e", "_low", "_blocks")

@@ -142,3 +142,20 @@ def context(hits: DataFrame, items: int = CONTEXT_ITEMS, item_chars: int = ITEM_
     lined = top.withColumn("line", F.concat(F.lit("- "), tag, F.lit(": "), short))
     running = F.sum(F.char_length("line")).over(Window.partitionBy("query_id").orderBy("_n"))
     return lined.withColumn("_total", running).where(F.col("_total") <= total_chars).select("query_id", "id", "line", F.col("_n").alias("rank"))
+
+
+def hash_embed(text: Column, dims: int = 64) -> Column:
+    """A unit vector of signed word counts hashed to `dims` places (all zero without words): an embedder without a model."""
+    hashed = F.transform(words(text), lambda w: F.xxhash64(w))
+    place = lambda i: F.aggregate(
+        F.filter(hashed, lambda h: F.pmod(h, F.lit(dims)) == i), F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 32).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
+    )
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), place)
+
+
+def embedded(rows: DataFrame, text: str = "content", dims: int = 64) -> DataFrame:
+    """`rows` with vector: hash_embed() of a text column, divided by its length."""
+    from velum.functions import vectors
+
+    raw = rows.withColumn("_v", hash_embed(F.col(text), dims))
+    return raw.withColumn("_n", vectors.norm(F.col("_v"))).withColumn("vector", F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n"))).otherwise(F.col("_v"))).drop("_v", "_n")

@@ -87,3 +87,88 @@ def scores(gold: DataFrame, found: DataFrame) -> DataFrame:
     every = sums.unionAll(sums.withColumn("kind", F.lit("overall"))).groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     return every.withColumns({"precision": p, "recall": r}).withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def openings(rows: DataFrame, chars: int = 200) -> DataFrame:
+    """(opening, content, at, n): rows (content, at, id) grouped by their first characters, with the newest content."""
+    newest_one = F.max(F.struct("at", "id", "content"))
+    got = rows.groupBy(F.substring("content", 1, chars).alias("opening")).agg(newest_one.alias("x"), F.count("*").alias("n"))
+    return got.select("opening", "x.content", "x.at", "n")
+
+
+def category_counts(categories: DataFrame, rows: DataFrame) -> DataFrame:
+    """(category, n): rows of each listed category, 0 where there is none."""
+    counted = rows.groupBy("category").agg(F.count("*").alias("n"))
+    return categories.select("category").join(counted, "category", "left").select("category", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def dominant(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value): the most frequent value of each group, the smallest of equally frequent ones."""
+    counted = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
+    return counted.groupBy(by).agg(F.min(F.struct((-F.col("_n")).alias("_n"), F.col(value))).alias("_x")).select(by, f"_x.{value}")
+
+
+def listing(rows: DataFrame, by: str) -> DataFrame:
+    """(by, total, text): the sum of tokens of rows (key, value, tokens, at) and their listing, oldest first."""
+    line = F.concat(F.date_format("at", "yyyy-MM-dd"), F.lit(" ["), F.col("tokens").cast("string"), F.lit("] "), "key", F.lit(": "), "value")
+    got = rows.groupBy(by).agg(F.sum("tokens").alias("total"), F.array_sort(F.collect_list(F.struct("at", "key", line.alias("line")))).alias("x"))
+    return got.select(by, "total", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+
+
+def last_times(**tables: DataFrame) -> DataFrame:
+    """(name, last): the newest `at` of each table."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.max("at").alias("last")).select(F.lit(name).alias("name"), "last")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def drain(queue: DataFrame, size: int = 50, retries: int = 3) -> DataFrame:
+    """`queue` (id, status, attempts, created_at, ok) after one run of a consumer: the oldest pending rows are claimed.
+
+    Those that work (`ok`) become done, the others stay pending with one more attempt, or failed at the last.
+    """
+    claimed = queue.where("status = 'pending'").orderBy("created_at", "id").limit(size).select("id", F.lit(True).alias("_mine"))
+    mine = F.coalesce("_mine", F.lit(False))
+    tried = F.col("attempts") + F.when(mine & ~F.col("ok"), 1).otherwise(0)
+    status = F.when(mine & F.col("ok"), "done").when(mine & (tried >= retries), "failed").otherwise(F.col("status"))
+    return queue.join(claimed, "id", "left").withColumns({"attempts": tried, "status": status}).drop("_mine")
+
+
+def backlog(events: DataFrame, seen: DataFrame, most: int = 256) -> DataFrame:
+    """(subscriber, waiting, lost): events (seq) behind what each subscriber (subscriber, seq) has seen.
+
+    A bus holds the newest `most`; older ones that a subscriber hasn't seen are lost. Sequence numbers have no gaps.
+    """
+    last = events.agg(F.max("seq").alias("_last"))
+    behind = F.greatest(F.col("_last") - F.col("seq"), F.lit(0))
+    return seen.crossJoin(F.broadcast(last)).select("subscriber", F.least(behind, F.lit(most)).cast("long").alias("waiting"), F.greatest(behind - most, F.lit(0)).cast("long").alias("lost"))  # one row
+
+
+def overlap_matches(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, kind, tp, fp, fn): greedy one-to-one matches of entities of which one text holds the other.
+
+    Both have doc_id, ord, kind, text. Found entities are taken in order, each takes the first free gold entity of its
+    kind; a document is one group, as the choice is sequential within it.
+    """
+    import pandas as pd
+
+    rows = gold.select("doc_id", "ord", "kind", "text", F.lit(True).alias("gold")).unionAll(found.select("doc_id", "ord", "kind", "text", F.lit(False)))
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, some in frame.sort_values("ord").groupby("kind"):
+            free = [t.lower() for t in some.loc[some["gold"], "text"]]
+            wanted, hits, misses = len(free), 0, 0
+            for text in (t.lower() for t in some.loc[~some["gold"], "text"]):
+                hit = next((g for g in free if g in text or text in g), None)
+                if hit is None:
+                    misses += 1
+                else:
+                    free.remove(hit)
+                    hits += 1
+            out.append((frame["doc_id"].iloc[0], kind, hits, misses, wanted - hits))
+        return pd.DataFrame(out, columns=["doc_id", "kind", "tp", "fp", "fn"])
+
+    return rows.groupBy("doc_id").applyInPandas(match, f"doc_id {gold.schema['doc_id'].dataType.simpleString()}, kind string, tp long, fp long, fn long")

@@ -311,6 +311,65 @@ def moved_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOVED_POSITIONS = "SELECT n_name, (CASE WHEN n_nationkey = 4 THEN 17 WHEN n_nationkey > 4 AND n_nationkey <= 17 THEN n_nationkey - 1 ELSE n_nationkey END)::INT AS position FROM nation"
 
 
+def content_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("n_chars").alias("at"))
+    return store.openings(rows, 12).select("opening", F.sha2("content", 256).alias("digest"), "at", "n")
+
+
+_CONTENT_OPENINGS = """SELECT left(text, 12) AS opening, sha256(arg_max(text, (n_chars, doc_id))) AS digest, max(n_chars) AS at, count(*) AS n FROM documents GROUP BY left(text, 12)"""
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    categories = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("category"))
+    return store.category_counts(categories, table(spark, sf_dir, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("category")))
+
+
+_CATEGORY_COUNTS = "SELECT n_nationkey AS category, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 8000 GROUP BY n_nationkey"
+
+
+def dominant_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.dominant(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+_DOMINANT_SEGMENT = """SELECT c_nationkey, c_mktsegment FROM (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS r FROM customer GROUP BY c_nationkey, c_mktsegment) WHERE r = 1"""
+
+
+def token_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("tokens"), F.col("ts").alias("at"))
+    return store.listing(rows, "user_id").select("user_id", "total", F.sha2("text", 256).alias("digest"))
+
+
+_TOKEN_LISTING = """SELECT user_id, sum(event_id)::BIGINT AS total, sha256(string_agg(strftime(ts, '%Y-%m-%d') || ' [' || event_id || '] ' || event_id || ': ' || event_type, chr(10) ORDER BY ts, event_id::VARCHAR)) AS digest FROM events GROUP BY user_id"""
+
+
+def last_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda name, column: table(spark, sf_dir, name).select(F.col(column).cast("timestamp").alias("at"))
+    return store.last_times(events=at("events", "ts"), orders=at("orders", "o_orderdate")).select("name", F.unix_micros("last").alias("last_us"))
+
+
+_LAST_TIMES = "SELECT 'events' AS name, epoch_us(max(ts)) AS last_us FROM events UNION ALL SELECT 'orders', epoch_us(max(o_orderdate)) FROM orders"
+
+
+def queue_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    queue = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "done").otherwise("pending").alias("status"), (F.col("event_id") % 3).cast("int").alias("attempts"), F.col("ts").alias("created_at"), (F.col("value") > 5).alias("ok"))
+    return store.drain(queue).groupBy("status", "attempts").agg(F.count("*").alias("n"))
+
+
+_QUEUE_DRAIN = """
+    WITH q AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'pending' END AS s, (event_id % 3)::INT AS a, ts, value > 5 AS ok FROM events),
+    r AS (SELECT *, s = 'pending' AND row_number() OVER (PARTITION BY s ORDER BY ts, id) <= 50 AS mine FROM q), t AS (SELECT *, a + CASE WHEN mine AND NOT ok THEN 1 ELSE 0 END AS b FROM r)
+    SELECT CASE WHEN mine AND ok THEN 'done' WHEN mine AND b >= 3 THEN 'failed' ELSE s END AS status, b::INT AS attempts, count(*) AS n FROM t GROUP BY 1, 2"""
+
+
+def bus_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return store.backlog(e.select(F.col("event_id").alias("seq")), e.groupBy(F.col("user_id").alias("subscriber")).agg(F.max("event_id").alias("seq")))
+
+
+_BUS_BACKLOG = """SELECT user_id AS subscriber, least(m - max(event_id), 256) AS waiting, greatest(m - max(event_id) - 256, 0) AS lost FROM events CROSS JOIN (SELECT max(event_id) AS m FROM events) GROUP BY user_id, m"""
+
+
 # --- streams as finished tables ---------------------------------------------------------------------------------------
 
 
@@ -371,7 +430,7 @@ _STREAM_USAGE = "SELECT user_id::VARCHAR AS stream_id, max(event_id % 100) AS in
 QUERIES = [
     newest_memories, memory_window, strongest_nodes, decay_pass, reinforced_nodes, memory_batches, table_counts, memory_feed, audit_turns, tool_counts, agent_access, live_tokens, request_dispatch, detection_scores,
     promoted_facts, display_edges, upserted_rows, orphan_calls, order_page, share_levels, deleted_after, pseudonyms, spending, balances, refills, permissions, unowned, tag_changes, moved_positions, rate_limited,
-    runaway_growth, restored_streams, event_windows, growth_candidates, stream_usage,
+    content_openings, category_counts, dominant_segment, token_listing, last_times, queue_drain, bus_backlog, runaway_growth, restored_streams, event_windows, growth_candidates, stream_usage,
 ]
 
 SQL = {
@@ -379,5 +438,6 @@ SQL = {
     "table_counts": _TABLE_COUNTS, "memory_feed": _MEMORY_FEED, "audit_turns": _AUDIT_TURNS, "tool_counts": _TOOL_COUNTS, "agent_access": _AGENT_ACCESS, "live_tokens": _LIVE_TOKENS, "request_dispatch": _REQUEST_DISPATCH,
     "detection_scores": _DETECTION_SCORES, "promoted_facts": _PROMOTED_FACTS, "display_edges": _DISPLAY_EDGES, "upserted_rows": _UPSERTED_ROWS, "orphan_calls": _ORPHAN_CALLS, "order_page": _ORDER_PAGE,
     "share_levels": _SHARE_LEVELS, "deleted_after": _DELETED_AFTER, "pseudonyms": _PSEUDONYMS, "spending": _SPENDING, "balances": _BALANCES, "refills": _REFILLS, "permissions": _PERMISSIONS, "unowned": _UNOWNED,
-    "tag_changes": _TAG_CHANGES, "moved_positions": _MOVED_POSITIONS, "restored_streams": _RESTORED_STREAMS, "event_windows": _EVENT_WINDOWS, "growth_candidates": _GROWTH_CANDIDATES, "stream_usage": _STREAM_USAGE,
+    "content_openings": _CONTENT_OPENINGS, "category_counts": _CATEGORY_COUNTS, "dominant_segment": _DOMINANT_SEGMENT, "token_listing": _TOKEN_LISTING, "last_times": _LAST_TIMES, "queue_drain": _QUEUE_DRAIN,
+    "bus_backlog": _BUS_BACKLOG, "tag_changes": _TAG_CHANGES, "moved_positions": _MOVED_POSITIONS, "restored_streams": _RESTORED_STREAMS, "event_windows": _EVENT_WINDOWS, "growth_candidates": _GROWTH_CANDIDATES, "stream_usage": _STREAM_USAGE,
 }
