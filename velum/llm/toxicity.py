@@ -19,7 +19,7 @@ from velum.llm.samples import bounded, train_side
 
 BITS, DIM, GRAMS = 18, 12, (3, 4, 5)
 #: Labelled documents that the model is fitted on at most.
-MOST_TRAIN = 6000
+MOST_TRAIN = 4000
 #: Features in fewer training documents than this number and this share of them are left out.
 LEAST_DOCS, LEAST_SHARE = 3, 0.005
 THRESHOLD = 0.3
@@ -78,8 +78,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: f
         spread[i] += 1
     common = spread >= max(LEAST_DOCS, LEAST_SHARE * len(rows))
     weight = np.where(common, np.log((1 + len(rows)) / (1 + spread)), 0).astype(np.float32)
-    bags = [(i, (c / max(1, c.sum()) * weight[i]).astype(np.float32), y) for i, c, y in rows]
-    bags = [(i[s > 0], s[s > 0], y) for i, s, y in bags]
+    bags = []
+    for i, c, y in rows:
+        some = weight[i] > 0
+        bags.append((i[some], (c[some] / max(1, int(c.sum())) * weight[i[some]]).astype(np.float32), y))
     train = np.flatnonzero(~held)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -141,11 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             for i, raw, offsets in blocks(*flat(batch.column(1))):
                 got = counted(raw, offsets)
                 y = batch.column(0).slice(i, len(got))
-                yield pa.RecordBatch.from_arrays([y, pa.array([b.astype("<i4").tobytes() for b, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary())], names=["y", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([y, pa.array([b.astype("<i4").tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got], pa.binary())], names=["y", "buckets", "counts"])
 
     joined = docs.select("doc_id", utf8(lower=True).alias("_text")).join(F.broadcast(rows), "doc_id")  # at most `most` rows
     found = map_batches(joined.select("y", "_text"), work, "y int, buckets binary, counts binary").collect()
-    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4"), int(r.y > 0)) for r in sorted(found, key=lambda r: (r.buckets, r.y))])
+    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2"), int(r.y > 0)) for r in sorted(found, key=lambda r: (r.buckets, r.y))])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
