@@ -120,3 +120,12 @@ def test_language_equals_brute_force_and_odd_rows(spark):
         declared = (group(4, s[4]) + langid.CELL_PSEUDO) / (total + langid.CELL_PSEUDO * (len(names) + 2))
         score = s[5] + np.log(host) + np.log(suffix) + np.log(declared)
         assert r.lang == names[score.argmax()] and abs(r.confidence - 1 / np.exp(score - score.max()).sum()) < 1e-6
+
+
+def test_bounded_sample(spark):
+    from velum.llm.samples import bounded
+
+    ids = spark.range(20000).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id for r in bounded(ids, "doc_id", 900).collect()}
+    assert 600 < len(got) <= 900 and got == {r.doc_id for r in bounded(ids.repartition(7), "doc_id", 900).collect()}
+    assert bounded(ids, "doc_id", 20000).count() == 20000 and bounded(ids.limit(0), "doc_id", 5).count() == 0

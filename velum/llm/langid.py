@@ -48,7 +48,7 @@ def visible(html: bytes) -> bytes:
 
 def train(docs: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of each bucket and language) counted on at most `most` labelled documents."""
-    rows = bounded(docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id"), "doc_id", most).distinct()
+    rows = bounded(docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id").distinct(), "doc_id", most)
     joined = docs.where("lang IS NOT NULL").join(F.broadcast(rows), "doc_id").select("lang", utf8(lower=True).alias("_text"))  # at most `most` ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
