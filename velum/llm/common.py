@@ -176,18 +176,24 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, root): the smallest id that each id of `edges` (a, b long) reaches. Large-star and small-star rounds.
 
-    Each round is two grouped minima and two joins against them, so a hub with very many edges is combined before
-    the shuffle and joins stay splittable. Only a fingerprint of the edges reaches the driver.
+    Each round is two grouped minima and two joins against them. Minima are combined before the shuffle; they are
+    written, so that in the join a hub with very many edges is a plain shuffle partition which adaptive execution can
+    split. Only a fingerprint of the edges reaches the driver.
     """
 
     def stars(pairs: DataFrame, both: bool) -> DataFrame:
         around = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else pairs
-        least = around.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(around.groupBy("a").agg(F.min("b").alias("m")), "least")
         hung = around.join(least, "a").select("a", "b", F.least("a", "m").alias("m"))
         if both:
-            return hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        up = hung.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return up.unionAll(least.select("a", F.col("m").alias("b"))).where("a != b")
+            out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            up = hung.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            out = up.unionAll(least.select("a", F.col("m").alias("b")))
+        out = stored(out.where("a != b").distinct(), "edges")
+        discard(least)
+        discard(pairs)
+        return out
 
     def fingerprint(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
@@ -200,9 +206,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if mark == was or not mark[0]:
             break
         was = mark
-        after = stored(stars(stars(now, True).distinct(), False).distinct(), "edges")
-        discard(now)
-        now = after
+        now = stars(stars(now, True), False)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("root"))
