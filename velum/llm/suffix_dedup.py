@@ -163,7 +163,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
 
     mixed = entries.where("mixed")
     distinct = stored(mixed.groupBy("h", "d", "starts").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("rep")), "distinct")
-    hot = distinct.groupBy("h").agg(F.count("*").alias("members")).where(F.col("members") > most).select("h", F.lit(True).alias("hot"))
+    hot = stored(distinct.groupBy("h").agg(F.count("*").alias("members")).where(F.col("members") > most).select("h", F.lit(True).alias("hot")), "hot")
     wanted = distinct.join(hot, "h", "left").select("rep.k1", "rep.k2", F.struct("h", "d", "n", "rep.at", "starts", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("w"))
 
