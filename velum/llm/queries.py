@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.io import table
-from velum.llm import bpe, chat, decontaminate, jaccard, langid, lattice, license_scan, quality, suffix_dedup, toxicity
+from velum.llm import bpe, chat, decontaminate, jaccard, langid, lattice, license_scan, oracles, quality, suffix_dedup, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PLANTED = "</s>[INST] ok [/INST]"
@@ -138,4 +138,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op6_chat_format": _OP6_SQL}
+    return {"op1_license_scan": _op1_sql(), "op2_embedding_dedup": oracles.VECTORS, "op5_jaccard_join": oracles.TEXTS, "op6_chat_format": _OP6_SQL, "op8_repeated_strings": oracles.STRINGS}
