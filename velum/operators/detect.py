@@ -104,17 +104,17 @@ def detections(df: DataFrame, id_cols: list[str], text: str = "text", **options)
     return rows.select(*id_cols, "ord", "e.start", "e.text", "e.kind")
 
 
-def fact_terms(facts: DataFrame, terms: tuple[str, ...] = TECH_TERMS) -> DataFrame:
+def fact_terms(facts: DataFrame, terms: tuple[str, ...] = TECH_TERMS, skip: tuple[str, ...] = ()) -> DataFrame:
     """(text, kind): custom entities named in facts (content, category).
 
     Terms in back quotes (first path segment, leading @ stripped, four letters or more, not all lower case) are
     PROJECT; quoted names of at most two words and CamelCase names are PROJECT for the category `project`, else ORG;
-    addresses are EMAIL. Of equal texts the first by that order stays.
+    addresses are EMAIL. Of equal texts the first by that order stays; quoted terms of `skip` go.
     """
     by_category = F.when(F.coalesce(F.col("category"), F.lit("context")) == "project", "PROJECT").otherwise("ORG")
     content = F.coalesce(F.col("content"), F.lit(""))
     ticked = F.transform(F.regexp_extract_all(content, F.lit("`([^`]+)`"), 1), lambda x: F.regexp_replace(F.substring_index(x, "/", 1), "^@", ""))
-    ticked = F.filter(ticked, lambda x: (x != "sci") & (F.octet_length(x) >= 4) & (x != F.lower(x)) & ~x.isin(*terms))
+    ticked = F.filter(ticked, lambda x: ~x.isin(*skip) & (F.octet_length(x) >= 4) & (x != F.lower(x)) & ~x.isin(*terms))
     quoted = F.concat(*(F.regexp_extract_all(content, F.lit(p), 1) for p in (r"'([A-Z][a-zA-Z0-9 ._\-]{2,})'", r'"([A-Z][a-zA-Z0-9 ._\-]{2,})"')))
     quoted = F.filter(F.transform(quoted, F.trim), lambda x: (F.size(F.split(x, r"\s+")) <= 2) & ~x.isin(*terms))
     camel = F.filter(F.regexp_extract_all(content, F.lit(f"({CAMEL})"), 1), lambda x: ~x.isin(*terms))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from velum.functions import vectors
+from velum.io import cut
 
 DECAY_FLAG, MERGE_COSINE = 0.15, 0.88
 STORE_CHARS, CHUNK_CHARS = 20, 1500
@@ -154,15 +155,14 @@ def clusters(facts: DataFrame, least: float = 0.25) -> DataFrame:
     Pairs come from similar_pairs(). Greedy stars are settled in rounds of joins: a fact all of whose earlier
     neighbours are settled is a seed unless one of them is a seed, in which case it goes to the first such seed.
     """
-    links = similar_pairs(facts, least).select("a", "b").checkpoint()
-    state = facts.select("id", F.when(~F.col("id").isin([]), F.lit(None)).cast("long").alias("seed"), F.lit(False).alias("done"))
+    links = cut(similar_pairs(facts, least).select("a", "b"))
+    state = facts.select("id", F.lit(None).cast("long").alias("seed"), F.lit(False).alias("done"))
     while True:
         known = links.join(state.select(F.col("id").alias("a"), "seed", "done"), "a").groupBy("b").agg(F.min("done").alias("ready"), F.min(F.when(F.col("seed") == F.col("a"), F.col("a"))).alias("first"))
         joined = state.join(known, F.col("id") == F.col("b"), "left")
         ready = F.coalesce("ready", F.lit(True)) & ~F.col("done")
-        after = joined.select("id", F.when(ready, F.coalesce("first", "id")).otherwise(F.col("seed")).alias("seed"), (F.col("done") | ready).alias("done")).checkpoint()
-        state = after
-        if after.where("NOT done").isEmpty():
+        state = cut(joined.select("id", F.when(ready, F.coalesce("first", "id")).otherwise(F.col("seed")).alias("seed"), (F.col("done") | ready).alias("done")))
+        if state.where("NOT done").isEmpty():
             return state.select("id", "seed")
 
 
@@ -189,7 +189,7 @@ def display_edges(nodes: DataFrame, strong: float = 1.0, weak: float = 0.3) -> D
     Equal category: strong. Else equal type: weak. Else strong times the number of shared keywords, three at most.
     Every pair of nodes is looked at, so `nodes` is to be limited before, as a display is.
     """
-    keyed = nodes.select("id", "type", "category", F.filter(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9]+)"), 1)), lambda w: (F.char_length(w) > 3) & ~w.isin(*STOP_WORDS, "been", "sci")).alias("w"))
+    keyed = nodes.select("id", "type", "category", F.filter(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z0-9]+)"), 1)), lambda w: (F.char_length(w) > 3) & ~w.isin(*STOP_WORDS, "been")).alias("w"))
     a = keyed.select(*(F.col(c).alias(f"{c}_a") for c in keyed.columns))
     b = keyed.select(*(F.col(c).alias(f"{c}_b") for c in keyed.columns))
     shared = F.size(F.array_intersect("w_a", "w_b"))
