@@ -114,14 +114,14 @@ def test_chat_runs_without_python(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op6_chat_format"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op2_embedding_dedup", "op5_jaccard_join", "op6_chat_format", "op8_repeated_strings"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
     from velum.llm import queries
 
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     want = db.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, "/root/testdata/sf0.001").select(*(F.col(c) for c in want.columns)).collect()
