@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from velum.functions import vectors
 from velum.io import cut
+from velum.operators.retrieval import knn
 
 DECAY_FLAG, MERGE_COSINE = 0.15, 0.88
 STORE_CHARS, CHUNK_CHARS = 20, 1500
@@ -77,13 +77,13 @@ def unfenced(text: Column) -> Column:
 def promote(facts: DataFrame, nodes: DataFrame, least: float = MERGE_COSINE) -> DataFrame:
     """(fact_id, node_id, cosine, action): the most similar node of each fact, `reinforce` at `least` or `insert`.
 
-    `facts` has fact_id, profile, vector, `nodes` node_id, profile, vector; pairs meet by profile. Ties go to the
-    smallest node. Facts of one call don't see each other's new nodes: call it batch by batch for that.
+    `facts` has fact_id, profile, vector, `nodes` node_id, profile, vector (integer ids); they are compared within a
+    profile, facts in blocks against all nodes. Ties go to the smallest node. Facts of one call don't see each other's new nodes: call it batch by batch for that.
     """
-    pair = facts.select("fact_id", "profile", F.col("vector").alias("_f")).join(nodes.select("node_id", "profile", F.col("vector").alias("_n")), "profile")
-    scored = pair.select("fact_id", F.struct((1 - vectors.cosine_distance(F.col("_f"), F.col("_n"))).alias("cosine"), (-F.col("node_id")).alias("back")).alias("s"))
-    best = scored.groupBy("fact_id").agg(F.max("s").alias("s"))
-    out = facts.select("fact_id").join(best, "fact_id", "left").select("fact_id", (-F.col("s.back")).alias("node_id"), F.col("s.cosine").alias("cosine"))
+    asked = facts.select(F.col("fact_id").alias("query_id"), "vector", "profile")
+    best = knn(asked, nodes.select(F.col("node_id").alias("id"), "vector", "profile"), 1, by="profile")
+    best = best.select(F.col("query_id").alias("fact_id"), F.col("id").alias("node_id"), (1 - F.col("distance")).alias("cosine"))
+    out = facts.select("fact_id").join(best, "fact_id", "left")
     hit = F.coalesce(F.col("cosine") >= least, F.lit(False))
     return out.select("fact_id", F.when(hit, F.col("node_id")).alias("node_id"), "cosine", F.when(hit, "reinforce").otherwise("insert").alias("action"))
 

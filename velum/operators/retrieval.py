@@ -19,28 +19,31 @@ SHORT_BYTES, FLOOR, KEYWORD_BONUS, FINGERPRINT = 150, 0.3, 0.02, 200
 CONTEXT_ITEMS, ITEM_CHARS, CONTEXT_CHARS = 3, 250, 600
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK, most: float | None = None) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK, most: float | None = None, by: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest corpus rows of each query, ties by id.
 
+    With `by`, a column of both, only rows of the query's own group count.
+
     `queries` has query_id and vector, `corpus` id, vector and perhaps filters already applied (they prune the scan).
     Queries are dealt to blocks of at most `block` by a hash of their id; each block is broadcast (block x length
     numbers at most), every corpus partition keeps k rows a query, and only those are shuffled. `most` drops pairs
     beyond a distance. Rows with null vectors are left out; vectors of another length raise an error.
     """
-    held = queries.where("vector IS NOT NULL")
+    group = (F.xxhash64(by) if by else F.lit(0).cast("long")).alias("_by")
+    held = queries.where("vector IS NOT NULL").select("query_id", "vector", group)
     n = held.count()
     rounds = max(1, -(-n // block))
     spark = corpus.sparkSession
     parts = []
-    rows = corpus.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = corpus.where("vector IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), group)
     for r in range(rounds):
-        some = held.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r).select("query_id", "vector").collect()  # one block
+        some = held.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r).collect()  # one block
         if not some:
             continue
-        shared = spark.sparkContext.broadcast((np.array([x.query_id for x in some], np.int64), np.array([x.vector for x in some], np.float64)))
+        shared = spark.sparkContext.broadcast((np.array([x.query_id for x in some], np.int64), np.array([x.vector for x in some], np.float64), np.array([x._by for x in some], np.int64)))
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+        def work(batches: Iterator[pa.RecordBatch], shared=shared, by=by) -> Iterator[pa.RecordBatch]:
+            ids, q, groups = shared.value
             best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
             unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             for batch in batches:
@@ -53,12 +56,14 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
                     d = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
                 else:
                     d = np.stack([np.abs(x - v).sum(1) for v in q])
+                if by:
+                    d = np.where(groups[:, None] == batch.column(2).to_numpy()[None, :], d, np.inf)
                 d = np.concatenate([best_d, d], 1)
                 i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], 1)
                 order = np.lexsort((i, d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            width = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", "id", "distance"])
+            width, near = best_d.shape[1], np.isfinite(best_d.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)[near]), pa.array(best_i.ravel()[near]), pa.array(best_d.ravel()[near])], names=["query_id", "id", "distance"])
 
         parts.append(rows.mapInArrow(work, "query_id long, id long, distance double"))
     if not parts:

@@ -55,12 +55,11 @@ def turns_with_tokens(turns: DataFrame, mappings: DataFrame) -> DataFrame:
 def allowed(rows: DataFrame, agents: DataFrame) -> DataFrame:
     """(agent_id, *rows): what each agent (agent_id, tier) may read of rows (profile, kind, ...).
 
-    Trusted agents read all, others only the profile of their tier and no identity facts.
+    Trusted agents read all, others only the profile of their tier and no identity facts. Rows are joined by tier.
     """
-    rules = agents.sparkSession.createDataFrame([(t, i, p) for t, _, i, p in TIERS], "tier string, reads_identity boolean, only string")
-    who = agents.join(F.broadcast(rules), "tier")  # a fixed list of tiers
-    ok = (F.col("reads_identity") | (F.col("kind") != "identity")) & (F.col("only").isNull() | (F.col("profile") == F.col("only")))
-    return who.join(rows, ok).select("agent_id", *rows.columns)
+    may = [F.when((F.lit(identity) | (F.col("kind") != "identity")) & (F.lit(only is None) | (F.col("profile") == F.lit(only))), F.lit(tier)) for tier, _, identity, only in TIERS]
+    open_to = rows.withColumn("tier", F.explode(F.filter(F.array(*may), lambda t: t.isNotNull())))
+    return agents.select("agent_id", "tier").join(open_to, "tier").select("agent_id", *rows.columns)
 
 
 def live_tokens(tokens: DataFrame, agents: DataFrame, now) -> DataFrame:
