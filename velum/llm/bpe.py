@@ -16,8 +16,8 @@ from velum.llm.common import map_batches
 
 # Fixed value: the published pattern of byte-level pre-tokenisation.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose encoding a worker remembers, and the longest such word in characters.
-REMEMBERED, LONGEST = 400_000, 40
+#: Words whose encoding a worker remembers, in each of two generations, and the longest such word in characters.
+REMEMBERED, LONGEST = 200_000, 40
 
 
 def byte_letters() -> list[str]:
@@ -49,6 +49,7 @@ class Codec:
         self.words = regex.compile(PATTERN)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def ids(self, word: bytes) -> list[int]:
         """Token ids of one pre-token.
@@ -111,11 +112,13 @@ class Codec:
 
     def both(self, word: str) -> tuple[str, bytes]:
         """(decimal ids joined by commas, decoded bytes) of one pre-token; short ones are remembered."""
-        ids = self.ids(word.encode())
-        found = ",".join(map(str, ids)), b"".join([self.vocabulary[i] for i in ids])
+        found = self.older.get(word)
+        if found is None:
+            ids = self.ids(word.encode())
+            found = ",".join(map(str, ids)), b"".join([self.vocabulary[i] for i in ids])
         if len(word) <= LONGEST:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[word] = found
         return found
 
