@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts may be long, so fewer than Spark's default.
-BATCH_ROWS = 2000
+#: Rows of an Arrow batch and of a Parquet reader's batch; texts may be long, so fewer than Spark's defaults.
+BATCH_ROWS = 500
 #: Bytes that the numpy helpers treat at once (a longer text is treated alone).
 BLOCK_BYTES = 1 << 20
 
@@ -52,8 +52,9 @@ def discard(df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with batches small enough for long texts, from the scan on."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     return df.mapInArrow(work, schema)
 
 
