@@ -151,6 +151,16 @@ def test_lexicon(spark):
         assert all(r.text[n.start : n.start + len(n.text)] == n.text for n in r.names)
 
 
+def test_shipped_lexicons(spark):
+    """The default lists are full ones: at least as long as the reference's, without entries that no rule can match."""
+    full = lexicon.Lexicon()
+    assert len(full.first_names) >= 775 and len(full.places) >= 346
+    assert all(w == w.lower().strip() and len(w.split()) in ((1,) if w in full.first_names else (1, 2)) for w in full.first_names | full.places)
+    df = spark.createDataFrame([(1, "Yesterday Priya Sharma flew to Nairobi"), (2, "Wojciech likes Buenos Aires")], "doc_id long, text string")
+    got = {(r.doc_id, n.text, n.kind) for r in lexicon.names(df).collect() for n in r.names}
+    assert got == {(1, "Priya Sharma", "PERSON"), (1, "Nairobi", "PLACE"), (2, "Wojciech", "PERSON"), (2, "Buenos Aires", "PLACE")}
+
+
 def test_promotions(spark):
     rows = [(c, t, k) for c in range(4) for t, k in (("Acme", "ORG"), ("Ann", "PERSON"))] + [(9, "acme", "ORG"), (9, "Oslo", "PLACE")]
     got = masking.promotions(spark.createDataFrame(rows, "call long, text string, kind string")).collect()

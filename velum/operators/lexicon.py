@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-# Short word lists of the rules. Lexicons of names and places are parameters; the defaults are samples.
+# Short word lists of the rules. Lexicons of names and places are parameters; the defaults lie in data/.
 HONORIFICS = frozenset({"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "sir", "madam", "ma'am", "lord", "lady", "fr", "rev", "rabbi"})
 ORG_SUFFIXES = frozenset({"inc", "corp", "llc", "co", "ltd", "ag", "gmbh", "sa", "plc", "lp", "llp", "kk"})
 AMBIGUOUS = frozenset({"or", "in", "ok", "oh", "hi", "me", "id", "la", "ma", "pa", "co", "dc"})
 TOWARDS = frozenset({"in", "to", "from", "near", "at", "via", "through", "around", "outside", "visiting"})
 COPULAS = frozenset({"is", "was", "are", "were", "has", "had", "will"})
-FIRST_NAMES = frozenset({"alice", "bob", "carol", "david", "emma", "frank", "grace", "henry", "ingrid", "james", "karen", "liam", "maria", "nina", "oscar", "paula", "robert", "sarah", "thomas", "jordan", "austin"})
-PLACES = frozenset({"london", "paris", "berlin", "madrid", "tokyo", "oslo", "chicago", "boston", "seattle", "portland", "austin", "jordan", "france", "germany", "spain", "japan", "ny", "tx", "ca", "wa", "or", "ok", "in", "san francisco", "new york", "los angeles", "hong kong"})
+
+
+@functools.cache
+def shipped(name: str) -> frozenset[str]:
+    """The entries of a list of the package, one a line in lower case."""
+    return frozenset(resources.files("velum.operators").joinpath("data", f"{name}.txt").read_text("utf-8").splitlines())
 
 
 @dataclass
 class Lexicon:
-    first_names: frozenset[str] = FIRST_NAMES
-    places: frozenset[str] = PLACES
+    first_names: frozenset[str] = field(default_factory=lambda: shipped("first_names"))
+    places: frozenset[str] = field(default_factory=lambda: shipped("places"))
     terms: frozenset[str] = frozenset()
 
 
@@ -147,15 +154,21 @@ def names_in(text: str, lexicon: Lexicon) -> list[tuple[int, str, str]]:
     return out
 
 
-def names(docs: DataFrame, lexicon: Lexicon | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, names array<struct<start, text, kind>>) of each row; one Arrow pass, no shuffle; lexicons are broadcast."""
+def with_names(docs: DataFrame, lexicon: Lexicon | None = None, text: str = "text", out: str = "names", keep: list[str] | None = None) -> DataFrame:
+    """`docs` (its columns `keep`, or all) with `out` array<struct<start, text, kind>>; one Arrow pass, no shuffle; lexicons are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon or Lexicon())
     item = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string()), ("kind", pa.string())]))
+    kept, at = keep or docs.columns, docs.columns.index(text)
+    places = [docs.columns.index(c) for c in kept]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"start": s, "text": t, "kind": k} for s, t, k in names_in(x, shared.value)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, item)], names=[id_col, "names"])
+            found = [[{"start": s, "text": t, "kind": k} for s, t, k in names_in(x or "", shared.value)] for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(found, item)], names=[*kept, out])
 
-    source = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    return source.mapInArrow(work, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, names array<struct<start:int,text:string,kind:string>>")
+    return docs.mapInArrow(work, StructType([docs.schema[c] for c in kept]).add(out, ArrayType(StructType().add("start", IntegerType()).add("text", StringType()).add("kind", StringType()))))
+
+
+def names(docs: DataFrame, lexicon: Lexicon | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, names array<struct<start, text, kind>>) of each row."""
+    return with_names(docs.select(id_col, F.col(text).alias("_t")), lexicon, "_t", keep=[id_col])
