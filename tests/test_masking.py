@@ -151,6 +151,19 @@ def test_lexicon(spark):
         assert all(r.text[n.start : n.start + len(n.text)] == n.text for n in r.names)
 
 
+def test_anonymize_masks_names(spark):
+    """A name, a place and a company come out masked, between the classes and CamelCase; technical terms stay."""
+    texts = ["Alice Jones of Acme Corp. moved to Paris, mail alice@example.com about DataForge", "flew to Portland, then CA. Sarah PySpark met Dr. House", None]
+    out = masking.anonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert out[0].masked == "[PERSON_1] of [ORG_1]. moved to [PLACE_1], mail [EMAIL_1] about [PROJECT_1]"
+    assert [e.token for e in out[0].entities] == ["[EMAIL_1]", "[PERSON_1]", "[ORG_1]", "[PLACE_1]", "[PROJECT_1]"]
+    assert out[1].masked == "flew to [PLACE_1], then [PLACE_2]. [PERSON_1] PySpark met Dr. [PERSON_2]"
+    assert out[2].masked is None and out[2].n_entities == 0
+    custom = F.array(F.struct(F.lit(0).alias("start"), F.lit("Paris").alias("text"), F.lit("PROJECT").alias("kind")))
+    rows = spark.createDataFrame([(0, "Paris and Sarah")], "doc_id long, text string")
+    assert masking.anonymize(rows, custom=custom).first().masked == "[PROJECT_1] and [PERSON_1]"  # custom texts come before names
+
+
 def test_shipped_lexicons(spark):
     """The default lists are full ones: at least as long as the reference's, without entries that no rule can match."""
     full = lexicon.Lexicon()

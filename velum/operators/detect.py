@@ -26,6 +26,8 @@ TECH_TERMS = ("JavaScript", "TypeScript", "PostgreSQL", "FileSystem", "FormData"
 #: What a text must hold for a pattern to match at all, a plain string or a pattern that is quick to look for.
 NEEDS = {URL: "://", EMAIL: "@", DOMAIN: r"\.(?:com|io|ai|dev|app|net|org|co)", HANDLE: "@", PHONE: r"[0-9][0-9]{3}(?![A-Za-z_])", IPV4: r"[0-9]\.[0-9]", SECRET: r"[A-Za-z0-9+/]{20}", CAMEL: r"[a-z][A-Z]"}
 
+#: Kinds of velum.operators.lexicon.
+NAMES = ("PERSON", "PLACE", "ORG")
 SPAN = "array<struct<start:int,text:string,kind:string>>"
 _MARK, _HIT = "\x01", "\x02"
 
@@ -56,11 +58,11 @@ def _free(found: Column, taken: Column) -> Column:
 
 
 def first_of_each(df: DataFrame, found: str, out: str) -> DataFrame:
-    """`df` with `out`: trimmed spans of column `found` with three bytes or more, the first of each text whatever its case.
+    """`df` with `out`: trimmed spans of column `found` with three bytes or more (names: two), the first of each text whatever its case.
 
     The steps are columns of their own, since what a lambda holds is evaluated again for each element.
     """
-    df = df.withColumn("_big", F.filter(found, lambda s: F.octet_length(F.trim(s["text"])) >= 3))
+    df = df.withColumn("_big", F.filter(found, lambda s: F.octet_length(F.trim(s["text"])) >= F.when(s["kind"].isin(*NAMES), 2).otherwise(3)))
     df = df.withColumn("_keys", F.transform("_big", lambda s: F.lower(s["text"])))
     return df.withColumn(out, F.filter("_big", lambda s, i: F.array_position("_keys", F.lower(s["text"])) == i + 1)).drop("_big", "_keys")
 
@@ -87,9 +89,13 @@ def camel_case(text: Column, terms: tuple[str, ...] = TECH_TERMS) -> Column:
     return F.filter(spans(text, CAMEL, "PROJECT"), lambda s: ~s["text"].isin(*terms))
 
 
-def entities(df: DataFrame, text: str = "text", terms: tuple[str, ...] = TECH_TERMS, custom: Column | None = None, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """`df` with `entities`: classes, then `custom` spans, then CamelCase; each text once, `allowed` words dropped."""
-    every = F.concat("found", *([custom] if custom is not None else []), "_camel")
+def entities(df: DataFrame, text: str = "text", terms: tuple[str, ...] = TECH_TERMS, custom: Column | None = None, allowed: tuple[str, ...] = (), names: Column | None = None) -> DataFrame:
+    """`df` with `entities`: classes, then `names` that are no `custom` texts, then `custom` spans, then CamelCase; each
+    text once, `allowed` words dropped.
+    """
+    if names is not None and custom is not None:
+        names = F.filter(names, lambda s: ~F.exists(custom, lambda c: F.lower(c["text"]) == F.lower(s["text"])))
+    every = F.concat("found", *(x for x in (names, custom) if x is not None), "_camel")
     found = raw_spans(df, text, terms).withColumn("_camel", camel_case(F.col(text), terms)).withColumn("_every", every)
     out = first_of_each(found, "_every", "entities").drop("found", "_camel", "_every")
     drop = [a.lower() for a in allowed]

@@ -6,10 +6,15 @@ original in its session, so the masking of turn t may use exactly the rows with
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from velum.operators.detect import TECH_TERMS, entities
+from velum.operators.lexicon import Lexicon, with_names
+
 TOKEN = r"\[[A-Z]+_[0-9]+\]"
 POISONED = r"\[[A-Z]+_[0-9]+\]?"
 ENVELOPE_VERSION = 1
@@ -82,14 +87,15 @@ def restore_turns(turns: DataFrame, tokens: DataFrame, text: str = "masked") ->
     return joined.withColumn("restored", restore(F.col(text), held)).drop("entries")
 
 
-def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(id, masked, entities, n_entities): every document its own session; one projection, no shuffle.
+def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, **options) -> DataFrame:
+    """(id, masked, entities, n_entities): every document its own session; one Arrow pass and one projection, no shuffle.
 
-    `options` go to velum.operators.detect.entities().
+    Classes, names by `lexicon`, custom spans, CamelCase. `options` go to velum.operators.detect.entities().
     """
-    from velum.operators.detect import entities
-
-    found = entities(docs.select(id_col, F.col(text).alias("_t")), "_t", **options)
+    lexicon = lexicon or Lexicon()
+    terms = lexicon.terms | frozenset(options.get("terms", TECH_TERMS))
+    named = with_names(docs.select(id_col, F.col(text).alias("_t")), replace(lexicon, terms=terms), "_t", "_names")
+    found = entities(named, "_t", names=F.col("_names"), **options)
     numbered = F.transform("entities", lambda s, i: F.struct(
         s["text"].alias("original"),
         F.concat(F.lit("["), s["kind"], F.lit("_"), (F.size(F.filter(F.slice(F.col("entities"), F.lit(1), i), lambda t: t["kind"] == s["kind"])) + 1).cast("string"), F.lit("]")).alias("token"),
