@@ -24,10 +24,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every class of near-duplicates the document with the smallest id; equal rows leave one."""
-    dropped = jaccard.join(docs).where("NOT kept").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps of every class of near-duplicates one text of the smallest id; rows equal in all columns leave one.
+
+    Rows are judged by id and text, so different texts under one id don't touch each other. A row without an id or
+    without words is near to no other and stays.
+    """
+    dropped = jaccard.join(docs, by_row=True).where("NOT first").select("doc_id", "_t").distinct()
+    kept = docs.select(*COLUMNS, jaccard.text_key().alias("_t")).join(dropped, ["doc_id", "_t"], "left_anti")
+    return kept.select(*COLUMNS).distinct()
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

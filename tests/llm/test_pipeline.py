@@ -8,7 +8,23 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import brute
-from velum.llm import decontaminate, quality
+from velum.llm import decontaminate, jaccard, quality
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    """Null and repeated ids: each row is judged by its own text; only rows equal in all columns fall together."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(None, a, "en"), (None, b, "en"), (None, a, "en"), (1, a, "en"), (1, b, "en"), (2, a + " end", "en"), (2, c, "en"), (3, d, "en"), (3, d, "en"), (3, d, None), (3, d + " end", "en"), (4, c, "en"), (5, None, "en"), (5, "", "en"), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()
+    # Of d and d + " end", both of id 3, one text stays.
+    end = [r for r in got if r.doc_id == 3]
+    assert {(r.text, r.lang) for r in end} in ({(d, "en"), (d, None)}, {(d + " end", "en")}) and len(end) in (1, 2)
+    want = [(None, a, "en"), (None, b, "en"), (1, a, "en"), (1, b, "en"), (2, c, "en"), (5, None, "en"), (5, "", "en"), (None, None, None)]
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got if r.doc_id != 3), key=repr) == sorted(want, key=repr)
+    texts = [(i, t) for i, t, _ in rows]
+    joined = jaccard.join(docs).collect()
+    assert sorted(map(tuple, joined), key=repr) == brute.jaccard(texts, 5, 0.8)
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):

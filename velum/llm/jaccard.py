@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velum.llm.common import blocks, components, flat, link_roots, map_batches, mix, prefix_hash, runs, span_hash, stored, utf8, words_of
@@ -111,10 +111,23 @@ def links(sets: list[np.ndarray], similarity: float, left: np.ndarray | None = N
     return np.nonzero(hit)
 
 
+def text_key(text: str = "text") -> Column:
+    """The hash that tells apart texts of one id; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _numbered(copies: DataFrame) -> tuple[DataFrame, bool]:
+    """`copies` with `rep`, which orders its rows like (id, t), and whether it is the id itself: where no id repeats."""
+    if copies.groupBy("id").count().where("count > 1").isEmpty():
+        return copies.withColumn("rep", F.col("id")), True
+    ordered = copies.repartitionByRange("id", "t").sortWithinPartitions("id", "t")
+    return stored(ordered.withColumn("rep", F.monotonically_increasing_id()), "numbered"), False
+
+
 def _sets_of(docs: DataFrame, words: int, text: str, id_col: str, similarity: float, bands: int, rows: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw, offsets in blocks(*flat(batch.column(1))):
+            for i, raw, offsets in blocks(*flat(batch.column(2))):
                 value, cuts = gram_sets(raw, offsets, words)
                 size = np.diff(cuts)
                 some = np.flatnonzero(size > 0)
@@ -127,26 +140,27 @@ def _sets_of(docs: DataFrame, words: int, text: str, id_col: str, similarity: fl
                         sums[some] = np.add.reduceat(mix(value * _STEP), cuts[some])
                     banded[some] = signatures(value, at, bands, rows)
                 listed = pa.FixedSizeListArray.from_arrays(pa.array(banded.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(size)), pa.array(size), pa.array(mark.view(np.int64)), pa.array(sums.view(np.int64)), listed], names=["id", "grams", "m1", "m2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(size)), batch.column(1).slice(i, len(size)), pa.array(size), pa.array(mark.view(np.int64)), pa.array(sums.view(np.int64)), listed], names=["id", "t", "grams", "m1", "m2", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("id"), utf8(text, lower=True).alias("_text")), work, f"id {kind}, grams long, m1 long, m2 long, bands array<long>")
+    return map_batches(docs.select(F.col(id_col).alias("id"), text_key(text).alias("t"), utf8(text, lower=True).alias("_text")), work, f"id {kind}, t long, grams long, m1 long, m2 long, bands array<long>")
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, text: str = "text", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, text: str = "text", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, block_grams: int = BLOCK_GRAMS, by_row: bool = False) -> DataFrame:
     """(id, class_id, n_links, kept): one row per row of `docs` (integer ids).
 
     Words are runs of digits, letters and characters beyond ASCII of the lower-cased text. n_links counts the other rows
     whose n-gram set has at least `similarity` with this one's, class_id is the smallest id that links reach, kept marks
     that one. Null, empty and wordless texts link with nothing. Repeated rows are copies of each other (kept marks all
-    rows of the smallest id); different texts under one id share their links. A null id never links and is its own class
-    (null, kept). Extra columns are dropped; an empty table gives an empty table.
+    rows of the smallest id); different texts under one id are rows of their own. A null id never links and is its own
+    class (null, kept). Extra columns are dropped; an empty table gives an empty table. With `by_row` two columns more:
+    _t, the text_key() of the row, and first, which marks of every class one text of the smallest id.
     """
     bands, rows = plan_bands(similarity, recall)
     sets = stored(_sets_of(docs, words, text, id_col, similarity, bands, rows), "sets")
     live = sets.where("grams > 0 AND id IS NOT NULL")
-    copies = live.groupBy("grams", "m1", "m2").agg(F.min(F.col("id").cast("long")).alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    copies = stored(copies, "copies")
+    copies = live.groupBy("grams", "m1", "m2").agg(F.min(F.struct(F.col("id").cast("long").alias("id"), "t")).alias("r"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    copies, by_id = _numbered(stored(copies.select("grams", "m1", "m2", "r.id", "r.t", "copies", "bands"), "copies"))
 
     tied = copies.select("rep", F.posexplode("bands").alias("band", "value"))
     centre = tied.groupBy("band", "value").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
@@ -155,14 +169,14 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
 
     # Blocks by size class: linked sets differ by less than one class and so lie in the same or neighbouring classes.
     step = -math.log(similarity) if similarity < 1 else 1.0
-    member = copies.join(group, F.col("rep") == F.col("id")).select("rep", "root", "copies", F.floor(F.log("grams") / step + 1e-9).cast("int").alias("c"), "grams")
+    member = copies.join(group.select(F.col("id").alias("rep"), "root"), "rep").select("rep", "id", "t", "root", "copies", F.floor(F.log("grams") / step + 1e-9).cast("int").alias("c"), "grams")
     member = stored(member, "members")
     count = member.groupBy("root", "c").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("n"))
     total = member.groupBy("root").agg(F.count("*").alias("docs"), F.sum("grams").alias("sum"))
     small = (F.col("docs") <= block_docs) & (F.col("sum") <= block_grams)
     near = lambda d: count.select("root", (F.col("c") + d).alias("c"), F.col("n").alias(f"n{d + 1}"))
     placed = member.join(total, "root")
-    lone = placed.where(small).select("rep", "copies", F.xxhash64("root", F.lit(-1)).alias("unit"), F.lit(0).alias("side"), F.lit(True).alias("alone"))
+    lone = placed.where(small).select("rep", "id", "t", "copies", F.xxhash64("root", F.lit(-1)).alias("unit"), F.lit(0).alias("side"), F.lit(True).alias("alone"))
     large = placed.where(~small).join(near(0), ["root", "c"]).join(near(-1), ["root", "c"], "left").join(near(1), ["root", "c"], "left")
     # n1: blocks of the own class, n0: of the next larger class (its row was shifted down), n2: of the next smaller one.
     mine = F.pmod(F.xxhash64("rep"), F.col("n1").cast("long")).cast("int")
@@ -170,13 +184,13 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     same = F.transform(spread("n1"), lambda o: F.struct(F.col("c").alias("c0"), F.least("mine", o).alias("b0"), F.col("c").alias("c1"), F.greatest("mine", o).alias("b1"), (F.col("mine") > o).cast("int").alias("side"), (F.col("mine") == o).alias("alone")))
     above = F.transform(spread("n0"), lambda o: F.struct(F.col("c").alias("c0"), F.col("mine").alias("b0"), (F.col("c") + 1).alias("c1"), o.alias("b1"), F.lit(0).alias("side"), F.lit(False).alias("alone")))
     below = F.transform(spread("n2"), lambda o: F.struct((F.col("c") - 1).alias("c0"), o.alias("b0"), F.col("c").alias("c1"), F.col("mine").alias("b1"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    dealt = large.withColumn("mine", mine).select("rep", "copies", "root", F.explode(F.concat(same, above, below)).alias("u"))
-    dealt = dealt.select("rep", "copies", F.xxhash64("root", "u.c0", "u.b0", "u.c1", "u.b1").alias("unit"), "u.side", "u.alone")
+    dealt = large.withColumn("mine", mine).select("rep", "id", "t", "copies", "root", F.explode(F.concat(same, above, below)).alias("u"))
+    dealt = dealt.select("rep", "id", "t", "copies", F.xxhash64("root", "u.c0", "u.b0", "u.c1", "u.b1").alias("unit"), "u.side", "u.alone")
     units = lone.unionAll(dealt)
 
-    wanted = units.groupBy("rep").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("unit", "side", "alone")).alias("u"))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), utf8(text, lower=True).alias("_text"))
-    fetched = texts.join(wanted, "rep")
+    wanted = units.groupBy("id", "t", "rep").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("unit", "side", "alone")).alias("u"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("t"), utf8(text, lower=True).alias("_text"))
+    fetched = texts.join(wanted, ["id", "t"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,9 +221,14 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     found = stored(map_batches(ready.repartition("unit").sortWithinPartitions("unit"), compare, "rep long, n long, root long"), "links")
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    own = copies.join(counts, "rep", "left").join(classes, F.col("rep") == F.col("id"), "left")
-    own = own.select("grams", "m1", "m2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    own = copies.join(counts, "rep", "left").join(classes.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    own = own.select("grams", "m1", "m2", F.struct("id", "t").alias("least"), F.coalesce("root", "rep").alias("root"), (F.coalesce("root", "rep") == F.col("rep")).alias("top"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    if by_id:
+        own = own.withColumn("class_id", F.col("root"))
+    else:
+        own = stored(own, "own").join(copies.select(F.col("rep").alias("root"), F.col("id").alias("class_id")), "root")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = live.join(own, ["grams", "m1", "m2"]).select(F.col("id").alias(id_col), F.col("class_id").cast(kind).alias("class_id"), "n_links")
-    rest = sets.where("grams = 0 OR id IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionAll(rest).withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
+    out = live.join(own, ["grams", "m1", "m2"]).select(F.col("id").alias(id_col), F.col("class_id").cast(kind).alias("class_id"), "n_links", F.col("t").alias("_t"), (F.col("top") & (F.struct(F.col("id").cast("long"), "t") == F.col("least"))).alias("first"))
+    rest = sets.where("grams = 0 OR id IS NULL").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("t").alias("_t"), F.lit(True).alias("first"))
+    kept = out.unionAll(rest).withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
+    return kept.select(id_col, "class_id", "n_links", "kept", *(("_t", "first") if by_row else ()))
