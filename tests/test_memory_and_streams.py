@@ -80,6 +80,26 @@ def test_images_and_repair(spark):
     assert [r.t for r in body.select(conversation.text_blocks(F.col("c")).alias("t")).collect()] == ["plain", "a\nb"]
 
 
+def test_share_levels_without_caps(spark):
+    """Neither the caps of recursive queries nor what lies below the target limit the levels."""
+    chain = [(str(i), str(i - 1) if i else None) for i in range(22)] + [(f"b{i}", "3") for i in range(9)] + [("lost", "gone"), (None, None)]
+    caps = {"spark.sql.cteRecursionLevelLimit": "5", "spark.sql.cteRecursionRowLimit": "8"}
+    for k, v in caps.items():
+        spark.conf.set(k, v)
+    try:
+        table = spark.createDataFrame(chain, "id string, parent string")
+        got = {(r.id, r.level) for r in conversation.share_levels(table, "19").collect()}
+        assert got == {(str(i), i) for i in range(20)} | {(f"b{i}", 4) for i in range(9)} | {(None, 0)}
+        assert conversation.share_levels(table, "lost").count() == 0
+        twice = spark.createDataFrame([("r", None), ("t", "r"), ("m", "r"), ("t", "m"), ("u", "t")], "id string, parent string")
+        assert sorted((r.id, r.level) for r in conversation.share_levels(twice, "t").collect()) == [("m", 1), ("r", 0), ("t", 1), ("t", 2), ("u", 2)]
+        with pytest.raises(ValueError, match="loop"):
+            conversation.share_levels(spark.createDataFrame([("r", None), ("x", "r"), ("x", "x")], "id string, parent string"), "x")
+    finally:
+        for k in caps:
+            spark.conf.unset(k)
+
+
 def test_balances_equal_fold(spark):
     rng = random.Random(2)
     rows = [(u, s, float(rng.randrange(-9, 10))) for u in range(12) for s in range(rng.randrange(1, 30))]

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from velum.io import cut
+
 RESULT_BYTES, HEAD_LINES, TAIL_LINES = 8192, 50, 20
 KEEP_MESSAGES, KEEP_IMAGES, CONTEXT_BYTES, HARD_CAP = 40, 3, 640_000, 800_000
+#: Levels that are kept apart before they are written as one.
+ROUNDS = 16
 # Words by which queries are classed, in order.
 QUERY_CLASSES = (
     ("code", "code|function|implement|refactor|debug|typescript|javascript|python|sql|class|interface"),
@@ -124,16 +130,30 @@ def page(rows: DataFrame, order: str, key: str, size: int, after: tuple | None =
 
 
 def share_levels(messages: DataFrame, target: str) -> DataFrame:
-    """(id, level): messages (id, parent) of the levels from the roots down to that of `target`, by a recursive query."""
-    spark = messages.sparkSession
-    levels = spark.sql(
-        """WITH RECURSIVE walk(id, level) AS (
-               SELECT id, 0 FROM {m} WHERE parent IS NULL
-               UNION ALL SELECT c.id, w.level + 1 FROM {m} c JOIN walk w ON c.parent = w.id)
-           SELECT id, level FROM walk""",
-        m=messages,
-    )
-    return levels.where(F.col("level") <= F.lit(levels.where(F.col("id") == target).agg(F.max("level")).first()[0]))
+    """(id, level): messages (id, parent) of the levels from the roots down to that of `target`; none if no root reaches it.
+
+    One join a level, each cut, down to the level of the target; neither depth nor rows are capped. Where ids repeat the
+    target can stand on several levels, so all are walked and the last one counts; a loop below a root is an error.
+    """
+    rows = cut(messages.select("id", "parent"))
+    alone = rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty()
+    most = rows.count()
+    now, held, depth, last = cut(rows.where("parent IS NULL").select("id", F.lit(0).alias("level"))), [], 0, None
+    while True:
+        n, hit = now.agg(F.count("*"), F.max(F.col("id") == F.lit(target))).first()
+        held.append(now)
+        last = depth if hit else last
+        if not n or (hit and alone):
+            break
+        if depth > most:
+            raise ValueError("messages form a loop below a root")
+        if len(held) == ROUNDS:
+            held = [cut(reduce(DataFrame.unionAll, held).coalesce(max(n.rdd.getNumPartitions() for n in held)))]
+        depth += 1
+        above = now.select(F.col("id").alias("parent"))
+        now = cut(rows.join(above, "parent").select("id", F.lit(depth).alias("level")))
+    levels = reduce(DataFrame.unionAll, held)
+    return levels.where(F.col("level") <= F.lit(last).cast("int"))
 
 
 def delete_after(messages: DataFrame, pivot: DataFrame) -> DataFrame:
