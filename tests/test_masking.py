@@ -92,6 +92,26 @@ def test_mask_guards(spark):
     assert late.where("masked != text").count() == 0
 
 
+def test_found_masks_carry_few_entries(spark):
+    """In a session with very many originals each row carries only its own: the same masks, and no array of all of them."""
+    texts = [f"mail u{i}@ex.com or U{i // 2}@EX.com" + (" see https://ex.com/a" if i % 3 else "") for i in range(60)]
+    rows = spark.createDataFrame([("s" if i else None, i, t) for i, t in enumerate(texts)], "session string, turn long, text string")
+    found = detect.detections(rows, ["session", "turn"])
+    tokens = masking.token_map(found)
+    out = masking.mask_found(rows, found, tokens)
+    want = {r.turn: r.masked for r in masking.mask_turns(rows, tokens).collect()}
+    assert {r.turn: r.masked for r in out.collect()} == want and "@" not in want[1]
+    back = masking.restore_turns(out, tokens).collect()
+    assert len(back) == 60 and all(r.restored.lower() == r.text.lower() for r in back)
+    held = []
+    plain, masking.restore = masking.restore, lambda text, e: held.append(1) or F.size(e).cast("string")
+    try:
+        sizes = [int(r.restored) for r in masking.restore_turns(out, tokens).collect()]
+    finally:
+        masking.restore = plain
+    assert held and max(sizes) <= 3
+
+
 def test_poisoned_and_unknown_tokens_stay(spark):
     tokens = spark.createDataFrame([("s", "fine", "ORG", "[ORG_1]", 0), ("s", "see [PERSON_2", "ORG", "[ORG_2]", 0)], "session string, original string, kind string, token string, first_turn long")
     rows = spark.createDataFrame([("s", 0, "[ORG_1] [ORG_2] [ORG_3] [ORG_11]")], "session string, turn long, masked string")

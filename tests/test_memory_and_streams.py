@@ -192,6 +192,26 @@ def test_monitors_stream_equals_batch(spark, tmp_path):
     assert streamed(spark, tmp_path, table, lambda d: restore.rate_limit_stream(d, 3, 20), "limited") == sorted(want)
 
 
+def test_folds_hold_one_state(spark):
+    """A key with very many rows is streamed: no array of its events, many Arrow batches, also nulls."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit("hot").alias("key"), F.col("id").alias("seq"), F.col("id").cast("double").alias("at"), (F.col("id") % 97).alias("n")).unionByName(
+        spark.createDataFrame([(None, 1, None, None), (None, 2, 5.0, 60), ("a", 1, 1.0, 1)], "key string, seq long, at double, n long")
+    )
+    limited, grown = restore.rate_limit_batch(rows, 3, 10.0), restore.cascade_batch(rows)
+    for df in (limited, grown):
+        assert "collect_list" not in df._jdf.queryExecution().toString() and df.count() == n + 3
+    times, want = [], {}
+    for i in range(n):
+        want[i], times = restore.admit(times, float(i), 3, 10.0)
+    assert {r.seq: r.admitted for r in limited.where("key = 'hot'").collect()} == want
+    window, want = [], {}
+    for i in range(n):
+        want[i], window = restore.fires(window, i % 97)
+    assert {r.seq: r.fired for r in grown.where("key = 'hot'").collect()} == want
+    assert [r.admitted for r in limited.where("key IS NULL").collect()] == [True, True] and grown.where("key IS NULL AND fired").count() == 0
+
+
 def test_json_restore():
     assert restore.restore_json('{"a": ["[X_1]", {"[X_1]": "b [X_1]"}], "n": 1}', {"[X_1]": 'q"'}) == '{"a": ["q\\"", {"[X_1]": "b q\\""}], "n": 1}'
     assert restore.restore_json("not json [X_1]", {"[X_1]": "y"}) == "not json y"

@@ -73,6 +73,20 @@ def mask_turns(turns: DataFrame, tokens: DataFrame, text: str = "text") -> DataF
     return joined.withColumn("masked", mask(F.col(text), F.col("_e"))).drop("entries", "_e", "_low")
 
 
+def mask_found(turns: DataFrame, found: DataFrame, tokens: DataFrame, text: str = "text") -> DataFrame:
+    """`turns` with `masked`: mask_turns() for sessions of any size, from detections `found` (session, turn, text).
+
+    Each row gets the entries of what was found in its turn, joined by session and original, so no row carries the map
+    of its session. An original that stands in a text without being found there stays.
+    """
+    hits = found.select("session", "turn", F.lower("text").alias("key")).distinct()
+    known = tokens.select("session", F.lower("original").alias("key"), "original", "token", "first_turn")
+    held = hits.join(known, ["session", "key"]).where("first_turn <= turn").select(F.struct("session", "turn").alias("session"), "original", "token", "first_turn")
+    joined = turns.withColumn("_at", F.struct("session", "turn")).join(entries(held).withColumnRenamed("session", "_at"), "_at", "left")
+    usable = F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>"))
+    return joined.withColumn("_e", usable).withColumn("masked", mask(F.col(text), F.col("_e"))).drop("_at", "entries", "_e")
+
+
 def restore(text: Column, held: Column) -> Column:
     """Tokens replaced by their originals, longest tokens first; poisoned originals and unknown tokens stay."""
     clean = F.filter(held, lambda e: ~e["original"].rlike(POISONED) & F.contains(text, e["token"]))
@@ -81,10 +95,13 @@ def restore(text: Column, held: Column) -> Column:
 
 
 def restore_turns(turns: DataFrame, tokens: DataFrame, text: str = "masked") -> DataFrame:
-    """`turns` with `restored`."""
-    joined = turns.join(entries(tokens), "session", "left")
+    """`turns` with `restored`: the tokens in a text are joined to the map one by one, so a large map costs nothing more."""
+    marked = turns.withColumn("_at", F.struct("session", F.xxhash64(text).alias("h")))
+    stand = marked.select("session", "_at", F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN})"), 1)).alias("token")).where("token IS NOT NULL").distinct()
+    hits = stand.join(tokens.select("session", "token", "original", "first_turn"), ["session", "token"]).select(F.col("_at").alias("session"), "original", "token", "first_turn")
+    joined = marked.join(entries(hits).withColumnRenamed("session", "_at"), "_at", "left")
     held = F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>"))
-    return joined.withColumn("restored", restore(F.col(text), held)).drop("entries")
+    return joined.withColumn("restored", restore(F.col(text), held)).drop("_at", "entries")
 
 
 def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, **options) -> DataFrame:

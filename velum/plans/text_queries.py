@@ -74,9 +74,10 @@ _SESSION_TOKENS = f"""
 
 def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    tokens = masking.token_map(_mail_found(docs))
+    found = detect.detections(docs.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), "text"), ["session", "turn"])
+    tokens = masking.token_map(found)
     turns = docs.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), "text")
-    back = masking.restore_turns(masking.mask_turns(turns, tokens).select("session", "turn", "masked"), tokens)
+    back = masking.restore_turns(masking.mask_found(turns, found, tokens).select("session", "turn", "masked"), tokens)
     return back.select(F.col("turn").alias("doc_id"), F.regexp_count("masked", F.lit(detect.EMAIL)).alias("n_left"), F.sha2("restored", 256).alias("digest"))
 
 

@@ -1,16 +1,18 @@
 """Streams: restoring tokens across chunks, sliding rate limits, and the monitor of runaway growth.
 
 Each has a streaming form (keyed state in Structured Streaming) and a batch form over a finished table (a fold of the
-ordered events of a key, in the JVM), which give the same rows.
+ordered events of a key: chunks in the JVM, the monitors row by row with the state of the stream), which give the same
+rows.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -109,17 +111,38 @@ def rate_limit_stream(requests: DataFrame, most: int = REQUESTS, seconds: float
     return requests.groupBy("key").applyInPandasWithState(step, "key string, seq long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def fold(rows: DataFrame, key: str, order: tuple[str, ...], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, object]], out: str, kind: pa.DataType) -> DataFrame:
+    """(key, seq, out): `step` (state, values of `order`) -> (state, result) over the rows of each key by `order`.
+
+    Rows are sorted within partitions and streamed; only the state of one key is held, however many rows the key has.
+    """
+    at = order.index("seq")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start()
+        for batch in batches:
+            keys, results = batch.column(0).to_pylist(), []
+            for k, values in zip(keys, zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True), strict=True):
+                if k != last:
+                    last, state = k, start()
+                state, result = step(state, values)
+                results.append(result)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1 + at), pa.array(results, kind)], names=[key, "seq", out])
+
+    sorted_rows = rows.select(key, *(F.col("seq").cast("long") if c == "seq" else c for c in order)).repartition(key).sortWithinPartitions(key, *order)
+    return sorted_rows.mapInArrow(work, f"{key} {rows.schema[key].dataType.simpleString()}, seq long, {out} boolean")
+
+
 def rate_limit_batch(requests: DataFrame, most: int = REQUESTS, seconds: float = SECONDS) -> DataFrame:
-    """The rows of rate_limit_stream() for a finished table."""
-    ordered = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("r"))
-    start = F.struct(F.array().cast("array<double>").alias("live"), F.array().cast("array<struct<seq:bigint,admitted:boolean>>").alias("out"))
+    """The rows of rate_limit_stream() for a finished table. A request without a time sees none and leaves none."""
 
-    def step(acc: Column, r: Column) -> Column:
-        live = F.filter(acc["live"], lambda t: t >= r["at"] - seconds)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.array_append(live, r["at"].cast("double"))).otherwise(live).alias("live"), F.array_append(acc["out"], F.struct(r["seq"].cast("long").alias("seq"), ok.alias("admitted"))).alias("out"))
+    def step(times: list[float], values: tuple) -> tuple[list[float], bool]:
+        if values[0] is None:
+            return [], most > 0
+        ok, times = admit(times, values[0], most, seconds)
+        return times, ok
 
-    return ordered.select("key", F.explode(F.aggregate("r", start, step, lambda acc: acc["out"])).alias("o")).select("key", "o.seq", "o.admitted")
+    return fold(requests.withColumn("at", F.col("at").cast("double")), "key", ("at", "seq"), list, step, "admitted", pa.bool_())
 
 
 def fires(window: list[int], count: int) -> tuple[bool, list[int]]:
@@ -146,17 +169,16 @@ def cascade_stream(counts: DataFrame) -> DataFrame:
 
 
 def cascade_batch(counts: DataFrame) -> DataFrame:
-    """The rows of cascade_stream() for a finished table."""
-    ordered = counts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("n").cast("long").alias("n")))).alias("c"))
-    start = F.struct(F.array().cast("array<bigint>").alias("w"), F.array().cast("array<struct<seq:bigint,fired:boolean>>").alias("out"))
+    """The rows of cascade_stream() for a finished table. A window with a null count at its ends doesn't fire."""
 
-    def step(acc: Column, c: Column) -> Column:
-        longer = F.array_append(acc["w"], c["n"])
-        w = F.slice(longer, F.greatest(F.size(longer) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
-        fired = (F.size(w) == WINDOW) & (c["n"] > HIGH) & (c["n"] - F.get(w, F.lit(0)) >= GROWTH) & (c["n"] > F.get(w, F.size(w) - 2))
-        return F.struct(F.when(fired, F.array().cast("array<bigint>")).otherwise(w).alias("w"), F.array_append(acc["out"], F.struct(c["seq"].cast("long").alias("seq"), F.coalesce(fired, F.lit(False)).alias("fired"))).alias("out"))
+    def step(window: list[int], values: tuple) -> tuple[list[int], bool]:
+        longer = [*window, values[1]][-WINDOW:]
+        if None in (longer[0], longer[-1], longer[-2:][0]):
+            return longer, False
+        fired, window = fires(window, values[1])
+        return window, fired
 
-    return ordered.select("key", F.explode(F.aggregate("c", start, step, lambda acc: acc["out"])).alias("o")).select("key", "o.seq", "o.fired")
+    return fold(counts.withColumn("n", F.col("n").cast("long")), "key", ("seq", "n"), list, step, "fired", pa.bool_())
 
 
 def restore_json(text: str, originals: dict[str, str]) -> str:
