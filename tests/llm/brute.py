@@ -85,6 +85,15 @@ def strings(docs, length):
     return out
 
 
+def worded(raw, mask, least):
+    """`mask` without its runs that hold fewer than `least` whole words."""
+    out, words = bytearray(len(raw)), [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+    for run in re.finditer(rb"\x01+", bytes(mask)):
+        if sum(1 for a, b in words if a >= run.start() and b <= run.end()) >= least:
+            out[run.start() : run.end()] = b"\1" * (run.end() - run.start())
+    return bytes(out)
+
+
 def edits(pattern, text):
     """Least edit distance of `pattern` to any part of `text`."""
     row = [0] * (len(text) + 1)

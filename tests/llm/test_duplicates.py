@@ -80,7 +80,7 @@ def string_docs():
     return [*docs, (60, None), (None, "abab" * 30), (None, "abab" * 30), (61, ""), (62, "é" * 50), (63, "a" * 300), (5, "q" * 7), (64, "".join(rng.choice("abcdefgh") for _ in range(50000)))]
 
 
-@pytest.mark.parametrize(("length", "gram", "most"), [(12, 5, 8000), (12, 5, 2), (20, 20, 8000), (16, 4, 1)])
+@pytest.mark.parametrize(("length", "gram", "most"), [(12, 5, 1 << 18), (12, 5, 60), (20, 20, 1 << 18), (16, 4, 1), (21, 4, 1)])
 def test_repeated_strings(spark, length, gram, most):
     docs = string_docs()
     table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, kept int")
@@ -90,6 +90,24 @@ def test_repeated_strings(spark, length, gram, most):
         assert suffix_dedup.remove(table.limit(0)).count() == 0
 
 
+def test_passages_by_words(spark):
+    """Only removed runs with enough whole words go; a passage of short words and one of long words are both found."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijké") for _ in range(n))
+    own = lambda: " ".join(word(7) for _ in range(30))
+    short, long, few = (" ".join(word(n) for _ in range(k)) for n, k in ((3, 51), (9, 51), (9, 49)))
+    docs = [(i, f"{own()} {passage} {own()}") for i, passage in enumerate([short, short, long, long, few, few])]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.cut_texts(table, length=150, gram=50, words=51).collect()}
+    for i, text in docs:
+        if i < 4:
+            assert len(got[i]) < 500 and (short if i < 2 else long)[10:-10] not in got[i]
+        else:
+            assert got[i] == text
+    text = "ab cd, ef".encode()
+    assert [suffix_dedup.whole_words(text, *s) for s in ((0, 9), (1, 9), (0, 8), (1, 8), (2, 6), (3, 5))] == [3, 2, 2, 1, 1, 1]
+
+
 def test_repeated_strings_query(spark):
     import duckdb
 

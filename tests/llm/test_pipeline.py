@@ -32,10 +32,11 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     vocabulary = ["".join(rng.choice("abcdefghiklmnoprstué") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
     prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(i, prose(25)) for i in range(4)]
-    passage = prose(110)
+    passage, shorter = prose(110), prose(56)
     docs = [(i, prose(rng.randrange(30, 120))) for i in range(50)]
     docs += [(60 + i, docs[i][1]) for i in range(4)] + [(70 + i, docs[10 + i][1] + " tail") for i in range(4)]
     docs += [(80 + i, prose(15) + " " + passage + " " + prose(15)) for i in range(4)]
+    docs += [(84 + i, prose(20) + " " + shorter + ". " + prose(20)) for i in range(3)]
     docs += [(90 + i, prose(10) + " " + items[i][1] + " " + prose(10)) for i in range(4)]
     docs += [(100 + i, "| " * 8 + "x | y | x x x x x x x x | " * rng.randrange(8, 20)) for i in range(8)] + [(120, None), (121, "")]
     labels = [(d, 0 if 100 <= d < 110 else 1, 0) for d, _ in docs]
@@ -56,8 +57,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     kept = {d for d, _, _, keep in brute.jaccard(left, 5, 0.8) if keep}
     left = [(d, t) for d, t in left if d in kept]
     cut = []
-    for (d, t), (_, _, gone, _, _, mask) in zip(left, brute.strings(left, 400), strict=True):
+    for (d, t), (_, _, gone, _, _, mask) in zip(left, brute.strings(left, corpus_pipeline.PASSAGE_BYTES), strict=True):
         raw, out, piece = (t or "").encode(), "", bytearray()
+        mask = brute.worded(raw, mask, corpus_pipeline.PASSAGE_WORDS)
+        gone = any(mask)
         for byte, m in zip(raw, mask, strict=True):
             if m:
                 out, piece = out + piece.decode("utf-8", "ignore"), bytearray()
@@ -76,5 +79,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             want.append((d, len(ids), sha(",".join(map(str, ids))), sha(t)))
     assert got == sorted(want) and 40 < len(want) < 60
     columns = [f.name for f in spark.read.parquet(f"{tmp_path}/documents.parquet").schema]
-    step = corpus_pipeline.STAGES[2][1](spark, stored.where(F.col("doc_id") < 85), str(tmp_path))
+    step = corpus_pipeline.STAGES[2][1](spark, stored.where(F.col("doc_id") < 87), str(tmp_path))
     assert step.columns == columns
+    after = {r.doc_id: r.text for r in step.collect()}
+    assert all(shorter[5:-5] not in after[84 + i] and after[84 + i] for i in range(3))

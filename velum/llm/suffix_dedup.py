@@ -10,12 +10,14 @@ A string is `length` bytes; two equal strings anywhere (overlaps count) mark eve
 3. Fetched runs of a hash meet and their starts are refined: initial q-gram buckets, then buckets of doubled length by
    sorting on the bucket numbers of a start and of the offset behind it, reused from round to round. A start whose
    bucket has one member leaves at once.
-   A hash with more than `most` distinct runs isn't gathered: its strings are counted by 128-bit digests instead.
+   The runs of a hash that take more than `most` bytes aren't gathered: their starts are refined in the same rounds by
+   grouped counts over all tasks, with the hashes of the q-grams as bucket numbers.
 4. Starts of repeated strings become spans of documents.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import BLOCK_BYTES, blocks, discard, flat, map_batches, mix, prefix_hash, span_hash, stored, utf8
+from velum.llm.common import BLOCK_BYTES, blocks, discard, flat, map_batches, prefix_hash, span_hash, stored, utf8
 
 LENGTH, GRAM = 400, 100
-#: Distinct runs of one hash that meet in a task; beyond, strings are counted by digest.
-MOST_RUNS = 8000
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of the distinct runs of one hash that meet in a task; larger buckets are refined by grouped counts.
+MOST_BYTES = 1 << 18
+#: Bytes of a word, ASCII case kept.
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -139,7 +142,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", most: int = MOST_RUNS) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", most: int = MOST_BYTES) -> DataFrame:
     """(k1, k2, spans): by document key, array of (start, starts) of strings that occur again somewhere.
 
     k1 and k2 hash id and text, so rows with null or repeated ids are told apart unless they are equal in both.
@@ -163,7 +166,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
 
     mixed = entries.where("mixed")
     distinct = stored(mixed.groupBy("h", "d", "starts").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("rep")), "distinct")
-    hot = stored(distinct.groupBy("h").agg(F.count("*").alias("members")).where(F.col("members") > most).select("h", F.lit(True).alias("hot")), "hot")
+    hot = stored(distinct.groupBy("h").agg(F.sum(F.col("starts") + (length - 1)).alias("bytes")).where(F.col("bytes") > most).select("h", F.lit(True).alias("hot")), "hot")
     wanted = distinct.join(hot, "h", "left").select("rep.k1", "rep.k2", F.struct("h", "d", "n", "rep.at", "starts", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("w"))
 
@@ -199,28 +202,44 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
     parted = fetched.where("NOT hot").select("h", "d", "n", "k1", "k2", "at", "bytes").repartition("h").sortWithinPartitions("h", "d")
     refined = map_batches(parted, refine, schema)
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    by_count = _refined_by_count(fetched.where("hot"), length, gram) if not hot.isEmpty() else fetched.where("false").select("k1", "k2", "at", F.lit(1).cast("long").alias("starts"))
+
+    again = distinct.where("n > 1").select("h", "d", "starts")
+    whole = mixed.join(again, ["h", "d", "starts"]).select("k1", "k2", "at", "starts")
+    found = entries.where("NOT mixed").select("k1", "k2", "at", "starts").unionAll(whole).unionAll(refined).unionAll(by_count)
+    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "starts")).alias("spans"))
+
+
+def _refined_by_count(fetched: DataFrame, length: int, gram: int) -> DataFrame:
+    """(k1, k2, at, starts) of repeated strings in runs (h, d, k1, k2, at, bytes) whose hashes hold too many to gather.
+
+    Every start carries the bucket numbers (64-bit hashes) of the q-grams that make up its string. A round doubles the
+    bytes that a bucket stands for: buckets are counted with partial counts before the shuffle, starts alone in theirs
+    leave. No bucket is ever held by one task.
+    """
+    offsets = [*range(0, length - gram, gram), length - gram]
+    names = [f"g{i}" for i in range(len(offsets))]
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy()
-            for i, raw, offsets in blocks(*flat(batch.column(3)), limit=BLOCK_BYTES // 8):
-                room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(raw))
+            for i, raw, cuts in blocks(*flat(batch.column(3)), limit=BLOCK_BYTES // 8):
+                room = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(raw))
                 s = np.flatnonzero(room >= length)
-                owner = np.searchsorted(offsets, s, "right") - 1
-                one = span_hash(prefix_hash(raw), s, s + length)
-                half = length // 2
-                two = mix(span_hash(prefix_hash(raw), s, s + half) * _SECOND ^ span_hash(prefix_hash(raw), s + half, s + length))
+                owner = np.searchsorted(cuts, s, "right") - 1
+                sums = prefix_hash(raw)
                 row = pa.array(owner + i)
-                yield pa.RecordBatch.from_arrays([_signed(one), _signed(two), batch.column(0).take(row), batch.column(1).take(row), pa.array(at[owner + i] + s - offsets[owner])], names=["w1", "w2", "k1", "k2", "at"])
+                grams = [_signed(span_hash(sums, s + o, s + o + gram)) for o in offsets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(at[owner + i] + s - cuts[owner]), *grams], names=["k1", "k2", "at", *names])
 
-    lone = fetched.where("hot").dropDuplicates(["h", "d"]).select("k1", "k2", "at", "bytes")
-    counted = map_batches(lone, strings, f"w1 long, w2 long, {key}, at long")
-    twice = counted.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    by_digest = counted.join(twice, ["w1", "w2"]).select("k1", "k2", "at", F.lit(1).cast("long").alias("starts"))
-
-    again = distinct.where("n > 1").select("h", "d", "starts")
-    whole = mixed.join(again, ["h", "d", "starts"]).select("k1", "k2", "at", "starts")
-    found = entries.where("NOT mixed").select("k1", "k2", "at", "starts").unionAll(whole).unionAll(refined).unionAll(by_digest)
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "starts")).alias("spans"))
+    once = fetched.dropDuplicates(["h", "d"]).select("k1", "k2", "at", "bytes")
+    live = stored(map_batches(once, starts, "k1 long, k2 long, at long, " + ", ".join(f"{g} long" for g in names)), "starts")
+    held = 1
+    while held < len(names):
+        held = min(2 * held, len(names))
+        key = names[:held]
+        live = stored(live.join(live.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), key), "starts")
+    return live.select("k1", "k2", "at", F.lit(1).cast("long").alias("starts"))
 
 
 def packed_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -258,7 +277,14 @@ def removed(size: int, spans: list[tuple[int, int]], length: int) -> list[tuple[
     return [(a, b) for a, b in out]
 
 
-def _removed(docs: DataFrame, length: int, gram: int, text: str, id_col: str, most: int, carry: tuple[str, ...], as_text: bool) -> DataFrame:
+def whole_words(text: bytes, start: int, end: int) -> int:
+    """Words that lie in text[start:end] from their first to their last byte."""
+    n = sum(1 for _ in WORD.finditer(text, start, end))
+    split = lambda at: 0 < at < len(text) and WORD.match(text, at - 1, at) and WORD.match(text, at, at + 1)
+    return n - bool(split(start)) - bool(split(end))
+
+
+def _removed(docs: DataFrame, length: int, gram: int, text: str, id_col: str, most: int, carry: tuple[str, ...], as_text: bool, words: int = 0) -> DataFrame:
     found = repeats(docs, length, min(gram, length), text, id_col, most)
     extra = [f"_c{i}" for i in range(len(carry))]
     joined = packed_texts(docs, text, id_col, carry).join(found, ["k1", "k2"], "left").select("_id", "packed", "size", "spans", *extra)
@@ -271,6 +297,7 @@ def _removed(docs: DataFrame, length: int, gram: int, text: str, id_col: str, mo
             for packed, size, spans in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 whole = _unpacked(packed, size)
                 gone = removed(size, [(s["at"], s["starts"]) for s in spans or ()], length)
+                gone = [x for x in gone if not words or whole_words(whole, *x) >= words]
                 cuts = [0, *(x for span in gone for x in span), size]
                 pieces = [whole[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
                 left = "".join(p.decode("utf-8", "ignore") for p in pieces) if as_text else b"".join(pieces)
@@ -283,7 +310,7 @@ def _removed(docs: DataFrame, length: int, gram: int, text: str, id_col: str, mo
     return map_batches(joined, drop, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, `{out[0]}` {out[1]}{kept}")
 
 
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", most: int = MOST_RUNS) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", id_col: str = "doc_id", most: int = MOST_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary) for each row of `docs`.
 
     Every byte covered by a string of `length` bytes (2 at least) that starts at another place too, in the same document
@@ -294,9 +321,10 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
     return _removed(docs, length, gram, text, id_col, most, (), False)
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), gram: int = GRAM, words: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, text, *carry, n_chars): remove() with what is left as text.
 
-    A character of which only a part is removed goes as a whole. The same cases as in remove().
+    With `words` only maximal runs of removed bytes that hold so many whole words go, shorter ones stay. A character of
+    which only a part is removed goes as a whole. The same cases as in remove().
     """
-    return _removed(docs, length, GRAM, "text", "doc_id", MOST_RUNS, carry, True).withColumn("n_chars", F.char_length("text").cast("long"))
+    return _removed(docs, length, gram, "text", "doc_id", MOST_BYTES, carry, True, words).withColumn("n_chars", F.char_length("text").cast("long"))
