@@ -15,6 +15,9 @@ from velum.llm.common import stored
 from velum.llm.queries import TOKENIZER
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Repeated passages: fewer words are left alone; the bytes are what 99 of 100 passages of so many words exceed in each
+#: language of the corpus (measured: 201 Spanish, 203 French, 224 English, 258 German), the q-grams a quarter of them.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated 400-byte strings out of texts (n_chars follows); documents that consist of them go."""
-    return suffix_dedup.cut_texts(docs, carry=("lang", "source")).where("n_removed = 0 OR n_chars > 0").select(*COLUMNS)
+    """Cuts passages of PASSAGE_WORDS words that stand elsewhere too out of texts (n_chars follows).
+
+    They are found as repeated strings of PASSAGE_BYTES bytes. Documents that consist of them go.
+    """
+    cut = suffix_dedup.cut_texts(docs, PASSAGE_BYTES, ("lang", "source"), PASSAGE_BYTES // 4, PASSAGE_WORDS)
+    return cut.where("n_removed = 0 OR n_chars > 0").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
