@@ -262,3 +262,20 @@ def test_overlap_matches(spark):
     found = spark.createDataFrame([(1, 0, "P", "Ann"), (1, 1, "P", "ann lee"), (1, 2, "P", "bob"), (2, 0, "P", "Acme")], shape)
     got = sorted(map(tuple, store.overlap_matches(gold, found).collect()))
     assert got == [(1, "P", 2, 1, 0), (2, "O", 0, 0, 1), (2, "P", 0, 1, 0)]
+
+
+def test_paragraphs_keep_their_digits(spark):
+    """Only white space around paragraphs goes, also where a paragraph starts or ends with the digit of its place."""
+    text = "\n\n".join(f"{i} a paragraph that is long enough {i}" for i in range(4))
+    row = spark.createDataFrame([(text,)], "content string").select(memory.chunks(F.col("content"), 50).alias("c")).first()
+    assert row.c == text.split("\n\n")
+
+
+def test_not_covered_equals_brute_force(spark):
+    rng = random.Random(5)
+    sets = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 9))) for _ in range(160)] + ["", "   "]
+    asked, held = list(enumerate(sets[:100])) + [(900, "")], sets[80:]
+    words = lambda t: frozenset(t.lower().split())
+    want = {i for i, t in asked if not any(words(t) and words(h) and len(words(t) & words(h)) / len(words(t) | words(h)) > 0.7 for h in held)}
+    got = memory.not_covered(spark.createDataFrame(asked, "id long, content string"), spark.createDataFrame([(h,) for h in held], "content string"))
+    assert {r.id for r in got.collect()} == want and got.count() == len(want)

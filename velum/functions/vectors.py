@@ -126,6 +126,14 @@ def register(spark: SparkSession) -> list[str]:
         "vec_int8": ("t STRING", "ARRAY<TINYINT>", "from_json(t, 'array<tinyint>')"),
         "vec_quantize_int8": (f"a {v}", "ARRAY<TINYINT>", "transform(a, x -> CAST(CAST(least(greatest((x + 1) / (2.0D / 255) - 128, -128.0D), 127.0D) AS INT) AS TINYINT))"),
     }
+    bits = "aggregate(zip_with(a, b, (x, y) -> bit_count(CAST(x ^ y AS INT) & 255)), 0, (s, x) -> s + x)"
+    byte = "aggregate(sequence(0, 7), 0, (s, i) -> s + IF(get(a, j * 8 + i) > 0, CAST(pow(2, i) AS INT), 0))"
+    bodies |= {
+        "vec_distance_hamming": ("a ARRAY<TINYINT>, b ARRAY<TINYINT>", "INT", bits),
+        "vec_bit": ("t STRING", "ARRAY<TINYINT>", "from_json(t, 'array<tinyint>')"),
+        "vec_quantize_binary": (f"a {v}", "ARRAY<TINYINT>", f"transform(sequence(0, CAST(size(a) / 8 AS INT) - 1), j -> CAST({byte} - IF({byte} > 127, 256, 0) AS TINYINT))"),
+        "vec_each": (f"a {v}", "TABLE(index INT, value DOUBLE)", "SELECT pos, col FROM posexplode(a)"),
+    }
     for name, (args, out, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {out} RETURN {body}")
     return sorted(bodies)

@@ -61,6 +61,72 @@ def summaries(messages: DataFrame, user_chars: int = 400, other_chars: int = 300
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda x: x["line"]), "\n").alias("summary"))
 
 
+def trim_summarised(messages: DataFrame, most_bytes: int = CONTEXT_BYTES, keep: int = KEEP_MESSAGES) -> DataFrame:
+    """(conv_id, idx, place, role, text, results): trim() with what is left out told in a summary behind the first message.
+
+    `messages` has conv_id, idx, role, text, calls and results (arrays of call ids). A conversation beyond `most_bytes`
+    with more than `keep` + 1 messages keeps the first, gets a user message with the summary of the dropped ones (place 1,
+    the first's idx), and keeps the last `keep`; results whose call no kept assistant message makes go.
+    """
+    whole = Window.partitionBy("conv_id")
+    sized = messages.withColumns({"_s": F.sum(F.octet_length("text")).over(whole), "_n": F.count("*").over(whole), "_b": F.row_number().over(whole.orderBy(F.desc("idx"))), "_f": F.min("idx").over(whole)})
+    cutting = (F.col("_s") > most_bytes) & (F.col("_n") > keep + 1)
+    marked = sized.withColumn("_drop", cutting & (F.col("_b") > keep) & (F.col("idx") != F.col("_f")))
+    kept = marked.where("NOT _drop")
+    live = kept.where("role = 'assistant'").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("calls"))).alias("_live"))
+    none = F.array().cast("array<string>")
+    results = F.when(cutting & (F.col("role") == "user"), F.array_intersect("results", F.coalesce("_live", none))).otherwise(F.col("results"))
+    rows = kept.join(live, "conv_id", "left").select("conv_id", "idx", F.lit(0).alias("place"), "role", "text", results.alias("results"))
+    told = summaries(marked.where("_drop")).join(marked.where("idx = _f").select("conv_id", "idx"), "conv_id").where("summary != ''")
+    return rows.unionByName(told.select("conv_id", "idx", F.lit(1).alias("place"), F.lit("user").alias("role"), F.col("summary").alias("text"), none.alias("results")))
+
+
+def capped(messages: DataFrame, most: int = HARD_CAP) -> DataFrame:
+    """(conv_id, bytes, blocked): conversations whose texts take more than `most` bytes are not to be sent."""
+    sized = messages.groupBy("conv_id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes"))
+    return sized.withColumn("blocked", F.col("bytes") > most)
+
+
+def merge_recall(system: Column, recall: Column, marker: str, separator: str = "\n\n") -> Column:
+    """A system prompt with recalled lines: behind one that holds `marker`, before any other, alone where there is none."""
+    gap = F.when(F.endswith(system, F.lit(separator)) | (system == ""), "").otherwise(separator)
+    return F.when(system.isNull(), recall).when(F.contains(system, F.lit(marker)), F.concat(system, gap, recall)).otherwise(F.concat(recall, system))
+
+
+def merge_recall_blocks(blocks: Column, recall: Column, marker: str) -> Column:
+    """merge_recall() for a system prompt that is an array of texts: the recalled lines are a block of their own."""
+    known = F.exists(blocks, lambda b: F.contains(b, F.lit(marker)))
+    return F.when(blocks.isNull(), F.array(recall)).when(known, F.array_append(blocks, recall)).otherwise(F.array_prepend(blocks, recall))
+
+
+def long_ttl_first(blocks: DataFrame, prefix: str | None = None) -> DataFrame:
+    """`blocks` (request, idx, ttl, text) with place: `1h` blocks first, but only where one follows a shorter-lived one.
+
+    Blocks without ttl are none of either. The order stays otherwise; the block whose text is `prefix` leads.
+    """
+    whole = Window.partitionBy("request")
+    short = F.min(F.when((F.col("ttl") != "1h"), F.col("idx"))).over(whole)
+    late = F.max(F.when(F.col("ttl") == "1h", F.col("idx"))).over(whole)
+    turned = F.coalesce(late > short, F.lit(False)) & ~F.col("ttl").eqNullSafe("1h")
+    pinned = F.col("text").eqNullSafe(F.lit(prefix)) if prefix is not None else F.lit(False)
+    led = blocks.withColumns({"_t": turned, "_p": pinned})
+    first = F.row_number().over(Window.partitionBy("request", "_p").orderBy("_t", "idx"))
+    led = led.withColumn("_p", F.col("_p") & (first == 1))
+    return led.withColumn("place", F.row_number().over(whole.orderBy(F.desc("_p"), "_t", "idx"))).drop("_t", "_p")
+
+
+def cache_points(tools: DataFrame, messages: DataFrame, least: int = 500, first: int = 5) -> DataFrame:
+    """(request, tool_idx, message_idx): where prompt caching is marked.
+
+    The last tool (request, idx, deferred) that isn't deferred, and the first user message of `least` bytes or more among
+    the first `first` messages (request, idx, role, text).
+    """
+    tool = tools.where(~F.coalesce("deferred", F.lit(False))).groupBy("request").agg(F.max("idx").alias("tool_idx"))
+    near = messages.withColumn("_n", F.row_number().over(Window.partitionBy("request").orderBy("idx"))).where(F.col("_n") <= first)
+    message = near.where((F.col("role") == "user") & (F.octet_length("text") >= least)).groupBy("request").agg(F.min("idx").alias("message_idx"))
+    return tool.join(message, "request", "full")
+
+
 def orphan_calls(messages: DataFrame, same_message: bool = False) -> DataFrame:
     """(conv_id, idx, call_id): calls without a result in the next message (or in the same one).
 

@@ -102,6 +102,14 @@ def entities(df: DataFrame, text: str = "text", terms: tuple[str, ...] = TECH_TE
     return out.withColumn("entities", F.filter("entities", lambda s: ~F.lower(s["text"]).isin(*drop))) if drop else out
 
 
+def term_spans(text: Column, terms: Column) -> Column:
+    """First places, case aside, of the `terms` (array<struct<text string, kind string>>) that a text holds."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = F.filter(F.coalesce(terms, F.array().cast("array<struct<text:string,kind:string>>")), lambda t: F.contains(low, F.lower(t["text"])) & (t["text"] != ""))
+    place = lambda t: F.call_function("locate", F.lower(t["text"]), low)
+    return F.transform(held, lambda t: F.struct((place(t) - 1).alias("start"), F.substring(text, place(t), F.char_length(t["text"])).alias("text"), t["kind"].alias("kind")))
+
+
 def detections(df: DataFrame, id_cols: list[str], text: str = "text", **options) -> DataFrame:
     """(*id_cols, ord, start, text, kind): one row per detected entity, `ord` counting from 0 in a document."""
     found = entities(df.select(*id_cols, F.col(text).alias("_body")), "_body", **options)
@@ -122,7 +130,7 @@ def fact_terms(facts: DataFrame, terms: tuple[str, ...] = TECH_TERMS, skip: tupl
     ticked = F.transform(F.regexp_extract_all(content, F.lit("`([^`]+)`"), 1), lambda x: F.regexp_replace(F.substring_index(x, "/", 1), "^@", ""))
     ticked = F.filter(ticked, lambda x: ~x.isin(*skip) & (F.octet_length(x) >= 4) & (x != F.lower(x)) & ~x.isin(*terms))
     quoted = F.concat(*(F.regexp_extract_all(content, F.lit(p), 1) for p in (r"'([A-Z][a-zA-Z0-9 ._\-]{2,})'", r'"([A-Z][a-zA-Z0-9 ._\-]{2,})"')))
-    quoted = F.filter(F.transform(quoted, F.trim), lambda x: (F.size(F.split(x, r"\s+")) <= 2) & ~x.isin(*terms))
+    quoted = F.filter(F.transform(quoted, lambda x: F.trim(x)), lambda x: (F.size(F.split(x, r"\s+")) <= 2) & ~x.isin(*terms))
     camel = F.filter(F.regexp_extract_all(content, F.lit(f"({CAMEL})"), 1), lambda x: ~x.isin(*terms))
     mail = F.regexp_extract_all(content, F.lit(f"({EMAIL})"), 1)
     tagged = lambda values, kind, rank: F.transform(values, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("text"), kind.alias("kind")))

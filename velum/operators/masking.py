@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from velum.operators.detect import TECH_TERMS, entities
+from velum.operators.detect import TECH_TERMS, entities, outside_code, term_spans
 from velum.operators.lexicon import Lexicon, with_names
 
 TOKEN = r"\[[A-Z]+_[0-9]+\]"
@@ -104,14 +104,18 @@ def restore_turns(turns: DataFrame, tokens: DataFrame, text: str = "masked") ->
     return joined.withColumn("restored", restore(F.col(text), held)).drop("_at", "entries")
 
 
-def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, **options) -> DataFrame:
+def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, custom: str | None = None, **options) -> DataFrame:
     """(id, masked, entities, n_entities): every document its own session; one Arrow pass and one projection, no shuffle.
 
-    Classes, names by `lexicon`, custom spans, CamelCase. `options` go to velum.operators.detect.entities().
+    Classes, names by `lexicon`, custom spans, CamelCase; code (fences, inline back quotes) stays as it is.
+    `custom` names a column of terms (array<struct<text, kind>>), such as those of fact_terms(). `options` go to velum.operators.detect.entities().
     """
     lexicon = lexicon or Lexicon()
     terms = lexicon.terms | frozenset(options.get("terms", TECH_TERMS))
-    named = with_names(docs.select(id_col, F.col(text).alias("_t")), replace(lexicon, terms=terms), "_t", "_names")
+    held = [F.col(custom).alias("_terms")] if custom else []
+    named = with_names(docs.select(id_col, F.col(text).alias("_t"), *held), replace(lexicon, terms=terms), "_t", "_names")
+    if custom:
+        options["custom"] = term_spans(F.col("_t"), F.col("_terms"))
     found = entities(named, "_t", names=F.col("_names"), **options)
     numbered = F.transform("entities", lambda s, i: F.struct(
         s["text"].alias("original"),
@@ -119,7 +123,10 @@ def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexic
         s["kind"].alias("kind"),
     ))
     held = F.array_sort("tokens", lambda a, b: F.char_length(b["original"]) - F.char_length(a["original"]))
-    return found.withColumn("tokens", numbered).withColumn("_held", held).select(id_col, mask(F.col("_t"), F.col("_held")).alias("masked"), F.col("tokens").alias("entities"), F.size("tokens").alias("n_entities"))
+    made = found.withColumn("tokens", numbered).withColumn("_held", held)
+    # Most texts hold no code at all; only those with a fence or back quote are cut into regions.
+    masked = F.when(F.col("_t").rlike("[`~]"), outside_code(F.col("_t"), lambda p: mask(p, F.col("_held")))).otherwise(mask(F.col("_t"), F.col("_held")))
+    return made.select(id_col, F.when(F.size("_held") > 0, masked).otherwise(F.col("_t")).alias("masked"), F.col("tokens").alias("entities"), F.size("tokens").alias("n_entities"))
 
 
 def guard(turns: DataFrame, counted: str = "n_entities", most: int = MOST_ENTITIES, mode: str = "reject") -> DataFrame:

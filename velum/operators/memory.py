@@ -69,6 +69,38 @@ def batches(rows: DataFrame, size: int, by: str, order: list[str]) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) / size).cast("long"))
 
 
+def excerpts(rows: DataFrame, size: int, by: str, order: list[str], chars: int = 400) -> DataFrame:
+    """(by, batch, n, text): batches() with the contents of each as lines, cut to `chars`."""
+    numbered = batches(rows.select(by, "content", *order), size, by, order)
+    lined = numbered.groupBy(by, "batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*order, F.substring("content", 1, chars).alias("line")))).alias("x"))
+    return lined.select(by, "batch", "n", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+
+
+def new_openings(facts: DataFrame, chars: int = 80) -> DataFrame:
+    """Facts (id, content) whose first `chars` characters (case and outer white space aside) no smaller id has."""
+    key = F.trim(F.lower(F.substring("content", 1, chars)))
+    first = facts.withColumn("_k", key).where("_k != ''").groupBy("_k").agg(F.min(F.struct("id", "content")).alias("x"))
+    return first.select("x.id", "x.content")
+
+
+def pass_totals(passes: DataFrame) -> DataFrame:
+    """(promoted, reinforced, batches) over all profiles of one run (profile, promoted, reinforced, batches)."""
+    return passes.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("promoted", "reinforced", "batches")))
+
+
+def user_texts(rows: DataFrame, since: Column | None = None) -> DataFrame:
+    """Memories (content, metadata, occurred_at, ...) that users wrote, of 20 characters or more, from `since` on."""
+    out = rows.where((F.get_json_object("metadata", "$.role") == "user") & (F.char_length("content") >= STORE_CHARS))
+    return out if since is None else out.where(F.col("occurred_at") >= since)
+
+
+def injected(hits: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, id, content, rank): the best hits (query_id, id, content, rank) that no agent has sent itself."""
+    own = hits.where(~automation(F.col("content")))
+    ranked = own.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id")))
+    return ranked.where(F.col("_n") <= most).select("query_id", "id", "content", F.col("_n").alias("rank"))
+
+
 def unfenced(text: Column) -> Column:
     """JSON text without a surrounding code fence."""
     return F.regexp_replace(F.trim(text), r"^```(?:json)?\s*|\s*```$", "")
@@ -113,7 +145,7 @@ def storable(text: Column) -> Column:
 
 def chunks(text: Column, most: int = CHUNK_CHARS, least: int = STORE_CHARS) -> Column:
     """Paragraphs of at least `least` characters of texts beyond `most`; the whole text otherwise or if one is left."""
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: F.char_length(p) >= least)
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.char_length(p) >= least)
     return F.when((F.char_length(text) > most) & (F.size(parts) > 1), parts).otherwise(F.array(F.trim(text)))
 
 
@@ -167,13 +199,25 @@ def clusters(facts: DataFrame, least: float = 0.25) -> DataFrame:
 
 
 def not_covered(candidates: DataFrame, existing: DataFrame, most: float = 0.7) -> DataFrame:
-    """Candidates (id, content) whose white-space words overlap with no existing fact (content) by more than `most`."""
-    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), r"\s+")), lambda w: w != "")
-    have = existing.select(words(F.col("content")).alias("we")).where(F.size("we") > 0).distinct().withColumn("word", F.explode("we"))
-    asked = candidates.select("id", words(F.col("content")).alias("wc")).withColumn("word", F.explode("wc"))
-    hit = asked.join(have, "word").groupBy("id", "wc", "we").agg(F.count("*").alias("shared"))
-    covered = hit.where(F.col("shared") / (F.size("wc") + F.size("we") - F.col("shared")) > most).select("id").distinct()
-    return candidates.join(covered, "id", "left_anti")
+    """Candidates (id, content) whose white-space words overlap with no existing fact (content) by more than `most`.
+
+    Prefix filter: sets that overlap by `most` share one of the n - ceil(most * n) + 1 rarest words of either, so only
+    those words are joined, and only sets of fitting sizes; frequent words are hardly ever among them.
+    """
+    split = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), r"\s+")), lambda w: w != "")
+    have = existing.select(split(F.col("content")).alias("w")).where(F.size("w") > 0).distinct().select(F.xxhash64("w").alias("key"), "w", F.lit(True).alias("held"))
+    asked = candidates.select(split(F.col("content")).alias("w")).where(F.size("w") > 0).distinct().select(F.xxhash64("w").alias("key"), "w", F.lit(False).alias("held"))
+    both = have.unionByName(asked)
+    df = have.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = both.select("held", "key", "w", F.explode("w").alias("word")).join(df, "word", "left").groupBy("held", "key").agg(F.any_value("w").alias("w"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("o"))
+    prefix = ranked.select("held", "key", "w", F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * most - 1e-9).cast("int") + 1)).alias("x")).where("x.df > 0").select("held", "key", "w", "x.word")
+    left, right = prefix.where("NOT held").select("key", F.col("w").alias("wc"), "word"), prefix.where("held").select(F.col("w").alias("we"), "word")
+    size = (F.size("wc") >= most * F.size("we") - 1e-9) & (F.size("we") >= most * F.size("wc") - 1e-9)
+    shared = F.size(F.array_intersect("wc", "we"))
+    hit = left.join(right, "word").where(size).withColumn("shared", shared)
+    covered = hit.where(F.col("shared") / (F.size("wc") + F.size("we") - F.col("shared")) > most).select("key").distinct()
+    keyed = candidates.withColumn("_w", split(F.col("content"))).withColumn("key", F.xxhash64("_w"))
+    return keyed.join(covered, "key", "left_anti").drop("_w", "key")
 
 
 def not_known(candidates: DataFrame, existing: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 #: Queries that one pass over the corpus compares; more queries take more passes.
 QUERY_BLOCK = 4096
 RRF_K = 60
+#: Distinct words of all queries up to which they are kept in the plan.
+MOST_ASKED = 200
 # Rerank weights, and the caps of an injected context.
 SHORT_BYTES, FLOOR, KEYWORD_BONUS, FINGERPRINT = 150, 0.3, 0.02, 200
 CONTEXT_ITEMS, ITEM_CHARS, CONTEXT_CHARS = 3, 250, 600
@@ -103,6 +105,51 @@ def fuse(*ranked: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
     return out.where(F.col("rank") <= limit)
 
 
+def overfetched(limit: int) -> int:
+    """How many neighbours of each type are fetched for `limit` results after reranking."""
+    return max(6 * limit, 50)
+
+
+def recall(queries: DataFrame, stores: dict[str, DataFrame], limit: int, types: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, id, type, content, score, rank): the nearest rows of each store, reranked together.
+
+    `queries` has query_id, query and vector, each store id, content and vector. `types` names the stores that are
+    searched (all if empty), so no type is filtered after the search.
+    """
+    hits = None
+    for name, rows in stores.items():
+        if types and name not in types:
+            continue
+        near = knn(queries.select("query_id", "vector"), rows.select("id", "vector"), overfetched(limit), "l2")
+        near = near.join(rows.select("id", "content"), "id").join(queries.select("query_id", "query"), "query_id")
+        near = near.select("query_id", "query", "id", F.lit(name).alias("type"), "content", "distance")
+        hits = near if hits is None else hits.unionByName(near)
+    return rerank(hits, limit)
+
+
+def recall_after(hits: DataFrame, limit: int, types: tuple[str, ...], k: int = RRF_K) -> DataFrame:
+    """(query_id, id, score, rank) of hits (query_id, query, id, type, content, rank) of one index over all types.
+
+    Types are filtered after the search, among its first 3 * `limit` ranks, so fewer than `limit` may be left; the score
+    is 1 / (k + rank over all types), and more by 0.02 where the content holds the query.
+    """
+    some = hits.where((F.col("rank") <= 3 * limit) & F.col("type").isin(*types))
+    bonus = F.when((F.col("query") != "") & F.contains(F.lower("content"), F.lower("query")), KEYWORD_BONUS).otherwise(0.0)
+    scored = some.withColumn("score", 1.0 / (k + F.col("rank")) + bonus)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= limit).select("query_id", "id", "score", "rank")
+
+
+def hybrid(queries: DataFrame, rows: DataFrame, limit: int, depth: int = 50) -> DataFrame:
+    """(query_id, id, score, rank): nearest vectors and best texts of `rows` (id, content, vector), fused by rank.
+
+    `queries` has query_id, query and vector.
+    """
+    dense = knn(queries.select("query_id", "vector"), rows.select("id", "vector"), depth)
+    text = text_rank(queries.select("query_id", "query"), rows.select("id", "content"), depth)
+    return fuse(dense, text, limit=limit)
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of ASCII letters and digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
@@ -118,7 +165,13 @@ def text_rank(queries: DataFrame, docs: DataFrame, limit: int, k1: float = 1.2,
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
     sized = docs.select("id", words(F.col("content")).alias("w")).withColumn("size", F.size("w"))
     whole = sized.agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean"))
-    terms = sized.select("id", "size", F.explode_outer("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    wanted = asked.select("word").distinct()
+    few = wanted.limit(MOST_ASKED + 1).collect()
+    if len(few) <= MOST_ASKED:  # the words of a few queries are looked for before anything is exploded
+        known = F.array(*(F.lit(r.word) for r in few)).cast("array<string>")
+        terms = sized.select("id", "size", F.explode_outer(F.filter("w", lambda x: F.array_contains(known, x))).alias("word")).where("word IS NOT NULL")
+    else:
+        terms = sized.select("id", "size", F.explode_outer("w").alias("word")).join(wanted, "word", "left_semi")
     terms = terms.groupBy("word", "id").agg(F.first("size").alias("size"), F.count("*").alias("tf"))
     spread = terms.groupBy("word").agg(F.count("*").alias("df"))
     joined = asked.join(terms, "word").join(spread, "word").crossJoin(F.broadcast(whole))  # one row

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What the tiers of agents may do.
+# What the tiers of agents may do: (tier, write, read identity facts, only profile).
 TIERS = (
     ("trusted", True, True, None),
     ("standard", True, False, "work"),
     ("public", False, False, "public"),
 )
+# The reach of the tiers over assigned profiles: (tier, read identity facts, of these categories only, own
+# profile only).
+REACH = (("trusted", True, None, False), ("standard", False, None, True), ("public", True, ("preference",), False))
 
 
 def newest(rows: DataFrame, limit: int, at: str = "occurred_at", profile: str | None = None) -> DataFrame:
@@ -62,6 +65,87 @@ def allowed(rows: DataFrame, agents: DataFrame) -> DataFrame:
     return agents.select("agent_id", "tier").join(open_to, "tier").select("agent_id", *rows.columns)
 
 
+def reach(rows: DataFrame, agents: DataFrame) -> DataFrame:
+    """(agent_id, *rows): what each agent (agent_id, tier, profile) reaches of rows (profile, kind, category, ...).
+
+    Standard agents read no identity facts and only their assigned profile (all where none is assigned), public ones only
+    identity facts of the category `preference`, trusted ones all; unknown tiers read nothing. Joined by tier, so an
+    agent meets only rows that its tier may see.
+    """
+    fact = F.col("kind") == "identity"
+    may = [F.when(~fact | (F.lit(identity) & (F.lit(only is None) | F.col("category").isin(*(only or ("",))))), F.lit(tier)) for tier, identity, only, _ in REACH]
+    open_to = rows.withColumn("tier", F.explode(F.filter(F.array(*may), lambda t: t.isNotNull())))
+    scoped = F.col("tier").isin(*(tier for tier, *_, own in REACH if own))
+    held = agents.select("agent_id", "tier", F.col("profile").alias("_own")).join(open_to, "tier")
+    return held.where(~scoped | F.col("_own").isNull() | (F.col("_own") == F.col("profile"))).select("agent_id", *rows.columns)
+
+
+def profiles(rows: DataFrame, name: str | None = None) -> DataFrame:
+    """Profiles (id, name, created_at), oldest first; the oldest of one name if given."""
+    some = rows if name is None else rows.where(F.col("name") == name)
+    ordered = some.orderBy("created_at", "id")
+    return ordered if name is None else ordered.limit(1)
+
+
+def recent_nodes(nodes: DataFrame, limit: int = 1000, least_confidence: float = 0.0, least_decay: float = 0.0) -> DataFrame:
+    """Nodes with at least this confidence and decay score, the newest first."""
+    some = nodes.where((F.col("confidence") >= least_confidence) & (F.col("decay_score") >= least_decay))
+    return some.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def with_rows(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Search hits (id, ...) with the rows of their ids; hits without a row go."""
+    return hits.join(rows, "id")
+
+
+def migrated(vectors: DataFrame, memories: DataFrame) -> DataFrame:
+    """(type, memory_id, profile, embedding): vectors (memory_id, type, embedding) moved to the layout with profiles.
+
+    The profile comes from the memory row (id, type, profile) of episodic and semantic vectors, and a vector without one
+    goes; identity vectors have none. Unreadable (null or empty) vectors go.
+    """
+    sound = vectors.where(F.size("embedding") > 0)
+    owned = memories.select(F.col("id").alias("memory_id"), "type", "profile")
+    moved = sound.where("type IN ('episodic', 'semantic')").join(owned, ["memory_id", "type"])
+    facts = sound.where("type = 'identity'").withColumn("profile", F.lit(None).cast(owned.schema["profile"].dataType))
+    return moved.unionByName(facts).select("type", "memory_id", "profile", "embedding")
+
+
+def looked_up(rows: DataFrame, key: str, other: DataFrame, other_key: str, out: str, order: str | None = None) -> DataFrame:
+    """`rows` with `out`: the first row of `other` (by `order`, else its columns) with that key as a struct, else null.
+
+    Rows without a partner stay. The first row is a grouped minimum, so a key with very many rows stays small.
+    """
+    held = F.struct(*([F.col(order).alias("_order")] if order else []), *(c for c in other.columns if c != other_key))
+    first = other.where(F.col(other_key).isNotNull()).groupBy(F.col(other_key).alias(key)).agg(F.min(held).alias(out))
+    joined = rows.join(first, key, "left")
+    return joined.withColumn(out, F.col(out).dropFields("_order")) if order else joined
+
+
+def original_counts(mappings: DataFrame) -> DataFrame:
+    """(original, profile, n): token mappings of each original by profile, and over all profiles (profile null)."""
+    by = mappings.where("profile IS NOT NULL").groupBy("original", "profile").agg(F.count("*").alias("n"))
+    whole = mappings.groupBy("original").agg(F.count("*").alias("n"))
+    return by.unionByName(whole.withColumn("profile", F.lit(None).cast(mappings.schema["profile"].dataType)))
+
+
+def recorded(log: DataFrame, writes: DataFrame, now) -> DataFrame:
+    """`log` (operation, payload, status, processed_at) with a finished row for each write (operation, payload struct)."""
+    done = writes.select("operation", F.to_json("payload").alias("payload"), F.lit("done").alias("status"), now.alias("processed_at"))
+    return log.select("operation", "payload", "status", "processed_at").unionByName(done)
+
+
+def forgotten(memories: DataFrame, vectors: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, vectors) without the memories of `ids` (id) and their vectors (memory_id)."""
+    gone = ids.select("id").distinct()
+    return memories.join(gone, "id", "left_anti"), vectors.join(gone.withColumnRenamed("id", "memory_id"), "memory_id", "left_anti")
+
+
+def purged(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` whose key is neither null nor empty."""
+    return rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+
+
 def live_tokens(tokens: DataFrame, agents: DataFrame, now) -> DataFrame:
     """(token_hash, agent_id, tier): tokens that haven't expired, with their agents."""
     return tokens.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).join(agents, "agent_id").select("token_hash", "agent_id", "tier")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velum.plans import table_queries, text_queries
+from velum.plans import message_queries, record_queries, table_queries, text_queries
 
-MODULES = (text_queries, table_queries)
+MODULES = (text_queries, table_queries, record_queries, message_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()} | message_queries.SQL_ELSEWHERE

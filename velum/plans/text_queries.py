@@ -194,8 +194,9 @@ def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+_TEXT_VALUES = ", ".join(f"({i}::BIGINT, '{t}')" for i, t in _ASKED)
 _TEXT_RANK = f"""
-    WITH q AS (SELECT id AS query_id, unnest(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+'))) AS word FROM (VALUES {', '.join(f"({i}::BIGINT, '{t}')" for i, t in _ASKED)}) v(id, t)),
+    WITH q AS (SELECT id AS query_id, unnest(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+'))) AS word FROM (VALUES {_TEXT_VALUES}) v(id, t)),
     d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
     n AS (SELECT count(*) AS n_docs, avg(len(w)) AS mean FROM d),
     t AS (SELECT id, any_value(len(w)) AS size, word, count(*) AS tf FROM (SELECT id, w, unnest(w) AS word FROM d) GROUP BY id, word),
