@@ -238,7 +238,9 @@ def _refined_by_count(fetched: DataFrame, length: int, gram: int) -> DataFrame:
     while held < len(names):
         held = min(2 * held, len(names))
         key = names[:held]
-        live = stored(live.join(live.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), key), "starts")
+        # Written, so that in the join a bucket with very many starts is a plain shuffle partition that can be split.
+        twice = stored(live.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+        live = stored(live.join(twice, key), "starts")
     return live.select("k1", "k2", "at", F.lit(1).cast("long").alias("starts"))
 
 
