@@ -30,6 +30,31 @@ def test_jaccard_join(spark, similarity, block):
         assert jaccard.join(table.limit(0)).count() == 0
 
 
+def chained_texts(n, seed=2):
+    """Texts of which each shares more than half with the next: all hang together, hardly any are similar enough."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(8 * n + 60)]
+    return [(i, " ".join(words[8 * i : 8 * i + 60])) for i in range(n)] + [(n + i, " ".join(words[8 * i + 1 : 8 * i + 59])) for i in range(0, n, 9)]
+
+
+def test_chains_meet_by_bucket(spark, monkeypatch):
+    """In a long chain the pairs that meet grow with the texts, not with their square, and every link is found."""
+    met, whole = {}, jaccard.units_of
+
+    def counted(*args):
+        out = whole(*args)
+        met[n] = out.groupBy("unit").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+        return out
+
+    monkeypatch.setattr(jaccard, "units_of", counted)
+    for n in (150, 450):
+        docs = chained_texts(n)
+        got = jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"), block_docs=16).collect()
+        assert sorted(map(tuple, got), key=repr) == brute.jaccard(docs, 5, 0.8)
+        assert sum(r.n_links for r in got) >= n // 9
+    assert met[450] < 5 * met[150] and met[450] < 450 * 100
+
+
 def test_bands_reach_recall():
     for similarity in (0.5, 0.8, 0.95):
         bands, rows = jaccard.plan_bands(similarity)
@@ -61,17 +86,21 @@ def test_lattice_join(spark, block):
 
 
 def test_lattice_recall(spark):
+    """With the default settings nearly all links are found in every band of cosines from the threshold on."""
     rng = np.random.default_rng(8)
-    rows, pairs = [], 400
+    rows, band, pairs = [], [], 1200
     for i in range(pairs):
         a, z = rng.normal(size=(2, 64))
         a /= np.linalg.norm(a)
         z -= (z @ a) * a
-        c = rng.uniform(0.93, 1)
-        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * z / np.linalg.norm(z)).tolist(), 1)]
-    got = lattice.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
-    want = sum(r[1] for r in brute.vectors(rows, 0.93))
-    assert got.agg({"n_links": "sum"}).first()[0] >= 0.95 * want
+        c = 0.9301 + 0.0698 * i / pairs
+        band.append(i * 4 // pairs)
+        rows += [(2 * i, a.tolist(), i % 3), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * z / np.linalg.norm(z)).tolist(), i % 3)]
+    got = {r.vec_id: r.n_links for r in lattice.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert max(got.values()) == 1
+    for b in range(4):
+        hit = [got[2 * i] for i in range(pairs) if band[i] == b]
+        assert sum(hit) >= 0.97 * len(hit), (b, sum(hit), len(hit))
 
 
 def string_docs():

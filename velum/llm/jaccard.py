@@ -3,8 +3,9 @@
 1. Texts with the same set of word n-grams form a class of copies, represented by their smallest id.
 2. Every representative gets a MinHash signature. Bands and rows follow from the similarity and the wanted recall.
    Representatives that share a band are tied to the smallest of them: one tie each, however large the bucket.
-3. Groups of tied representatives are compared on their full n-gram sets. A large group is dealt to pairs of blocks by
-   set size; sizes too far apart for the similarity never meet.
+3. Groups of tied representatives are compared on their full n-gram sets. A large group is dealt to pairs of blocks:
+   by set size, where sizes too far apart for the similarity never meet, if its members are close to each other; by
+   band bucket, where a pair counts in the first bucket that it shares, if they merely hang together in chains.
 4. Links found give each representative its number and a root; roots are joined to classes.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import blocks, components, flat, link_roots, map_batches, mix, prefix_hash, runs, span_hash, stored, utf8, words_of
+from velum.llm.common import block_units, blocks, components, flat, link_roots, map_batches, mix, prefix_hash, runs, span_hash, stored, utf8, words_of
 
 WORDS, SIMILARITY = 5, 0.8
 #: Chance at least with which a pair of exactly SIMILARITY shares a band, and signature values at most.
@@ -146,6 +147,47 @@ def _sets_of(docs: DataFrame, words: int, text: str, id_col: str, similarity: fl
     return map_batches(docs.select(F.col(id_col).alias("id"), text_key(text).alias("t"), utf8(text, lower=True).alias("_text")), work, f"id {kind}, t long, grams long, m1 long, m2 long, bands array<long>")
 
 
+def units_of(copies: DataFrame, tied: DataFrame, group: DataFrame, similarity: float, block_docs: int, block_grams: int) -> DataFrame:
+    """(rep, id, t, copies, unit, side, alone, seen): which representatives meet for comparison.
+
+    `copies` has rep, id, t, copies, grams and bands, `tied` rep, grams, band, value, `group` the id and root of what ties
+    hold together. A group within the block limits is one unit. Of a larger one both ways of dealing are priced by the
+    pairs that meet, members squared against bucket sizes squared, and the cheaper one is taken. `seen` holds the bands
+    before the one of a bucket: pairs that share one of them are counted there.
+    """
+    # Blocks by size class: linked sets differ by less than one class and so lie in the same or neighbouring classes.
+    step = -math.log(similarity) if similarity < 1 else 1.0
+    member = copies.join(group.select(F.col("id").alias("rep"), "root"), "rep").select("rep", "id", "t", "root", "copies", F.floor(F.log("grams") / step + 1e-9).cast("int").alias("c"), "grams", "bands")
+    member = stored(member, "members")
+    total = member.groupBy("root").agg(F.count("*").alias("docs"), F.sum("grams").alias("sum"))
+    bucket = tied.groupBy("band", "value").agg(F.min("rep").alias("rep"), F.count("*").alias("n"), F.sum("grams").alias("sum")).where("n > 1")
+    bucket = stored(bucket.select("band", "value", "rep", F.greatest(F.col("n"), F.ceil(F.col("sum") * block_docs / block_grams)).alias("n")), "buckets")
+    price = bucket.join(member.select("rep", "root"), "rep").groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("price"))
+    total = total.join(price, "root").select("root", F.when((F.col("docs") <= block_docs) & (F.col("sum") <= block_grams), 0).when(F.col("price") < F.col("docs").cast("double") * F.col("docs"), 2).otherwise(1).alias("way"))
+    total = stored(total, "ways")
+    placed = member.join(total, "root")
+    nothing = F.array().cast("array<bigint>").alias("seen")
+    lone = placed.where("way = 0").select("rep", "id", "t", "copies", F.xxhash64("root", F.lit(-1)).alias("unit"), F.lit(0).alias("side"), F.lit(True).alias("alone"), nothing)
+
+    close = placed.where("way = 1").drop("bands")
+    count = close.groupBy("root", "c").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("n"))
+    near = lambda d: count.select("root", (F.col("c") + d).alias("c"), F.col("n").alias(f"n{d + 1}"))
+    large = close.join(near(0), ["root", "c"]).join(near(-1), ["root", "c"], "left").join(near(1), ["root", "c"], "left")
+    # n1: blocks of the own class, n0: of the next larger class (its row was shifted down), n2: of the next smaller one.
+    mine = F.pmod(F.xxhash64("rep"), F.col("n1").cast("long")).cast("int")
+    spread = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.transform(spread("n1"), lambda o: F.struct(F.col("c").alias("c0"), F.least("mine", o).alias("b0"), F.col("c").alias("c1"), F.greatest("mine", o).alias("b1"), (F.col("mine") > o).cast("int").alias("side"), (F.col("mine") == o).alias("alone")))
+    above = F.transform(spread("n0"), lambda o: F.struct(F.col("c").alias("c0"), F.col("mine").alias("b0"), (F.col("c") + 1).alias("c1"), o.alias("b1"), F.lit(0).alias("side"), F.lit(False).alias("alone")))
+    below = F.transform(spread("n2"), lambda o: F.struct((F.col("c") - 1).alias("c0"), o.alias("b0"), F.col("c").alias("c1"), F.col("mine").alias("b1"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
+    dealt = large.withColumn("mine", mine).select("rep", "id", "t", "copies", "root", F.explode(F.concat(same, above, below)).alias("u"))
+    dealt = dealt.select("rep", "id", "t", "copies", F.xxhash64("root", "u.c0", "u.b0", "u.c1", "u.b1").alias("unit"), "u.side", "u.alone", nothing)
+
+    chained = placed.where("way = 2").select("rep", "id", "t", "copies", F.posexplode("bands").alias("band", "value"), "bands").join(bucket.select("band", "value", "n"), ["band", "value"])
+    chained = block_units(chained.withColumn("key", F.xxhash64("band", "value")), "key", "rep", "n", block_docs)
+    chained = chained.select("rep", "id", "t", "copies", "unit", "side", "alone", F.slice("bands", F.lit(1), F.col("band")).alias("seen"))
+    return lone.unionAll(dealt).unionAll(chained)
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, text: str = "text", id_col: str = "doc_id", block_docs: int = BLOCK_DOCS, block_grams: int = BLOCK_GRAMS, by_row: bool = False) -> DataFrame:
     """(id, class_id, n_links, kept): one row per row of `docs` (integer ids).
 
@@ -162,33 +204,14 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     copies = live.groupBy("grams", "m1", "m2").agg(F.min(F.struct(F.col("id").cast("long").alias("id"), "t")).alias("r"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
     copies, by_id = _numbered(stored(copies.select("grams", "m1", "m2", "r.id", "r.t", "copies", "bands"), "copies"))
 
-    tied = copies.select("rep", F.posexplode("bands").alias("band", "value"))
+    tied = copies.select("rep", "grams", F.posexplode("bands").alias("band", "value"))
     centre = tied.groupBy("band", "value").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
     ties = tied.join(centre, ["band", "value"]).select(F.col("rep").alias("a"), "b").where("a != b").distinct()
     group = components(ties)
 
-    # Blocks by size class: linked sets differ by less than one class and so lie in the same or neighbouring classes.
-    step = -math.log(similarity) if similarity < 1 else 1.0
-    member = copies.join(group.select(F.col("id").alias("rep"), "root"), "rep").select("rep", "id", "t", "root", "copies", F.floor(F.log("grams") / step + 1e-9).cast("int").alias("c"), "grams")
-    member = stored(member, "members")
-    count = member.groupBy("root", "c").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("n"))
-    total = member.groupBy("root").agg(F.count("*").alias("docs"), F.sum("grams").alias("sum"))
-    small = (F.col("docs") <= block_docs) & (F.col("sum") <= block_grams)
-    near = lambda d: count.select("root", (F.col("c") + d).alias("c"), F.col("n").alias(f"n{d + 1}"))
-    placed = member.join(total, "root")
-    lone = placed.where(small).select("rep", "id", "t", "copies", F.xxhash64("root", F.lit(-1)).alias("unit"), F.lit(0).alias("side"), F.lit(True).alias("alone"))
-    large = placed.where(~small).join(near(0), ["root", "c"]).join(near(-1), ["root", "c"], "left").join(near(1), ["root", "c"], "left")
-    # n1: blocks of the own class, n0: of the next larger class (its row was shifted down), n2: of the next smaller one.
-    mine = F.pmod(F.xxhash64("rep"), F.col("n1").cast("long")).cast("int")
-    spread = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    same = F.transform(spread("n1"), lambda o: F.struct(F.col("c").alias("c0"), F.least("mine", o).alias("b0"), F.col("c").alias("c1"), F.greatest("mine", o).alias("b1"), (F.col("mine") > o).cast("int").alias("side"), (F.col("mine") == o).alias("alone")))
-    above = F.transform(spread("n0"), lambda o: F.struct(F.col("c").alias("c0"), F.col("mine").alias("b0"), (F.col("c") + 1).alias("c1"), o.alias("b1"), F.lit(0).alias("side"), F.lit(False).alias("alone")))
-    below = F.transform(spread("n2"), lambda o: F.struct((F.col("c") - 1).alias("c0"), o.alias("b0"), F.col("c").alias("c1"), F.col("mine").alias("b1"), F.lit(1).alias("side"), F.lit(False).alias("alone")))
-    dealt = large.withColumn("mine", mine).select("rep", "id", "t", "copies", "root", F.explode(F.concat(same, above, below)).alias("u"))
-    dealt = dealt.select("rep", "id", "t", "copies", F.xxhash64("root", "u.c0", "u.b0", "u.c1", "u.b1").alias("unit"), "u.side", "u.alone")
-    units = lone.unionAll(dealt)
+    units = units_of(copies, tied, group, similarity, block_docs, block_grams)
 
-    wanted = units.groupBy("id", "t", "rep").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("unit", "side", "alone")).alias("u"))
+    wanted = units.groupBy("id", "t", "rep").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("unit", "side", "alone", "seen")).alias("u"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("t"), utf8(text, lower=True).alias("_text"))
     fetched = texts.join(wanted, ["id", "t"])
 
@@ -199,9 +222,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
                 data, n = value.tobytes(), len(cuts) - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), batch.column(3).slice(i, n), pa.array([data[a * 8 : b * 8] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["rep", "copies", "u", "grams"])
 
-    shape = "u array<struct<unit:long,side:int,alone:boolean>>"
+    shape = "u array<struct<unit:long,side:int,alone:boolean,seen:array<long>>>"
     ready = map_batches(fetched.select("rep", "_text", "copies", "u"), full, f"rep long, copies long, {shape}, grams binary")
-    ready = ready.select("rep", "copies", "grams", F.explode("u").alias("u")).select("u.unit", "rep", "copies", "u.side", "u.alone", "grams")
+    ready = ready.select("rep", "copies", "grams", F.explode("u").alias("u")).select("u.unit", "rep", "copies", "u.side", "u.alone", "u.seen", "grams")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "unit"):
@@ -212,6 +235,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
             at = np.array([i for _, i in first])
             rep, copies, side = (table.column(c).to_numpy()[at] for c in ("rep", "copies", "side"))
             a, b = links([np.frombuffer(values[i], np.uint64) for i in at], similarity, None if table.column("alone")[0].as_py() else side == 0)
+            before = table.column("seen")
+            if len(a) and len(before[0]):
+                shared = np.array([before[int(i)].as_py() for i in at], np.int64)
+                new = np.array([not (shared[i] == shared[j]).any() for i, j in zip(a, b, strict=True)])
+                a, b = a[new], b[new]
             if not len(a):
                 continue
             n = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
