@@ -1,10 +1,13 @@
+import math
 import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from velum.llm import langid, queries, quality, toxicity
+from tests.llm import brute
 from velum.io import table
+from velum.llm import langid, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -75,9 +78,86 @@ def test_ordinal_tails_in_order():
     assert (np.diff(cuts) > 0).all() and w[0] < w[1] < w[2] < w[3]
 
 
+MASK = (1 << 64) - 1
+
+
+def spread(x):
+    """The mixing of 64 bits, in plain integers."""
+    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 30
+
+
+def word_value(word):
+    """The hash of a word, byte by byte."""
+    odd = 0x9E3779B97F4A7C15
+    return spread((sum(spread((b + 1) * odd & MASK) * pow(odd, i, 1 << 64) for i, b in enumerate(word)) + len(word)) & MASK)
+
+
+def test_quality_equals_plain_scorer(spark):
+    """One document at a time, a dictionary of weights, no numpy."""
+    w, cuts = quality.train(table(spark, SF, "documents"), quality.graded(table(spark, SF, "labels")))
+    weights, top = dict(enumerate(w.tolist())), 64 - quality.BITS
+    got = {r.doc_id: r for r in queries.queries()["op3_quality"](spark, SF).collect()}
+    for d, text in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE doc_id % 7 = 0 OR length(text) > 9000").fetchall():
+        raw = (text or "").lower().encode()
+        words = [word_value(m) for m in brute.WORD.findall(raw)]
+        values = [weights[v >> top] for v in words] + [weights[0] for a, b in zip(words, words[1:]) if a == b]
+        marks = [i for i, b in enumerate(raw) if not brute.WORD.match(raw, i, i + 1)]
+        values += [weights[spread(raw[i] + (1 << 32)) >> top] for i in marks]
+        values += [weights[spread(raw[i] << 8 | raw[i + 1] | 1 << 33) >> top] for i, j in zip(marks, marks[1:]) if j == i + 1]
+        z = sum(values) / max(1, len(values))
+        tail = [1 / (1 + math.exp(-(z - c))) for c in cuts]
+        assert abs(got[d].expected_grade - sum(tail)) < 1e-9 and abs(got[d].p_keep - tail[0]) < 1e-9 and got[d].kept == (tail[0] >= 0.5)
+
+
+def test_quality_held_out(spark):
+    """Fitted on three quarters of the ratings, the rest is told apart."""
+    docs, rated = table(spark, SF, "documents"), quality.graded(table(spark, SF, "labels"))
+    model = quality.train(docs, rated.where("doc_id % 4 != 1"))
+    got = {r.doc_id: r for r in quality.score(docs.where("doc_id % 4 = 1"), model).collect()}
+    held = [(q, got[d]) for d, (q, _) in labels().items() if d % 4 == 1]
+    assert len(held) > 50 and auc(np.array([q for q, _ in held]), np.array([r.p_keep for _, r in held])) > 0.97
+    assert np.mean([r.kept for q, r in held if q == 1]) > 0.97 and np.mean([r.kept for q, r in held if q == 0]) < 0.25
+
+
+def test_toxicity_equals_plain_scorer(spark):
+    """One document at a time, a dictionary of bucket values, no numpy."""
+    value, bias = toxicity.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    values, top = dict(enumerate(value.astype(np.float32).tolist())), 64 - toxicity.BITS
+    got = {r.doc_id: r for r in queries.queries()["op4_toxicity"](spark, SF).collect()}
+    for d, text in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE doc_id % 9 = 0").fetchall():
+        found = []
+        for word in brute.WORD.findall((text or "").lower().encode()):
+            found.append(values[word_value(word) >> top])
+            framed = b" " + word + b" "
+            for k in toxicity.GRAMS:
+                for i in range(len(framed) - k + 1):
+                    packed = int.from_bytes(framed[i : i + k], "little") ^ (k * 0x9E3779B97F4A7C15 & MASK)
+                    found.append(values[spread(packed) >> top])
+        score = 1 / (1 + math.exp(-(sum(found) / max(1, len(found)) + bias)))
+        assert abs(got[d].score - score) < 1e-6 and got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
+def test_language_of_held_out_texts(spark):
+    """Texts alone: pages without address and declaration, made of documents that were not counted."""
+    docs = table(spark, SF, "documents")
+    held = docs.where("doc_id % 4 = 1 AND n_chars > 60 AND lang IS NOT NULL")
+    pages = held.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("<p>"), "text").alias("html"))
+    got = {r.page_id: r.text_lang for r in langid.identify(pages, langid.train(docs.where("doc_id % 4 != 1"))).collect()}
+    want = {r.doc_id: r.lang for r in held.select("doc_id", "lang").collect()}
+    assert len(want) > 100 and np.mean([got[d] == lang for d, lang in want.items()]) > 0.97
+
+
 def test_language_fusion(spark):
-    got = queries.queries()["op10_language_id"](spark, SF).collect()
-    assert len(got) == 250 and np.mean([r.lang == r.declared for r in got]) > 0.97
+    """With the declarations of half of the pages withheld, their languages still come out."""
+    pages = table(spark, SF, "pages")
+    said = {r.page_id: r.declared for r in queries.queries()["op10_language_id"](spark, SF).collect()}
+    bare = pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.regexp_replace("html", r"(?i)(<html\b[^>]*?)\slang\s*=\s*[\"']?[A-Za-z]+[\"']?", "$1")).otherwise(F.col("html")))
+    got = langid.identify(bare, langid.train(table(spark, SF, "documents"))).collect()
+    withheld = [r for r in got if r.page_id % 2 == 0]
+    assert len(got) == 250 and all(r.declared == "" for r in withheld)
+    assert np.mean([r.lang == said[r.page_id] for r in withheld]) > 0.95
 
 
 def test_language_equals_brute_force_and_odd_rows(spark):

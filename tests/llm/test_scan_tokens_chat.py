@@ -65,6 +65,26 @@ def test_bpe_equals_library(spark):
     assert bpe.digests(docs.limit(0), FILE).count() == 0 and bpe.encode(docs.limit(0), FILE).count() == 0
 
 
+def test_bpe_query_equals_library(spark):
+    """Every document of the table, against the library."""
+    import duckdb
+
+    from velum.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    library = Tokenizer.from_file(FILE)
+    library.no_truncation()
+    library.no_padding()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.doc_id: r for r in queries.queries()["op9_bpe"](spark, sf).collect()}
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    assert len(got) == len(docs)
+    for d, text in docs:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
+        assert got[d].decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
 def test_bpe_queue_equals_plain_merging():
     codec = bpe.Codec(json.load(open(FILE)))
     rng = random.Random(2)
