@@ -113,6 +113,8 @@ def leaks(docs, items, rate, q, segment, least):
         for item, passage in items:
             whole = b" ".join(words(passage))
             if len(whole) < least:
+                if whole and b" " + whole + b" " in b" " + body + b" ":
+                    found.add(item)
                 continue
             size = min(len(whole), segment)
             for at in {*range(0, len(whole) - size + 1, segment // 2), len(whole) - size}:

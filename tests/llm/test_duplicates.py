@@ -151,7 +151,7 @@ def leak_fixture():
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(rng.randrange(9, 45))) for i in range(8)] + [(90, "too short"), (91, None), (92, "")]
+    items = [(i, prose(rng.randrange(9, 45))) for i in range(8)] + [(90, "too short"), (91, None), (92, ""), (93, "one"), (94, "Is it short?"), (95, "...")]
     docs = [(i, prose(rng.randrange(60))) for i in range(12)]
     for i in range(8):
         x = list(items[i][1])
@@ -159,6 +159,7 @@ def leak_fixture():
             x[rng.randrange(len(x))] = rng.choice("xyz")
         docs.append((100 + i, prose(8) + "\n" + ("".join(x).upper() if i % 2 else "".join(x).replace(" ", ", ")) + " " + prose(5)))
         docs.append((200 + i, prose(5) + " " + items[i][1][: rng.randrange(20, len(items[i][1]) + 1)]))
+    docs += [(400, "far TOO, short"), (401, "too shorter"), (402, "one"), (403, "so, is it short"), (404, "anyone too"), (405, "short. too"), (406, "Is it; short? " * 3), (407, "too")]
     return docs + [(300, None), (301, ""), (302, items[0][1]), (302, items[0][1])], items
 
 

@@ -3,7 +3,8 @@
 A passage of m characters that differs from a segment by at most k edits shares at least m + 1 - q - k * q of the
 segment's q-grams with it, and their diagonals (place in the document less place in the segment) differ by at most k.
 So per document: windows with too few q-grams of any segment are passed over; in the others shared q-grams are counted
-by segment in overlapping diagonal bands; bands that reach the bound are verified by banded alignment.
+by segment in overlapping diagonal bands; bands that reach the bound are verified by banded alignment. Items too short for
+the lemma are looked for word by word, without edits.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import WORD_BYTE, blocks, flat, map_batches, mix, utf8
+from velum.llm.common import WORD_BYTE, blocks, flat, map_batches, mix, prefix_hash, span_hash, stored, utf8
 
 Q, RATE = 12, 0.06
-#: Long items are searched in overlapping segments of so many characters; shorter items than LEAST aren't searched.
+#: Long items are searched in overlapping segments of so many characters (a part of an item is sure to hold a whole one
+#: from 1.5 times as many on); items of fewer characters than LEAST are found only as they stand.
 SEGMENT, LEAST = 200, 40
 #: Characters of benchmark items that one pass over the documents holds in memory; more take more passes.
 PASS_CHARS = 4_000_000
@@ -68,17 +70,29 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
         self.segments: list[Segment] = []
+        short: list[tuple[int, bytes]] = []
         for item, text in items:
             raw = np.frombuffer(text, np.uint8)
             clean, _, _ = normal(raw, np.array([0, len(raw)]))
             clean = clean[:-1] if len(clean) and clean[-1] == 32 else clean
             m = len(clean)
             if m < LEAST:
+                if m:
+                    short.append((item, clean.tobytes()))
                 continue
             size = min(m, SEGMENT)
             for at in sorted({*range(0, m - size + 1, SEGMENT // 2), m - size}):
                 budget = min(int(rate * size), (size - Q) // Q)
                 self.segments.append(Segment(item, clean[at : at + size], budget, size + 1 - Q - budget * Q))
+        # Short items by their number of words: (words, ascending hashes, items by hash).
+        self.short: list[tuple[int, np.ndarray, dict[int, list[tuple[int, bytes]]]]] = []
+        for words in sorted({t.count(b" ") + 1 for _, t in short}):
+            held: dict[int, list[tuple[int, bytes]]] = {}
+            for item, t in short:
+                if t.count(b" ") + 1 == words:
+                    h = span_hash(prefix_hash(np.frombuffer(t, np.uint8)), np.array([0]), np.array([len(t)]))[0]
+                    held.setdefault(int(h), []).append((item, t))
+            self.short.append((words, np.array(sorted(held), np.uint64), held))
         keys = [gram_keys(s.text) for s in self.segments]
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
@@ -97,6 +111,34 @@ class Index:
             self.classes.append((bit, max(len(s.text) + s.budget for s in mine), min(s.bound for s in mine)))
             self.table[(flat_keys[grade[owner] == g] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] |= np.uint8(bit)
 
+    def exact(self, raw: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) of every short item that stands, word by word, in a block of lower-cased texts."""
+        found: set[tuple[int, int]] = set()
+        if not self.short:
+            return found
+        text, cuts, _ = normal(raw, offsets)
+        # Every word has one space behind it, but the last of a block may have none.
+        space = text == 32
+        first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]) if len(text) else space)
+        starts = cuts[:-1][cuts[:-1] < len(text)]
+        first = np.unique(np.concatenate([first, starts[~space[starts]]]))
+        last = np.flatnonzero(~space & np.append(space[1:], True))
+        ends = cuts[1:][cuts[1:] > 0] - 1
+        last = np.unique(np.concatenate([last, ends[~space[ends]]])) + 1
+        owner = np.searchsorted(cuts, first, "right") - 1
+        sums = prefix_hash(text)
+        for words, hashes, held in self.short:
+            n = len(first) - words + 1
+            if n < 1:
+                continue
+            inside = np.flatnonzero(owner[:n] == owner[words - 1 :])
+            h = span_hash(sums, first[inside], last[inside + words - 1])
+            for k in np.flatnonzero(np.isin(h, hashes)):
+                i = inside[k]
+                part = text[first[i] : last[i + words - 1]].tobytes()
+                found |= {(int(owner[i]), item) for item, t in held[int(h[k])] if t == part}
+        return found
+
     def matches(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, segment, edits, start byte) of every verified segment of a block of lower-cased texts."""
         none = (np.zeros(0, np.int64),) * 4
@@ -185,46 +227,60 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str =
 
     `benchmark` has item_id and text. items lists the benchmark items of which a segment occurs within the edit budget
     of RATE, ascending; edits is the fewest edits of any (null: none). Case, punctuation and white space don't count.
+    Items of fewer than LEAST characters count where all their words stand in a row; items without words are found
+    nowhere.
     The benchmark is held by every task in passes of at most `pass_chars` characters, each of which reads the documents
-    again; the documents are never shuffled while one pass is enough. Null texts count as empty, null or short items
-    are not searched, repeated rows and items don't matter, other columns are dropped unless named in `carry`.
+    again, one after the other, and leaves only its hits; the documents are never shuffled while one pass is enough. Null
+    texts count as empty, null items are not searched, repeated rows and items don't matter, other columns are dropped
+    unless named in `carry`.
     """
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), utf8(lower=True).alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-size // pass_chars))
-    part = lambda p: [(r.item_id, bytes(r.t)) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).collect()]  # noqa: E731  at most about pass_chars
-    kind = docs.schema[id_col].dataType.simpleString()
-    extra = [docs.schema[c] for c in carry]
     source = docs.select(F.col(id_col), utf8(text, lower=True).alias("_text"), *(F.col(f"`{c}`") for c in carry))
-    if passes > 1:
-        source = source.withColumn("_key", F.struct(F.xxhash64(id_col).alias("a"), F.xxhash64("_text").alias("b")))
 
-    def one(p: int) -> DataFrame:
-        index = docs.sparkSession.sparkContext.broadcast(part(p))
+    def searched(rows: DataFrame, p: int, kept: list[str]) -> DataFrame:
+        part = items.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).collect()  # at most about pass_chars
+        index = docs.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.t)) for r in part])
+        first = rows.schema[0]
+        out = [first.name, "contaminated", "n_items", "items", "edits", *kept]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searched = Index(index.value, rate)
-            names = [s.item for s in searched.segments]
+            held = Index(index.value, rate)
+            names = [s.item for s in held.segments]
             for batch in batches:
                 n = batch.num_rows
                 lists: list[set] = [set() for _ in range(n)]
                 least: list[int | None] = [None] * n
                 for i, raw, offsets in blocks(*flat(batch.column(1))):
-                    for d, s, e, _ in zip(*(x.tolist() for x in searched.matches(raw, offsets)), strict=True):
+                    for d, s, e, _ in zip(*(x.tolist() for x in held.matches(raw, offsets)), strict=True):
                         lists[i + d].add(names[s])
                         least[i + d] = e if least[i + d] is None else min(e, least[i + d])
+                    for d, item in held.exact(raw, offsets):
+                        lists[i + d].add(item)
+                        least[i + d] = 0
                 found = [sorted(x, key=lambda v: (v is None, v)) for x in lists]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([bool(x) for x in found], pa.bool_()), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(least, pa.int64()), *batch.columns[2:]],
-                    names=[id_col, "contaminated", "n_items", "items", "edits", *carry, *(["_key"] if passes > 1 else [])],
+                    names=out,
                 )
 
-        schema = ", ".join([f"`{id_col}` {kind}, contaminated boolean, n_items long, items array<long>, edits long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra), *(["_key struct<a:long,b:long>"] if passes > 1 else [])])
-        return map_batches(source, work, schema)
+        schema = ", ".join([f"`{first.name}` {first.dataType.simpleString()}, contaminated boolean, n_items long, items array<long>, edits long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)])
+        found = map_batches(rows, work, schema)
+        if passes == 1:
+            return found
+        hits = stored(found.where("contaminated").dropDuplicates(["_key"]).select("_key", "items", "edits"), "hits")
+        index.destroy()
+        return hits
 
-    whole = one(0)
-    for p in range(1, passes):
-        more = one(p).groupBy("_key").agg(F.any_value("items").alias("more"), F.any_value("edits").alias("e2"))
-        whole = whole.join(more, "_key", "left").withColumns({"items": F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more", F.array().cast("array<long>"))))), "edits": F.least("edits", "e2")}).drop("more", "e2")
-        whole = whole.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.size("items") > 0})
-    return whole.drop("_key")
+    if passes == 1:
+        return searched(source, 0, list(carry))
+    keyed = source.withColumn("_key", F.struct(F.xxhash64(id_col).alias("a"), F.xxhash64("_text").alias("b")))
+    hits = None
+    for p in range(passes):
+        some = searched(keyed.select("_key", "_text"), p, [])
+        hits = some if hits is None else hits.unionAll(some)
+    # A document's hits: at most one row a pass.
+    hits = hits.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min("edits").alias("edits"))
+    whole = keyed.drop("_text").join(hits, "_key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
+    return whole.select(id_col, (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items", "edits", *(F.col(f"`{c}`") for c in carry))
