@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -279,3 +280,24 @@ def test_not_covered_equals_brute_force(spark):
     want = {i for i, t in asked if not any(words(t) and words(h) and len(words(t) & words(h)) / len(words(t) | words(h)) > 0.7 for h in held)}
     got = memory.not_covered(spark.createDataFrame(asked, "id long, content string"), spark.createDataFrame([(h,) for h in held], "content string"))
     assert {r.id for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_frames_stream_equals_batch(spark, tmp_path):
+    """Events cut anywhere, both shapes, a token split over deltas, a held start let out at the end of a block."""
+    event = lambda **x: "data: " + json.dumps(x) + "\n\n"
+    block = lambda kind, key, text: event(type="content_block_delta", delta={"type": kind, key: text})
+    said = lambda text: event(object="chat.completion.chunk", choices=[{"delta": {"content": text}}])
+    start = event(type="content_block_start", content_block={"input": {"a": ["[PERSON_1]"]}})
+    one = start + block("text_delta", "text", "Hi [PER") + block("text_delta", "text", "SON_1], [OR") + "event: stop\n" + event(type="content_block_stop") + block("input_json_delta", "partial_json", '{"f": "[PERSON_1]')
+    two = said("to [PERSON_1") + said("] and [ORG_2] [") + "data: [DONE]\n\n" + ": ping\r\n\r\ndata: not json [PERSON_1]"
+    rows = [(s, i // 9, t[i : i + 9], i + 9 >= len(t), {"[PERSON_1]": "Ada"} if i == 0 else None) for s, t in (("one", one), ("two", two)) for i in range(0, len(t), 9)]
+    table = spark.createDataFrame(rows, "stream_id string, seq long, payload string, final boolean, tokens map<string,string>")
+    batch = sorted(map(tuple, restore.restore_frames_batch(table).collect()))
+    whole = {s: "".join(t for k, _, t in batch if k == s) for s in ("one", "two")}
+    texts = [json.loads(x[6:]) for x in whole["one"].splitlines() if x.startswith("data: ")]
+    assert texts[0]["content_block"]["input"]["a"] == ["Ada"] and [x["delta"]["text"] for x in texts[1:4]] == ["Hi ", "Ada, ", "[OR"]
+    assert texts[4]["type"] == "content_block_stop" and texts[5]["delta"]["partial_json"] == '{"f": "Ada'
+    assert [json.loads(x[6:])["choices"][0]["delta"]["content"] for x in whole["two"].splitlines() if x.startswith('data: {')] == ["to ", "Ada and [ORG_2] ", "["]
+    assert whole["two"].endswith("data: [DONE]\n\n: ping\r\n\r\ndata: not json [PERSON_1]")
+    got = streamed(spark, tmp_path, table, restore.restore_frames_stream, "frames")
+    assert got == batch

@@ -9,6 +9,7 @@ from velum.functions import vectors
 from velum.io import spread, table
 from velum.operators import conversation, detect, masking, memory, retrieval
 from velum.plans import text_queries
+from velum.streaming import restore
 
 QUERIES, SQL = [], {}
 
@@ -312,6 +313,26 @@ def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(asked, rows, 8, 20).select("query_id", F.round("score", 6).alias("score"), "rank")
 
 
+@_query("SELECT conv_id || '/' || turn AS stream_id, sha256('Ada ' || text || ' Acme [x') AS digest FROM conversations")
+def restored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Server-sent events cut anywhere, with tokens split over deltas of both provider shapes, restored and read back."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), "turn", F.concat(F.lit("[PERSON_1] "), "text", F.lit(" [ORG_12]")).alias("t"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length("t") / 7).cast("int")), lambda i: F.substring(F.col("t"), i * 7 + 1, F.lit(7)))
+    block = lambda p: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), p.alias("text")).alias("delta")))
+    choice = lambda p: F.to_json(F.struct(F.array(F.struct(F.struct(p.alias("content")).alias("delta"))).alias("choices")))
+    frame = lambda body: F.concat(F.lit("data: "), body, F.lit("\n\n"))
+    whole = F.when(F.col("turn") % 2 == 0, F.array_join(F.transform(pieces, lambda p: frame(block(p))), "")).otherwise(F.array_join(F.transform(pieces, lambda p: frame(choice(p))), ""))
+    sent = c.select("stream_id", F.concat(whole, F.lit("data: [DONE]\n\n")).alias("s"))
+    cut = sent.select("stream_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("s") - 1) / 50).cast("int"))).alias("i"))
+    tokens = F.when(F.col("i") == 0, F.create_map(F.lit("[PERSON_1]"), F.lit("Ada"), F.lit("[ORG_12]"), F.lit("Acme [x")))
+    chunks = cut.select("stream_id", F.col("i").cast("long").alias("seq"), F.substring("s", F.col("i") * 50 + 1, F.lit(50)).alias("payload"), (F.col("i") == F.floor((F.char_length("s") - 1) / 50)).alias("final"), tokens.alias("tokens"))
+    out = restore.restore_frames_batch(chunks).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), "").alias("payload"))
+    said = F.coalesce(F.get_json_object("data", "$.delta.text"), F.get_json_object("data", "$.choices[0].delta.content"))
+    read = restore.sse_events(out).select("stream_id", "seq", said.alias("text")).where("text IS NOT NULL")
+    joined = read.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("t"))
+    return joined.select("stream_id", F.sha2("t", 256).alias("digest"))
+
+
 # --- choices that depend on earlier ones -------------------------------------------------------------------------------
 
 _FOLD = """list_reduce(list({{'seq': event_id, 'at': {value}, 'held': []::DOUBLE[], 'out': []::BOOLEAN[]}} ORDER BY {order}), lambda a, x: {step}, {{'seq': 0::BIGINT, 'at': 0::DOUBLE, 'held': []::DOUBLE[], 'out': []::BOOLEAN[]}})"""

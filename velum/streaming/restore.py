@@ -89,6 +89,97 @@ def usage(events: DataFrame) -> DataFrame:
     )
 
 
+def framed(buffer: str, text: str) -> tuple[list[str], str]:
+    """(whole events with their blank lines, what is left): server-sent events that end in `buffer` + `text`."""
+    parts = re.split(r"(\r\n\r\n|\n\n)", buffer + text)
+    return [a + b for a, b in zip(parts[:-1:2], parts[1::2], strict=True)], parts[-1]
+
+
+def deltas(event: dict) -> list[tuple[dict, str]]:
+    """Places (object, key) of streamed text in an event, for both provider shapes: block deltas and choices."""
+    delta = event.get("delta")
+    if event.get("type") == "content_block_delta" and isinstance(delta, dict):
+        key = {"text_delta": "text", "input_json_delta": "partial_json"}.get(delta.get("type"))
+        return [(delta, key)] if key and isinstance(delta.get(key), str) else []
+    choices = event.get("choices")
+    found = [c.get("delta") for c in choices if isinstance(c, dict)] if isinstance(choices, list) else []
+    return [(d, "content") for d in found if isinstance(d, dict) and isinstance(d.get("content"), str)]
+
+
+def restore_event(raw: str, originals: dict[str, str], held: str, shape: str) -> tuple[str, str, str]:
+    """(event, text held back, shape): one event with the tokens in its deltas restored.
+
+    A possible start of a token waits for the next delta; an event that has none lets it out before itself, in the
+    `shape` of the last delta. The start of a block is restored in all its strings; anything else passes as it is.
+    """
+    out = ""
+    for line in re.findall(r"[^\n]*\n|[^\n]+", raw):
+        body = line.rstrip("\r\n")
+        end = line[len(body) :]
+        try:
+            event = json.loads(body[6:]) if body.startswith("data: ") else None
+        except ValueError:
+            event = "done"
+        places = deltas(event) if isinstance(event, dict) else []
+        if event is not None and held and not places:
+            last = json.loads(shape)
+            for where, key in deltas(last)[:1]:
+                where[key] = push(held, "", originals, True)[0]
+            out = f"data: {json.dumps(last, ensure_ascii=False)}{end}{end}" + out
+            held = ""
+        for where, key in places:
+            shape = shape if shape and deltas(json.loads(shape)) and key in shape else json.dumps(event, ensure_ascii=False)
+            where[key], held = push(held, where[key], originals, False)
+        if isinstance(event, dict) and event.get("type") == "content_block_start":
+            line = "data: " + restore_json(body[6:], originals) + end
+        elif places:
+            line = f"data: {json.dumps(event, ensure_ascii=False)}{end}"
+        out += line
+    return out, held, shape
+
+
+def restore_chunk(state: tuple, values: tuple) -> tuple[tuple, str]:
+    """The next state (buffer, held, shape, tokens) and the events that a chunk (seq, payload, final, tokens) completes."""
+    buffer, held, shape, known = state
+    _, payload, final, tokens = values
+    known = {**known, **dict(tokens)} if tokens else known
+    events, buffer = framed(buffer, payload or "")
+    out = ""
+    for raw in events:
+        made, held, shape = restore_event(raw, known, held, shape)
+        out += made
+    if final and buffer:
+        made, held, shape = restore_event(buffer, known, held, shape)
+        out, buffer = out + made, ""
+    return (buffer, held, shape, known), out
+
+
+def restore_frames_stream(chunks: DataFrame) -> DataFrame:
+    """(stream_id, seq, payload) from a stream of raw server-sent events in chunks of any size.
+
+    `chunks` has stream_id, seq, payload, final and tokens (map of token to original, or null), in order. Tokens come
+    with the rows of their stream, from its first chunk or whenever new ones are known, and live in the keyed state with
+    the unfinished event and the text held back; nothing is broadcast.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("seq")
+        now = (*state.get[:3], json.loads(state.get[3])) if state.exists else ("", "", "", {})
+        out = []
+        for values in zip(rows["seq"], rows["payload"], rows["final"], rows["tokens"], strict=True):
+            now, text = restore_chunk(now, values)
+            out.append((key[0], values[0], text))
+        state.update((*now[:3], json.dumps(now[3])))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "payload"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, payload string", "buffer string, held string, shape string, tokens string", "append", GroupStateTimeout.NoTimeout)
+
+
+def restore_frames_batch(chunks: DataFrame) -> DataFrame:
+    """The rows of restore_frames_stream() for a finished table; rows are streamed with the state of one stream held."""
+    return fold(chunks, "stream_id", ("seq",), lambda: ("", "", "", {}), restore_chunk, "payload", pa.string(), ("payload", "final", "tokens"))
+
+
 def admit(times: list[float], now: float, most: int, seconds: float) -> tuple[bool, list[float]]:
     """Whether a request at `now` is admitted, and the admitted times still in the window."""
     live = [t for t in times if t >= now - seconds]
@@ -111,8 +202,8 @@ def rate_limit_stream(requests: DataFrame, most: int = REQUESTS, seconds: float
     return requests.groupBy("key").applyInPandasWithState(step, "key string, seq long, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def fold(rows: DataFrame, key: str, order: tuple[str, ...], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, object]], out: str, kind: pa.DataType) -> DataFrame:
-    """(key, seq, out): `step` (state, values of `order`) -> (state, result) over the rows of each key by `order`.
+def fold(rows: DataFrame, key: str, order: tuple[str, ...], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, object]], out: str, kind: pa.DataType, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, seq, out): `step` (state, values of `order` and `carry`) -> (state, result) over the rows of each key by `order`.
 
     Rows are sorted within partitions and streamed; only the state of one key is held, however many rows the key has.
     """
@@ -129,8 +220,9 @@ def fold(rows: DataFrame, key: str, order: tuple[str, ...], start: Callable[[],
                 results.append(result)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1 + at), pa.array(results, kind)], names=[key, "seq", out])
 
-    sorted_rows = rows.select(key, *(F.col("seq").cast("long") if c == "seq" else c for c in order)).repartition(key).sortWithinPartitions(key, *order)
-    return sorted_rows.mapInArrow(work, f"{key} {rows.schema[key].dataType.simpleString()}, seq long, {out} boolean")
+    sorted_rows = rows.select(key, *(F.col("seq").cast("long") if c == "seq" else c for c in order), *carry).repartition(key).sortWithinPartitions(key, *order)
+    shape = "boolean" if pa.types.is_boolean(kind) else "string"
+    return sorted_rows.mapInArrow(work, f"{key} {rows.schema[key].dataType.simpleString()}, seq long, {out} {shape}")
 
 
 def rate_limit_batch(requests: DataFrame, most: int = REQUESTS, seconds: float = SECONDS) -> DataFrame:
