@@ -104,18 +104,19 @@ def restore_turns(turns: DataFrame, tokens: DataFrame, text: str = "masked") ->
     return joined.withColumn("restored", restore(F.col(text), held)).drop("_at", "entries")
 
 
-def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, custom: str | None = None, **options) -> DataFrame:
+def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, custom: str | Column | None = None, **options) -> DataFrame:
     """(id, masked, entities, n_entities): every document its own session; one Arrow pass and one projection, no shuffle.
 
     Classes, names by `lexicon`, custom spans, CamelCase; code (fences, inline back quotes) stays as it is.
-    `custom` names a column of terms (array<struct<text, kind>>), such as those of fact_terms(). `options` go to velum.operators.detect.entities().
+    `custom` names a column of terms (array<struct<text, kind>>), such as those of fact_terms(), or
+    is a column of spans. `options` go to velum.operators.detect.entities().
     """
     lexicon = lexicon or Lexicon()
     terms = lexicon.terms | frozenset(options.get("terms", TECH_TERMS))
-    held = [F.col(custom).alias("_terms")] if custom else []
+    held = [F.col(custom).alias("_terms")] if isinstance(custom, str) else []
     named = with_names(docs.select(id_col, F.col(text).alias("_t"), *held), replace(lexicon, terms=terms), "_t", "_names")
-    if custom:
-        options["custom"] = term_spans(F.col("_t"), F.col("_terms"))
+    if custom is not None:
+        options["custom"] = term_spans(F.col("_t"), F.col("_terms")) if isinstance(custom, str) else custom
     found = entities(named, "_t", names=F.col("_names"), **options)
     numbered = F.transform("entities", lambda s, i: F.struct(
         s["text"].alias("original"),
