@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import WORD_BYTE, blocks, flat, map_batches, mix, prefix_hash, span_hash, utf8, words_of
+from velum.llm.common import WORD_BYTE, blocks, discard, flat, map_batches, mix, prefix_hash, span_hash, stored, utf8, words_of
 from velum.llm.samples import bounded, train_side
 
 BITS, DIM, GRAMS = 18, 12, (3, 4, 5)
 #: Labelled documents that the model is fitted on at most.
-MOST_TRAIN = 4000
+MOST_TRAIN = 6000
 #: Features in fewer training documents than this number and this share of them are left out.
 LEAST_DOCS, LEAST_SHARE = 3, 0.005
 THRESHOLD = 0.3
@@ -60,12 +60,18 @@ def counted(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
     return [(key[a:b] & ((1 << BITS) - 1), count[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def least_docs(n: int) -> float:
+    """Training documents, of `n`, that a feature must stand in to be used."""
+    return max(LEAST_DOCS, LEAST_SHARE * n)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], totals: np.ndarray | None = None, epochs: int = 8, rate: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """(value of each bucket, bias): the log-odds of a document are the mean value of its bag plus the bias.
 
     The embedding table and the softmax are trained together by Adagrad, one document a step. Since the softmax is
     linear, table times softmax weights is one value a bucket, which is all that scoring needs. A fifth of the rows
-    doesn't train but sets the scale and the bias of the log-odds.
+    doesn't train but sets the scale and the bias of the log-odds. `totals` are the sizes of the whole bags, for rows
+    from which rare features have been left out already.
     """
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -76,12 +82,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: f
     spread = np.zeros(1 << BITS, np.int64)
     for i, _, _ in rows:
         spread[i] += 1
-    common = spread >= max(LEAST_DOCS, LEAST_SHARE * len(rows))
+    common = spread >= least_docs(len(rows))
     weight = np.where(common, np.log((1 + len(rows)) / (1 + spread)), 0).astype(np.float32)
+    if totals is None:
+        totals = np.array([int(c.sum()) for _, c, _ in rows])
     bags = []
-    for i, c, y in rows:
+    for (i, c, y), total in zip(rows, totals, strict=True):
         some = weight[i] > 0
-        bags.append((i[some], (c[some] / max(1, int(c.sum())) * weight[i[some]]).astype(np.float32), y))
+        bags.append((i[some], (c[some] / max(1, int(total)) * weight[i[some]]).astype(np.float32), y))
     train = np.flatnonzero(~held)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -134,7 +142,11 @@ def scores(raw: np.ndarray, offsets: np.ndarray, value: np.ndarray, bias: float)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_TRAIN) -> tuple[np.ndarray, float]:
-    """Fits on at most `most` labelled training rows (bounded()); their bags, not their texts, reach the driver."""
+    """Fits on at most `most` labelled training rows (bounded()); their bags, not their texts, reach the driver.
+
+    A first pass counts the documents of each feature, a second leaves out the rare ones where the bags are, so the
+    driver gets only what the fit uses. A repeated document row counts as often as it occurs.
+    """
     rows = labels.where(train_side() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     rows = bounded(rows.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", most)
 
@@ -143,11 +155,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             for i, raw, offsets in blocks(*flat(batch.column(1))):
                 got = counted(raw, offsets)
                 y = batch.column(0).slice(i, len(got))
-                yield pa.RecordBatch.from_arrays([y, pa.array([b.astype("<i4").tobytes() for b, _ in got], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got], pa.binary())], names=["y", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([y, pa.array([b.astype("<i4").tobytes() for b, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], names=["y", "buckets", "counts"])
 
     joined = docs.select("doc_id", utf8(lower=True).alias("_text")).join(F.broadcast(rows), "doc_id")  # at most `most` rows
-    found = map_batches(joined.select("y", "_text"), work, "y int, buckets binary, counts binary").collect()
-    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u2"), int(r.y > 0)) for r in sorted(found, key=lambda r: (r.buckets, r.y))])
+    bags = stored(map_batches(joined.select("y", "_text"), work, "y int, buckets binary, counts binary"), "bags")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for b in batch.column(0):
+                seen[np.frombuffer(b.as_py(), "<i4")] += 1
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["bucket", "n"])
+
+    counts = map_batches(bags.select("buckets"), spread, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    common = np.zeros(1 << BITS, bool)
+    common[[r.bucket for r in counts.where(F.col("n") >= least_docs(bags.count())).select("bucket").collect()]] = True  # at most 2 ** BITS
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(np.frombuffer(b.as_py(), "<i4"), np.frombuffer(c.as_py(), "<u4")) for b, c in zip(batch.column(1), batch.column(2), strict=True)]
+            total = pa.array([int(c.sum()) for _, c in got], pa.int64())
+            kept = [(b[common[b]], c[common[b]]) for b, c in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), total, pa.array([b.tobytes() for b, _ in kept], pa.binary()), pa.array([c.tobytes() for _, c in kept], pa.binary())], names=["y", "total", "buckets", "counts"])
+
+    found = map_batches(bags, used, "y int, total long, buckets binary, counts binary").collect()
+    discard(bags)
+    found.sort(key=lambda r: (r.buckets, r.counts, r.total, r.y))
+    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u4"), int(r.y > 0)) for r in found], np.array([r.total for r in found], np.int64))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
