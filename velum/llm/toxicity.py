@@ -71,7 +71,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], totals: np.ndarray | Non
     The embedding table and the softmax are trained together by Adagrad, one document a step. Since the softmax is
     linear, table times softmax weights is one value a bucket, which is all that scoring needs. A fifth of the rows
     doesn't train but sets the scale and the bias of the log-odds. `totals` are the sizes of the whole bags, for rows
-    from which rare features have been left out already.
+    from which rare features have been left out already. Counts in `rows` give way to weights, so that no second copy
+    of the bags is held.
     """
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -86,10 +87,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], totals: np.ndarray | Non
     weight = np.where(common, np.log((1 + len(rows)) / (1 + spread)), 0).astype(np.float32)
     if totals is None:
         totals = np.array([int(c.sum()) for _, c, _ in rows])
-    bags = []
-    for (i, c, y), total in zip(rows, totals, strict=True):
+    bags = rows
+    for j, ((i, c, y), total) in enumerate(zip(rows, totals, strict=True)):
         some = weight[i] > 0
-        bags.append((i[some], (c[some] / max(1, int(total)) * weight[i[some]]).astype(np.float32), y))
+        bags[j] = i[some], (c[some] / max(1, int(total)) * weight[i[some]]).astype(np.float32), y
     train = np.flatnonzero(~held)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     """Fits on at most `most` labelled training rows (bounded()); their bags, not their texts, reach the driver.
 
     A first pass counts the documents of each feature, a second leaves out the rare ones where the bags are, so the
-    driver gets only what the fit uses. A repeated document row counts as often as it occurs.
+    driver gets only what the fit uses, one partition at a time. A repeated document row counts as often as it occurs.
     """
     rows = labels.where(train_side() & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     rows = bounded(rows.groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", most)
@@ -179,10 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             kept = [(b[common[b]], c[common[b]]) for b, c in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), total, pa.array([b.tobytes() for b, _ in kept], pa.binary()), pa.array([c.tobytes() for _, c in kept], pa.binary())], names=["y", "total", "buckets", "counts"])
 
-    found = map_batches(bags, used, "y int, total long, buckets binary, counts binary").collect()
+    found = map_batches(bags, used, "y int, total long, buckets binary, counts binary")
+    rows = sorted((r.buckets, r.counts, r.total, r.y) for r in found.toLocalIterator())  # a partition at a time
     discard(bags)
-    found.sort(key=lambda r: (r.buckets, r.counts, r.total, r.y))
-    return fit([(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<u4"), int(r.y > 0)) for r in found], np.array([r.total for r in found], np.int64))
+    totals = np.array([r[2] for r in rows], np.int64)
+    for i, (buckets, counts, _, y) in enumerate(rows):
+        rows[i] = np.frombuffer(buckets, "<i4"), np.frombuffer(counts, "<u4"), int(y > 0)
+    return fit(rows, totals)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
