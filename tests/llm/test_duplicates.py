@@ -79,30 +79,36 @@ def test_lattice_join(spark, block):
     rows = [(i, [float(x) for x in centre[i % 5] + rng.normal(size=16) * 0.22], i % 2) for i in range(100)]
     rows += [(200, None, 1), (201, [], 1), (202, [0.0] * 16, 1), (203, [float("nan")] * 16, 1), (204, [1.0, None], 1), (205, [1.0] * 16, None), (206, [1.0] * 16, None), (300, [1.0, 2.0], 1), (301, [2.0, 4.0], 1), (302, [1.0, 2.0], 1), (302, [1.0, 2.0], 1), (303, [float("inf"), 1.0], 1)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep string")
-    got = lattice.join(table, tables=24, block_rows=block).collect()  # enough tables to miss nothing here
+    got = lattice.join(table, setting=(1, 24, 1), block_rows=block).collect()  # enough tables to miss nothing here
     assert sorted(map(tuple, got), key=repr) == brute.vectors(rows, 0.93)
     if block == 4:
         assert lattice.join(table.limit(0)).count() == 0
 
 
-def test_lattice_recall(spark):
-    """With the default settings nearly all links are found in every band of cosines from the threshold on."""
+@pytest.mark.parametrize("rows", [1, 1_000_000, 1_000_000_000])
+def test_lattice_recall(spark, rows):
+    """With the settings for labels of any size nearly all links are found in every band of cosines from the threshold."""
+    setting = None if rows == 1 else lattice.settings(rows)
     rng = np.random.default_rng(8)
-    rows, band, pairs = [], [], 1200
+    data, band, pairs = [], [], 1200
     for i in range(pairs):
         a, z = rng.normal(size=(2, 64))
         a /= np.linalg.norm(a)
         z -= (z @ a) * a
         c = 0.9301 + 0.0698 * i / pairs
         band.append(i * 4 // pairs)
-        rows += [(2 * i, a.tolist(), i % 3), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * z / np.linalg.norm(z)).tolist(), i % 3)]
-    got = {r.vec_id: r.n_links for r in lattice.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        data += [(2 * i, a.tolist(), i % 3), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * z / np.linalg.norm(z)).tolist(), i % 3)]
+    got = {r.vec_id: r.n_links for r in lattice.join(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), setting=setting).collect()}
     assert max(got.values()) == 1
     for b in range(4):
         hit = [got[2 * i] for i in range(pairs) if band[i] == b]
         assert sum(hit) >= 0.99 * len(hit), (b, sum(hit), len(hit))
 
 
+def test_lattice_settings_follow_the_largest_label():
+    assert [lattice.settings(n) for n in (0, 1 << 18, (1 << 18) + 1, 10**12)] == [[1, 10, 1], [1, 10, 1], [2, 22, 2], [3, 48, 3]]
+
+
 def string_docs():
     rng = random.Random(1)
     docs = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(60))) * rng.choice([1, 1, 2, 3])) for i in range(60)]
