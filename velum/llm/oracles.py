@@ -41,3 +41,46 @@ STRINGS = """
     SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
         sha256(unhex(CASE WHEN t IS NULL THEN x ELSE t || substr(x, 2 * last + 1) END)) AS kept_sha256
     FROM d LEFT JOIN parts USING (doc_id)"""
+
+
+def clusters(k: int, dims: int, rounds: int) -> str:
+    """Clustering of integer vectors: every distance in every round."""
+    out = f"""
+    WITH v AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+        WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x FROM v WHERE vec_id IS NOT NULL QUALIFY k < {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+    d{i} AS (SELECT v.r, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{i} c),
+    a{i} AS MATERIALIZED (SELECT r, arg_min(k, d * {k} + k) AS k, min(d) AS d FROM d{i} GROUP BY r)"""
+        if i < rounds:
+            out += f""",
+    e{i} AS (SELECT k, unnest(x) AS x, unnest(range({dims})) AS i FROM v JOIN a{i} USING (r)),
+    s{i} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM e{i} GROUP BY k, i),
+    m{i} AS (SELECT k, list((s - ((s % n + n) % n)) // n ORDER BY i) AS x FROM s{i} GROUP BY k),
+    c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (k))"""
+    return (
+        out
+        + f"""
+    SELECT vec_id, a.k::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+        sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c USING (k)"""
+    )
+
+
+def ranked(best: int) -> str:
+    """Ranked search: the score of every document for every item."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS l FROM documents),
+    total AS (SELECT count(*) AS docs, sum(len(l))::BIGINT AS length FROM d WHERE len(l) > 0),
+    p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(l) AS term FROM d) GROUP BY r, term),
+    w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN total GROUP BY term, docs),
+    i AS (SELECT row_number() OVER () AS a, item_id, {terms} AS l FROM benchmark),
+    q AS (SELECT a, term, count(*) AS q FROM (SELECT a, unnest(l) AS term FROM i) GROUP BY a, term),
+    m AS (SELECT r, doc_id, 75 + (25 * len(l) * docs) // length AS m FROM d CROSS JOIN total WHERE len(l) > 0),
+    s AS (SELECT a, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY a, r, doc_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, doc_id, r) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o JOIN i USING (a) WHERE rank <= {best}"""

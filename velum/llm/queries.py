@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velum.io import table
-from velum.llm import bpe, chat, decontaminate, jaccard, langid, lattice, license_scan, oracles, quality, suffix_dedup, toxicity
+from velum.llm import bpe, centroids, chat, decontaminate, jaccard, langid, lattice, lexical, license_scan, oracles, pieces, quality, suffix_dedup, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Centroids, components and rounds of the clustering query; answers of a search.
+CLUSTERS, COMPONENTS, ROUNDS, BEST = 16, 64, 3, 20
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -130,12 +133,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), langid.train(table(spark, sf_dir, "documents")))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece counts and digests of every document, encoded and decoded again."""
+    return pieces.digests(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, exact distance and inertia of every whole vector."""
+    vectors = centroids.scaled(table(spark, sf_dir, "embeddings"), COMPONENTS)
+    clustered, last = centroids.cluster(vectors, centroids.by_hash(vectors, CLUSTERS), ROUNDS)
+    return centroids.report(clustered, last)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest-scoring documents of every benchmark item."""
+    items = table(spark, sf_dir, "benchmark")
+    idx = lexical.index(table(spark, sf_dir, "documents"), lexical.vocabulary(items))
+    out = lexical.search(idx, items, BEST)
+    idx.discard()
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = (op1_license_scan, op2_embedding_dedup, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op7_decontaminate, op8_repeated_strings, op9_bpe, op10_language_id)
+    found = (op1_license_scan, op2_embedding_dedup, op3_quality, op4_toxicity, op5_jaccard_join, op6_chat_format, op7_decontaminate, op8_repeated_strings, op9_bpe, op10_language_id, op11_sentencepiece, op12_centroids, op13_lexical_search)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1_sql(), "op2_embedding_dedup": oracles.VECTORS, "op5_jaccard_join": oracles.TEXTS, "op6_chat_format": _OP6_SQL, "op8_repeated_strings": oracles.STRINGS}
+    return {"op12_centroids": oracles.clusters(CLUSTERS, COMPONENTS, ROUNDS), "op13_lexical_search": oracles.ranked(BEST), "op1_license_scan": _op1_sql(), "op2_embedding_dedup": oracles.VECTORS, "op5_jaccard_join": oracles.TEXTS, "op6_chat_format": _OP6_SQL, "op8_repeated_strings": oracles.STRINGS}
