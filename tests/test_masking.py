@@ -1,10 +1,12 @@
+import json
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from velum.operators import detect, lexicon, masking
+from velum.functions import json_text
+from velum.operators import bodies, detect, lexicon, masking
 
 # Synthetic golden cases: text and the entities (text, kind) of the class and CamelCase passes.
 GOLDEN = [
@@ -204,9 +206,76 @@ def test_bodies_and_occurrences(spark):
     shape = "session string, original string, kind string, token string, first_turn long"
     tokens = spark.createDataFrame([("s", "Ann", "PERSON", "[PERSON_1]", 0)], shape)
     rows = [("s", 0, "user", "hi Ann"), ("s", 1, "assistant", "hi Ann"), ("s", 2, "user", '[{"type":"text","text":"Ann \\"x\\""},{"type":"image","text":"Ann"}]'), ("s", 3, "user", "[not json Ann"), ("t", 0, "user", "Ann"), ("s", 4, "user", None)]
-    out = masking.mask_bodies(spark.createDataFrame(rows, "session string, turn long, role string, content string"), tokens)
+    out = bodies.mask_bodies(spark.createDataFrame(rows, "session string, turn long, role string, content string"), tokens)
     got = {(r.session, r.turn): r.content for r in out.collect()}
     assert got[("s", 0)] == "hi [PERSON_1]" and got[("s", 1)] == "hi Ann" and got[("t", 0)] == "Ann" and got[("s", 4)] is None and got[("s", 3)] == "[not json [PERSON_1]"
     assert got[("s", 2)] == '[{"type":"text","text":"[PERSON_1] \\"x\\""},{"type":"image","text":"Ann"}]'
     counted = masking.occurrences(out.withColumnRenamed("content", "masked"), tokens).collect()
     assert [(r.token, r.n) for r in counted] == [("[PERSON_1]", 3)]
+
+
+def any_json(rng, depth=0):
+    kind = rng.randrange(8 if depth < 4 else 6)
+    if kind < 2:
+        return rng.choice(["", "a", "\"q\" \\ \n", "é☃🙂", "[EMAIL_1]", "x" * 30, "\u0001"])
+    if kind < 6:
+        return rng.choice([0, -1, 1.5, 1e30, True, False, None])
+    if kind == 6:
+        return [any_json(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {rng.choice(["type", "text", "k", "ü", ""]): any_json(rng, depth + 1) for _ in range(rng.randrange(4))}
+
+
+def test_leaves_of_json():
+    """Leaves are found in any layout, and nothing but chosen ones changes."""
+    rng = random.Random(5)
+
+    def strings(value):
+        if isinstance(value, str):
+            return [value]
+        below = value if isinstance(value, list) else value.values() if isinstance(value, dict) else []
+        return [s for v in below for s in strings(v)]
+
+    for _ in range(800):
+        text = json.dumps(any_json(rng), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]), separators=rng.choice([None, (",", ":"), (" , ", " :\t")]))
+        leaves = json_text.string_leaves(text)
+        assert [json_text.value(text, a, b) for _, a, b in leaves] == strings(json.loads(text))
+        assert json_text.rewrite(text, {}, leaves) == text
+        if leaves:
+            n = rng.randrange(len(leaves))
+            new = json_text.rewrite(text, {n: "new \"\n"}, leaves)
+            _, a, b = leaves[n]
+            assert new.startswith(text[:a]) and new.endswith(text[b:]) and strings(json.loads(new))[n] == "new \"\n"
+        broken = text[:-1] if rng.random() < 0.5 else text.replace(":", ",", 1)
+        try:
+            json.loads(broken)
+        except ValueError:
+            with pytest.raises(ValueError):
+                json_text.string_leaves(broken)
+    assert json_text.string_leaves("[" * 50_000 + "]" * 50_000) == []
+
+
+def test_requests_of_three_shapes(spark):
+    body = {
+        0: '{"messages":[{"role":"tool","content":"to a@ex.com"},{"role":"assistant","content":"b@ex.com"},{"role":"developer","content":[{"type":"text","text":"A@EX.COM `a@ex.com`"},{"type":"input","text":"a@ex.com"}]}],"n":1.0}',
+        1: '{"systemInstruction":{"parts":[{"text":"c@ex.com"}]},"contents":[{"role":"model","parts":[{"text":"a@ex.com"},{"inlineData":{"data":"a@ex.com"}}]}], "k" : true}',
+        2: "not json a@ex.com",
+        3: None,
+        4: json.dumps({"messages": [{"role": "user", "content": " ".join(f"m{i}@ex.com" for i in range(6))}]}),
+    }
+    rows = spark.createDataFrame([("s", k, v) for k, v in body.items()] + [(None, 0, body[0])], "session string, turn long, body string")
+    out, tokens = bodies.mask_requests(rows, most=5)
+    got = {(r.session, r.turn): (r.body, r.n_entities) for r in out.collect()}
+    assert got[("s", 0)] == (body[0].replace("to a@ex.com", "to [EMAIL_1]").replace("A@EX.COM", "[EMAIL_1]"), 1)
+    assert got[("s", 1)] == (body[1].replace("c@ex.com", "[EMAIL_2]").replace('{"text":"a@ex.com"}', '{"text":"[EMAIL_1]"}'), 2)
+    assert got[("s", 2)] == (body[2], 0) and got[("s", 3)] == (None, 0) and ("s", 4) not in got
+    assert {r.original for r in tokens.where("session = 's'").collect()} == {"a@ex.com", "c@ex.com"}
+    back = {r.turn: r.body for r in bodies.restore_bodies(out, tokens).where("session = 's'").collect()}
+    assert back[1] == body[1] and back[0] == body[0].replace("A@EX.COM", "a@ex.com")
+    passed = bodies.mask_requests(rows, mode="passthrough", most=5)[0].where("unmasked").collect()
+    assert [(r.turn, r.body) for r in passed] == [(4, body[4])]
+
+
+def test_control_characters_outside_code(spark):
+    text = "a\x01b `Ann` Ann\x02 c"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(detect.outside_code(F.col("t"), lambda p: F.upper(p)).alias("x")).collect()
+    assert [r.x for r in got] == ["A\x01B `Ann` ANN\x02 C", ""]

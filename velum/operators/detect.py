@@ -150,7 +150,11 @@ def code_regions(text: Column) -> Column:
 
 
 def outside_code(text: Column, change) -> Column:
-    """`text` with `change` applied to what lies outside of code regions."""
-    clean = F.translate(F.coalesce(text, F.lit("")), _MARK + _HIT, "  ")
-    pieces = F.split(F.regexp_replace(clean, CODE, f"{_MARK}{_HIT}$0{_MARK}"), _MARK)
-    return F.array_join(F.transform(pieces, lambda p: F.when(F.startswith(p, F.lit(_HIT)), F.substring(p, F.lit(2), F.char_length(p))).otherwise(change(p))), "")
+    """`text` with `change` applied to what lies outside of code regions; the regions stay as they are."""
+    whole = F.coalesce(text, F.lit(""))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    between = lambda acc, end: change(F.substring(whole, acc["at"] + 1, end - acc["at"]))
+    step = lambda acc, r: F.struct(
+        (r["start"] + F.char_length(r["text"])).alias("at"), F.concat(acc["out"], between(acc, r["start"]), F.substring(whole, r["start"] + 1, F.char_length(r["text"]))).alias("out")
+    )
+    return F.aggregate(code_regions(text), start, step, lambda acc: F.concat(acc["out"], between(acc, F.char_length(whole))))

@@ -65,26 +65,52 @@ def mask(text: Column, held: Column) -> Column:
     return F.aggregate(held, text, lambda acc, e: F.regexp_replace(acc, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_@/])"), _quoted(e["original"]), F.lit(r"(?!\w)")), e["token"]))
 
 
+_ENTRIES = "array<struct<original:string,token:string,first_turn:bigint>>"
+#: A word of a lower-cased text; what an original begins with is one of the words of any text that holds it.
+_WORD = "([a-z0-9_]+)"
+
+
+def with_entries(turns: DataFrame, tokens: DataFrame, text: str = "text", out: str = "_e") -> DataFrame:
+    """`turns` (session, text, ...) with the entries of their session whose original the text holds, case aside.
+
+    Originals are looked up by their first word, so no row meets the whole map of its session. Equal texts of a session
+    are looked up once; originals without an ASCII word are tried on every text of their session.
+    """
+    marked = turns.withColumn("_at", F.struct("session", F.xxhash64(text).alias("h")))
+    words = F.array_union(F.array(F.lit("")), F.regexp_extract_all(F.lower(text), F.lit(_WORD), 1))
+    asked = marked.where(F.col(text).isNotNull()).select("session", "_at", F.explode(words).alias("word")).distinct()
+    keyed = tokens.select("session", F.regexp_extract(F.lower("original"), _WORD, 1).alias("word"), "original", "token", "first_turn")
+    hits = asked.join(keyed, ["session", "word"]).select(F.col("_at").alias("session"), "original", "token", "first_turn")
+    joined = marked.join(entries(hits).select(F.col("session").alias("_at"), F.col("entries").alias(out)), "_at", "left").drop("_at")
+    low = joined.withColumn("_low", F.lower(text)).withColumn(out, F.coalesce(out, F.array().cast(_ENTRIES)))
+    return low.withColumn(out, present(F.col("_low"), F.col(out))).drop("_low")
+
+
 def mask_turns(turns: DataFrame, tokens: DataFrame, text: str = "text") -> DataFrame:
     """`turns` (session, turn, text, ...) with `masked`: only tokens known by their turn are used."""
-    joined = turns.join(entries(tokens), "session", "left")
-    usable = F.filter(F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>")), lambda e: e["first_turn"] <= F.col("turn"))
-    joined = joined.withColumns({"_e": usable, "_low": F.lower(text)}).withColumn("_e", present(F.col("_low"), F.col("_e")))
-    return joined.withColumn("masked", mask(F.col(text), F.col("_e"))).drop("entries", "_e", "_low")
+    joined = with_entries(turns, tokens, text)
+    joined = joined.withColumn("_e", F.filter("_e", lambda e: e["first_turn"] <= F.col("turn")))
+    return joined.withColumn("masked", mask(F.col(text), F.col("_e"))).drop("_e")
 
 
-def mask_found(turns: DataFrame, found: DataFrame, tokens: DataFrame, text: str = "text") -> DataFrame:
+def mask_found(turns: DataFrame, found: DataFrame, tokens: DataFrame, text: str = "text", code: bool = False) -> DataFrame:
     """`turns` with `masked`: mask_turns() for sessions of any size, from detections `found` (session, turn, text).
 
     Each row gets the entries of what was found in its turn, joined by session and original, so no row carries the map
-    of its session. An original that stands in a text without being found there stays.
+    of its session. An original that stands in a text without being found there stays. With `code`, code regions stay.
     """
     hits = found.select("session", "turn", F.lower("text").alias("key")).distinct()
     known = tokens.select("session", F.lower("original").alias("key"), "original", "token", "first_turn")
     held = hits.join(known, ["session", "key"]).where("first_turn <= turn").select(F.struct("session", "turn").alias("session"), "original", "token", "first_turn")
     joined = turns.withColumn("_at", F.struct("session", "turn")).join(entries(held).withColumnRenamed("session", "_at"), "_at", "left")
-    usable = F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>"))
-    return joined.withColumn("_e", usable).withColumn("masked", mask(F.col(text), F.col("_e"))).drop("_at", "entries", "_e")
+    joined = joined.withColumn("_e", F.coalesce("entries", F.array().cast(_ENTRIES)))
+    masked = mask_outside_code(F.col(text), F.col("_e")) if code else mask(F.col(text), F.col("_e"))
+    return joined.withColumn("masked", masked).drop("_at", "entries", "_e")
+
+
+def mask_outside_code(text: Column, held: Column) -> Column:
+    """mask() on what lies outside of code. Most texts hold none; only those with a fence or back quote are cut up."""
+    return F.when(text.rlike("[`~]"), outside_code(text, lambda p: mask(p, held))).otherwise(mask(text, held))
 
 
 def restore(text: Column, held: Column) -> Column:
@@ -100,10 +126,20 @@ def restore_turns(turns: DataFrame, tokens: DataFrame, text: str = "masked") ->
     stand = marked.select("session", "_at", F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN})"), 1)).alias("token")).where("token IS NOT NULL").distinct()
     hits = stand.join(tokens.select("session", "token", "original", "first_turn"), ["session", "token"]).select(F.col("_at").alias("session"), "original", "token", "first_turn")
     joined = marked.join(entries(hits).withColumnRenamed("session", "_at"), "_at", "left")
-    held = F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>"))
+    held = F.coalesce("entries", F.array().cast(_ENTRIES))
     return joined.withColumn("restored", restore(F.col(text), held)).drop("_at", "entries")
 
 
+def find_entities(rows: DataFrame, id_cols: list[str], text: str = "text", lexicon: Lexicon | None = None, **options) -> DataFrame:
+    """(*id_cols, ord, start, text, kind): classes, names by `lexicon` and CamelCase of each row, as in anonymize()."""
+    lexicon = lexicon or Lexicon()
+    terms = lexicon.terms | frozenset(options.get("terms", TECH_TERMS))
+    named = with_names(rows.select(*id_cols, F.col(text).alias("_t")), replace(lexicon, terms=terms), "_t", "_names")
+    found = entities(named, "_t", names=F.col("_names"), **options)
+    placed = found.select(*id_cols, F.posexplode_outer("entities").alias("ord", "e")).where("ord IS NOT NULL")
+    return placed.select(*id_cols, "ord", "e.start", "e.text", "e.kind")
+
+
 def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, custom: str | Column | None = None, **options) -> DataFrame:
     """(id, masked, entities, n_entities): every document its own session; one Arrow pass and one projection, no shuffle.
 
@@ -125,8 +161,7 @@ def anonymize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexic
     ))
     held = F.array_sort("tokens", lambda a, b: F.char_length(b["original"]) - F.char_length(a["original"]))
     made = found.withColumn("tokens", numbered).withColumn("_held", held)
-    # Most texts hold no code at all; only those with a fence or back quote are cut into regions.
-    masked = F.when(F.col("_t").rlike("[`~]"), outside_code(F.col("_t"), lambda p: mask(p, F.col("_held")))).otherwise(mask(F.col("_t"), F.col("_held")))
+    masked = mask_outside_code(F.col("_t"), F.col("_held"))
     return made.select(id_col, F.when(F.size("_held") > 0, masked).otherwise(F.col("_t")).alias("masked"), F.col("tokens").alias("entities"), F.size("tokens").alias("n_entities"))
 
 
@@ -148,7 +183,7 @@ def promotions(found: DataFrame, calls: int = 3, confidence: float = 0.6) -> Dat
 
 def leaks(masked: DataFrame, tokens: DataFrame, text: str = "masked") -> DataFrame:
     """Rows of `masked` (session, ...) in which an original of their session still stands as a word of its own."""
-    held = masked.join(entries(tokens), "session")
+    held = with_entries(masked, tokens, text, "entries")
     alone = lambda e: F.regexp_like(F.col(text), F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_@/])"), _quoted(e["original"]), F.lit(r"(?!\w)")))
     return held.where(F.exists("entries", lambda e: (e["first_turn"] <= F.col("turn")) & F.contains(F.lower(F.col(text)), F.lower(e["original"])) & alone(e))).drop("entries")
 
@@ -173,18 +208,3 @@ def occurrences(turns: DataFrame, tokens: DataFrame, text: str = "masked") -> Da
     found = turns.select("session", F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN})"), 1)).alias("token")).where("token IS NOT NULL")
     counted = found.groupBy("session", "token").agg(F.count("*").alias("n"))
     return tokens.select("session", "token").join(counted, ["session", "token"])
-
-
-def mask_bodies(messages: DataFrame, tokens: DataFrame) -> DataFrame:
-    """`messages` (session, turn, role, content) with content masked for users: a plain text, or a JSON array of blocks.
-
-    Only `text` blocks change; other roles, other blocks and bodies that are neither stay as they are.
-    """
-    shape = "array<map<string,string>>"
-    joined = messages.join(entries(tokens), "session", "left")
-    held = F.filter(F.coalesce("entries", F.array().cast("array<struct<original:string,token:string,first_turn:bigint>>")), lambda e: e["first_turn"] <= F.col("turn"))
-    joined = joined.withColumns({"_e": held, "_low": F.lower("content"), "_blocks": F.when(F.col("content").rlike(r"^\s*\["), F.from_json("content", shape))})
-    joined = joined.withColumn("_e", present(F.col("_low"), F.col("_e")))
-    changed = F.transform("_blocks", lambda b: F.when(b["type"] == "text", F.transform_values(b, lambda k, v: F.when(k == "text", mask(v, F.col("_e"))).otherwise(v))).otherwise(b))
-    body = F.when(F.col("_blocks").isNotNull(), F.to_json(changed)).otherwise(mask(F.col("content"), F.col("_e")))
-    return joined.withColumn("content", F.when(F.col("role") == "user", body).otherwise(F.col("content"))).drop("entries", "_e", "_low", "_blocks")

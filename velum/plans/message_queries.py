@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from velum.functions import vectors
 from velum.io import spread, table
-from velum.operators import conversation, detect, masking, memory, retrieval
+from velum.operators import bodies, conversation, detect, masking, memory, retrieval
 from velum.plans import text_queries
-from velum.streaming import restore
+from velum.streaming import bus, restore, windows
 
 QUERIES, SQL = [], {}
 
@@ -199,7 +199,7 @@ def session_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""SELECT conv_id, turn AS idx, sha256(CASE WHEN role <> 'user' THEN 'to ada' || conv_id || '@mail.example' WHEN turn % 4 = 0 THEN 'to [EMAIL_1]' ELSE 'to [EMAIL_1], ada' || conv_id || '@mail.example' END) AS digest FROM conversations""")
 def masked_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies of user messages masked in their text blocks only; other roles and other blocks stay."""
+    """Bodies of user messages masked in their text blocks only; other blocks, answers and this caller's system messages stay."""
     mail = F.concat(F.lit("ada"), "conv_id", F.lit("@mail.example"))
     rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("session"), F.col("idx").alias("turn"), "role", mail.alias("mail"))
     plain = F.concat(F.lit("to "), "mail")
@@ -207,12 +207,55 @@ def masked_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = F.to_json(F.array(block("text", "text", plain), block("tool_use", "input", F.col("mail"))))
     rows = rows.withColumn("content", F.when((F.col("role") != "user") | (F.col("turn") % 4 == 0), plain).otherwise(blocks))
     tokens = rows.groupBy("session").agg(F.min("mail").alias("original")).select("session", "original", F.lit("EMAIL").alias("kind"), F.lit("[EMAIL_1]").alias("token"), F.lit(0).cast("long").alias("first_turn"))
-    out = masking.mask_bodies(rows.drop("mail"), tokens)
+    out = bodies.mask_bodies(rows.drop("mail"), tokens, ("assistant", "system"))
     held = F.from_json("content", "array<map<string,string>>")
     read = F.when(F.startswith("content", F.lit("[{")), F.concat(held[0]["text"], F.lit(", "), held[1]["input"])).otherwise(F.col("content"))
     return out.select(F.col("session").alias("conv_id"), F.col("turn").alias("idx"), F.sha2(read, 256).alias("digest"))
 
 
+#: A request body and one of its messages; @TEXT@, @MAIL@ and @ROLE@ are put in.
+_REQUEST = '{"model":"m","temperature":0.50, "stream":true,"system":"for boss@mail.example","messages":[@ALL@],"extra":{"mail":"ada0@mail.example","n":[1,2.0,1e3,null,{}]}}'
+_PLAIN = '{"role":"@ROLE@","content":"@TEXT@ from @MAIL@","id":7}'
+_BLOCKS = (
+    '{"role":"@ROLE@","content":[{"type":"text","text":"@TEXT@ from @MAIL@","cache_control":{"type":"ephemeral","ttl":3600}},{"type":"tool_result","tool_use_id":"c1",'
+    '"content":[{"type":"text","text":"ada1@mail.example"}],"is_error":false},{"type":"image","source":{"n":5,"w":1.50,"ok":true,"x":null}}]}'
+)
+
+
+def _requests_sql() -> str:
+    def body(mail: str) -> str:
+        message = f"replace(replace(replace(CASE WHEN turn % 3 = 0 THEN '{_PLAIN}' ELSE '{_BLOCKS}' END, '@ROLE@', role), '@MAIL@', {mail}), '@TEXT@', js)"
+        return f"replace('{_REQUEST}', '@ALL@', string_agg({message}, ',' ORDER BY turn))"
+
+    return f"""
+    WITH m AS (SELECT conv_id, turn, role, substr(to_json(coalesce(text, '')), 2, length(to_json(coalesce(text, ''))) - 2) AS js, CASE WHEN turn % 2 = 1 THEN upper(mail) ELSE mail END AS mail
+        FROM (SELECT *, 'ada' || (turn % 3) || '@mail.example' AS mail FROM conversations)),
+    f AS (SELECT conv_id, lower(mail) AS low, min(turn) AS f FROM m WHERE role <> 'assistant' GROUP BY ALL),
+    t AS (SELECT conv_id, low, '[EMAIL_' || row_number() OVER (PARTITION BY conv_id ORDER BY f) || ']' AS token FROM f)
+    SELECT m.conv_id, count(DISTINCT token)::INT AS n_entities, sha256({body("CASE WHEN role = 'assistant' THEN mail ELSE token END")}) AS masked, sha256(lower({body("mail")})) AS restored
+    FROM m LEFT JOIN t ON m.conv_id = t.conv_id AND lower(mail) = low GROUP BY m.conv_id"""
+
+
+@_query(_requests_sql())
+def masked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole request bodies with nested blocks, masked in the texts of all roles but assistant and restored again."""
+    mail = F.concat(F.lit("ada"), (F.col("idx") % 3).cast("string"), F.lit("@mail.example"))
+    js = F.to_json(F.array(F.coalesce("text", F.lit(""))))
+    message = F.when(F.col("idx") % 3 == 0, F.lit(_PLAIN)).otherwise(F.lit(_BLOCKS))
+    for mark, value in (("@ROLE@", F.col("role")), ("@MAIL@", F.when(F.col("idx") % 2 == 1, F.upper(mail)).otherwise(mail)), ("@TEXT@", F.substring(js, F.lit(3), F.char_length(js) - 4))):
+        message = F.replace(message, F.lit(mark), value)
+    rows = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("idx", message.alias("m")))).alias("all"))
+    requests = rows.select(F.col("conv_id").alias("session"), F.lit(0).cast("long").alias("turn"), F.replace(F.lit(_REQUEST), F.lit("@ALL@"), F.array_join(F.transform("all", lambda x: x["m"]), ",")).alias("body"))
+
+    def mails(texts: DataFrame, ids: list[str], text: str) -> DataFrame:
+        found = texts.select(*ids, F.posexplode_outer(detect.spans(F.col(text), detect.EMAIL, "EMAIL")).alias("ord", "e")).where("ord IS NOT NULL")
+        return found.select(*ids, "ord", "e.start", "e.text", "e.kind")
+
+    out, tokens = bodies.mask_requests(requests, mails)
+    back = bodies.restore_bodies(out, tokens).select("session", F.sha2(F.lower("body"), 256).alias("restored"))
+    return out.join(back, "session").select(F.col("session").alias("conv_id"), F.col("n_entities").cast("int").alias("n_entities"), F.sha2("body", 256).alias("masked"), "restored")
+
+
 @_query(rf"""WITH m AS (SELECT source AS session, unnest(regexp_extract_all(text, '{text_queries._RE_EMAIL}')) AS t FROM documents), t AS ({text_queries.SQL['session_tokens']})
     SELECT m.session, token, count(*) AS n FROM m JOIN t ON m.session = t.session AND lower(m.t) = lower(original) GROUP BY 1, 2""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,6 +376,63 @@ def restored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("stream_id", F.sha2("t", 256).alias("digest"))
 
 
+def _tool_input(person: str, org: str) -> str:
+    return f"""'{{"to":"{person}","body":' || to_json(coalesce(text, '')) || ',"from":["{org}",1.50]}}'"""
+
+
+_PERSON, _ORG = 'A"d\\a', "Ac\nme é"
+
+
+@_query(f"""SELECT conv_id || '/' || turn AS stream_id, sha256({_tool_input('A\\"d\\\\a', 'Ac\\nme é')}) AS first, sha256({_tool_input('Ac\\nme é', 'A\\"d\\\\a')}) AS second FROM conversations""")
+def restored_tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tool inputs streamed as interleaved JSON fragments, with originals that need JSON's escapes, read back."""
+    c = table(spark, sf_dir, "conversations")
+    js = F.to_json(F.array(F.coalesce("text", F.lit(""))))
+    whole = lambda a, b: F.concat(F.lit(f'{{"to":"{a}","body":'), F.substring(js, F.lit(2), F.char_length(js) - 2), F.lit(f',"from":["{b}",1.50]}}'))
+    t = c.select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), whole("[PERSON_1]", "[ORG_12]").alias("t0"), whole("[ORG_12]", "[PERSON_1]").alias("t1"))
+    delta = lambda i, p: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.lit(i).alias("index"), F.struct(F.lit("input_json_delta").alias("type"), p.alias("partial_json")).alias("delta")))
+    part = lambda n, i: F.concat(F.lit("data: "), delta(n, F.substring(F.col(f"t{n}"), i * 9 + 1, F.lit(9))), F.lit("\n\n"))
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("t0"), F.char_length("t1")) / 9).cast("int"))
+    sent = t.select("stream_id", F.concat(F.array_join(F.transform(places, lambda i: F.concat(part(0, i), part(1, i))), ""), F.lit('data: {"type":"message_stop"}\n\n')).alias("s"))
+    last = F.floor((F.char_length("s") - 1) / 70).cast("int")
+    tokens = F.when(F.col("i") == 0, F.create_map(F.lit("[PERSON_1]"), F.lit(_PERSON), F.lit("[ORG_12]"), F.lit(_ORG)))
+    cut = sent.select("stream_id", "s", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    chunks = cut.select("stream_id", F.col("i").cast("long").alias("seq"), F.substring("s", F.col("i") * 70 + 1, F.lit(70)).alias("payload"), (F.col("i") == last).alias("final"), tokens.alias("tokens"))
+    out = restore.restore_frames_batch(chunks).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), "").alias("payload"))
+    read = restore.sse_events(out).select("stream_id", "seq", F.get_json_object("data", "$.index").alias("n"), F.get_json_object("data", "$.delta.partial_json").alias("text")).where("text IS NOT NULL")
+    of = lambda n: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") == n, F.struct("seq", "text")))), lambda x: x["text"]), ""), 256)
+    return read.groupBy("stream_id").agg(of("0").alias("first"), of("1").alias("second"))
+
+
+# --- the bus and event time --------------------------------------------------------------------------------------------
+
+
+@_query("""WITH subs AS (SELECT DISTINCT event_type || '-log' AS subscriber, event_type AS kind FROM events UNION ALL SELECT 'all', '*'),
+    polls AS (SELECT subscriber, kind, event_id AS p FROM subs CROSS JOIN events WHERE event_id % 700 = 0),
+    sent AS (SELECT subscriber, kind, event_id AS s FROM subs JOIN events ON kind = event_type OR kind = '*'),
+    due AS (SELECT x.subscriber, x.kind, s, p FROM sent x ASOF JOIN polls y ON x.subscriber = y.subscriber AND x.kind = y.kind AND x.s <= y.p),
+    got AS (SELECT subscriber, kind, p, count(*) AS n, list(s ORDER BY s DESC)[1:256] AS l FROM due GROUP BY 1, 2, 3)
+    SELECT subscriber, kind, p AS seq, coalesce(len(l), 0)::BIGINT AS delivered, coalesce(n - len(l), 0)::BIGINT AS lost, l[-1] AS first, l[1] AS last FROM polls LEFT JOIN got USING (subscriber, kind, p)""")
+def bus_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What subscribers to one kind of event or to all of them get at each poll, and what their bounded bus has lost."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    everything = spark.createDataFrame([("all", bus.ANY)], "subscriber string, kind string")
+    subscriptions = e.select("kind").distinct().select(F.concat("kind", F.lit("-log")).alias("subscriber"), "kind").unionAll(everything)
+    who = subscriptions.select("subscriber").distinct()
+    polls = e.where("seq % 700 = 0").select("seq", F.lit(1).alias("one")).join(who.withColumn("one", F.lit(1)), "one").select("subscriber", "seq")
+    return bus.deliveries(bus.subscribed(e, subscriptions, polls))
+
+
+@_query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 43200000000 AS end_us, count(*) AS n, round(sum(value), 3) AS total FROM s GROUP BY user_id, s""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user by event time, 12 hours apart."""
+    found = windows.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "value", "12 hours")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.select("user_id", us("start").alias("start_us"), us("end").alias("end_us"), "n", F.round("total", 3).alias("total"))
+
+
 # --- choices that depend on earlier ones -------------------------------------------------------------------------------
 
 _FOLD = """list_reduce(list({{'seq': event_id, 'at': {value}, 'held': []::DOUBLE[], 'out': []::BOOLEAN[]}} ORDER BY {order}), lambda a, x: {step}, {{'seq': 0::BIGINT, 'at': 0::DOUBLE, 'held': []::DOUBLE[], 'out': []::BOOLEAN[]}})"""

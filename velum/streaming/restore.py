@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from velum.functions import json_text
+
 # The start of a token that is not complete yet, and the limits of the monitors.
 PARTIAL = r"\[[A-Z]*_?[0-9]*$"
 POISONED = r"\[[A-Z]+_[0-9]+\]?"
@@ -29,47 +31,67 @@ def push(buffer: str, text: str, originals: dict[str, str], final: bool) -> tupl
     whole = buffer + text
     held = "" if final or not (m := re.search(PARTIAL, whole)) else m[0]
     safe = whole[: len(whole) - len(held)]
-    for token in sorted(originals, key=lambda t: (-len(t), t)):
+    for token in sorted(originals, key=lambda t: (-len(t), t)) if "[" in safe else ():
         if token in safe and not re.search(POISONED, originals[token]):
             safe = safe.replace(token, originals[token])
     return safe, held
 
 
-def restore_stream(chunks: DataFrame, originals: dict[str, dict[str, str]]) -> DataFrame:
-    """(stream_id, seq, text) from a stream of (stream_id, seq, payload, final): chunks of a stream must come in order.
+#: Tokens of given sessions that restore_stream() may broadcast; larger maps come with the rows of their stream.
+MOST_TOKENS = 100_000
+
+
+def restore_text(state: tuple, values: tuple) -> tuple[tuple, str]:
+    """The next state (text held back, tokens) and the safe text of a chunk (seq, payload, final, tokens)."""
+    held, known = state
+    _, payload, final, tokens = values
+    known = {**known, **dict(tokens)} if tokens else known
+    text, held = push(held, payload or "", known, bool(final))
+    return (held, known), text
+
+
+def restore_stream(chunks: DataFrame, originals: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """(stream_id, seq, text) from a stream of (stream_id, seq, payload, final, tokens): chunks of a stream must come in order.
 
-    `originals` maps a stream to its tokens; it is as large as the sessions now open. State: the text held back.
+    `tokens` (map or null) comes with the rows of its stream and lives in the state with the text held back, which a
+    final chunk drops. A few known sessions may be given as `originals` instead.
     """
-    shared = chunks.sparkSession.sparkContext.broadcast(originals)
+    given = originals or {}
+    if sum(map(len, given.values())) > MOST_TOKENS:
+        raise ValueError("too many tokens to broadcast; send them with the chunks")
+    shared = chunks.sparkSession.sparkContext.broadcast(given)
+    rows = chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", F.lit(None).cast("map<string,string>"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("seq")
-        (buffer,) = state.get if state.exists else ("",)
-        out = []
-        for seq, payload, final in zip(rows["seq"], rows["payload"], rows["final"], strict=True):
-            text, buffer = push(buffer, payload or "", shared.value.get(key[0], {}), bool(final))
-            out.append((key[0], seq, text))
-        state.update((buffer,))
+        now = (state.get[0], json.loads(state.get[1])) if state.exists else ("", {})
+        out, ended = [], False
+        for values in zip(rows["seq"], rows["payload"], rows["final"], rows["tokens"], strict=True):
+            (held, known), text = restore_text((now[0], {**shared.value.get(key[0], {}), **now[1]}), values)
+            now = held, {t: o for t, o in known.items() if shared.value.get(key[0], {}).get(t) != o}
+            out.append((key[0], values[0], text))
+            ended = bool(values[2])
+        if ended:
+            state.remove()
+        else:
+            state.update((now[0], json.dumps(now[1])))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "buffer string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "held string, tokens string", "append", GroupStateTimeout.NoTimeout)
 
 
 def restore_batch(chunks: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The rows of restore_stream() for a finished table; `tokens` has stream_id, token, original."""
-    held = tokens.where(~F.col("original").rlike(POISONED)).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct((-F.char_length("token")).alias("n"), "token", "original"))).alias("t"))
-    ordered = chunks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("payload", F.lit("")).alias("payload"), "final"))).alias("c"))
-    joined = ordered.join(held, "stream_id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<struct<n:int,token:string,original:string>>")))
-    start = F.struct(F.lit("").alias("held"), F.array().cast("array<struct<seq:bigint,text:string>>").alias("out"))
+    """The rows of restore_stream() for a finished table; `tokens` has stream_id, token, original.
 
-    def step(acc: Column, c: Column) -> Column:
-        whole = F.concat(acc["held"], c["payload"])
-        wait = F.when(c["final"], F.lit("")).otherwise(F.regexp_extract(whole, PARTIAL, 0))
-        safe = F.substring(whole, F.lit(1), F.char_length(whole) - F.char_length(wait))
-        text = F.aggregate(F.col("t"), safe, lambda s, e: F.replace(s, e["token"], e["original"]))
-        return F.struct(wait.alias("held"), F.array_append(acc["out"], F.struct(c["seq"].cast("long").alias("seq"), text.alias("text"))).alias("out"))
-
-    return joined.select("stream_id", F.explode(F.aggregate("c", start, step, lambda acc: acc["out"])).alias("o")).select("stream_id", "o.seq", "o.text")
+    The tokens of a stream are one row in front of its chunks; rows are streamed with the state of one stream held.
+    """
+    first = F.lit(-(2**63)).cast("long")
+    one = tokens.where(F.col("stream_id").isNotNull() & F.col("token").isNotNull()).groupBy("stream_id", "token").agg(F.min("original").alias("original"))
+    maps = one.groupBy("stream_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("tokens"))
+    given = maps.select("stream_id", first.alias("seq"), F.lit("").alias("payload"), F.lit(False).alias("final"), "tokens")
+    rows = given.unionAll(chunks.select("stream_id", F.col("seq").cast("long"), "payload", "final", F.lit(None).cast("map<string,string>")))
+    out = fold(rows, "stream_id", ("seq",), lambda: ("", {}), restore_text, "text", pa.string(), ("payload", "final", "tokens"))
+    return out.where(F.col("seq") > first)
 
 
 def sse_events(stream: DataFrame) -> DataFrame:
@@ -95,24 +117,60 @@ def framed(buffer: str, text: str) -> tuple[list[str], str]:
     return [a + b for a, b in zip(parts[:-1:2], parts[1::2], strict=True)], parts[-1]
 
 
-def deltas(event: dict) -> list[tuple[dict, str]]:
-    """Places (object, key) of streamed text in an event, for both provider shapes: block deltas and choices."""
+def deltas(event: dict) -> list[tuple[dict, str, str]]:
+    """Places (object, key, lane) of streamed text in an event of any provider shape: block deltas, choices, candidates.
+
+    Deltas of one lane (a content block, a choice, a candidate) belong to one text.
+    """
     delta = event.get("delta")
     if event.get("type") == "content_block_delta" and isinstance(delta, dict):
         key = {"text_delta": "text", "input_json_delta": "partial_json"}.get(delta.get("type"))
-        return [(delta, key)] if key and isinstance(delta.get(key), str) else []
-    choices = event.get("choices")
-    found = [c.get("delta") for c in choices if isinstance(c, dict)] if isinstance(choices, list) else []
-    return [(d, "content") for d in found if isinstance(d, dict) and isinstance(d.get("content"), str)]
+        return [(delta, key, f"block {event.get('index', 0)} {key}")] if key and isinstance(delta.get(key), str) else []
+    found = []
+    for n, choice in enumerate(_objects(event.get("choices"))):
+        if isinstance(d := choice.get("delta"), dict) and isinstance(d.get("content"), str):
+            found.append((d, "content", f"choice {choice.get('index', n)}"))
+    for n, candidate in enumerate(_objects(event.get("candidates"))):
+        content = candidate.get("content")
+        for part in _objects(content.get("parts")) if isinstance(content, dict) else []:
+            if isinstance(part.get("text"), str):
+                found.append((part, "text", f"candidate {candidate.get('index', n)}"))
+    return found
 
 
-def restore_event(raw: str, originals: dict[str, str], held: str, shape: str) -> tuple[str, str, str]:
-    """(event, text held back, shape): one event with the tokens in its deltas restored.
+def _objects(value) -> list[dict]:
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
-    A possible start of a token waits for the next delta; an event that has none lets it out before itself, in the
-    `shape` of the last delta. The start of a block is restored in all its strings; anything else passes as it is.
-    """
+
+def _safe(held: str, text: str, key: str, originals: dict[str, str], final: bool) -> tuple[str, str]:
+    """push(), with originals escaped where the text is a fragment of JSON."""
+    if key == "partial_json":
+        originals = {t: json.dumps(o, ensure_ascii=False)[1:-1] for t, o in originals.items()}
+    return push(held, text, originals, final)
+
+
+def let_out(waiting: dict[str, list[str]], originals: dict[str, str], end: str = "\n") -> str:
+    """Events with the text that lanes still hold back, each in the shape of its lane's last delta."""
     out = ""
+    for lane in sorted(waiting):
+        held, shape = waiting[lane]
+        if held:
+            last = json.loads(shape)
+            for where, key, own in deltas(last):
+                where[key] = _safe(held, "", key, originals, True)[0] if own == lane else ""
+            out += f"data: {json.dumps(last, ensure_ascii=False)}{end}{end}"
+    return out
+
+
+def restore_event(raw: str, originals: dict[str, str], waiting: dict[str, list[str]]) -> tuple[str, dict[str, list[str]]]:
+    """(event, waiting): one event with the tokens in its deltas restored.
+
+    `waiting` holds, by lane, the text held back and its last delta's event. A possible start of a token waits for the
+    next delta of its lane; an event without deltas, other than a ping, lets all out before itself. The start of a
+    block is restored in all its strings, fragments of tool input get originals in JSON's escapes, anything else passes
+    as it is.
+    """
+    out, waiting = "", dict(waiting)
     for line in re.findall(r"[^\n]*\n|[^\n]+", raw):
         body = line.rstrip("\r\n")
         end = line[len(body) :]
@@ -121,37 +179,40 @@ def restore_event(raw: str, originals: dict[str, str], held: str, shape: str) ->
         except ValueError:
             event = "done"
         places = deltas(event) if isinstance(event, dict) else []
-        if event is not None and held and not places:
-            last = json.loads(shape)
-            for where, key in deltas(last)[:1]:
-                where[key] = push(held, "", originals, True)[0]
-            out = f"data: {json.dumps(last, ensure_ascii=False)}{end}{end}" + out
-            held = ""
-        for where, key in places:
-            shape = shape if shape and deltas(json.loads(shape)) and key in shape else json.dumps(event, ensure_ascii=False)
-            where[key], held = push(held, where[key], originals, False)
+        if event is not None and not places and not (isinstance(event, dict) and event.get("type") == "ping"):
+            out, waiting = let_out(waiting, originals, end) + out, {}
+        for where, key, lane in places:
+            held = waiting.get(lane, ["", ""])[0]
+            shape = json.dumps(event, ensure_ascii=False)
+            where[key], held = _safe(held, where[key], key, originals, False)
+            if held:
+                waiting[lane] = [held, shape]
+            else:
+                waiting.pop(lane, None)
         if isinstance(event, dict) and event.get("type") == "content_block_start":
             line = "data: " + restore_json(body[6:], originals) + end
         elif places:
             line = f"data: {json.dumps(event, ensure_ascii=False)}{end}"
         out += line
-    return out, held, shape
+    return out, waiting
 
 
 def restore_chunk(state: tuple, values: tuple) -> tuple[tuple, str]:
-    """The next state (buffer, held, shape, tokens) and the events that a chunk (seq, payload, final, tokens) completes."""
-    buffer, held, shape, known = state
+    """The next state (buffer, waiting, tokens) and the events that a chunk (seq, payload, final, tokens) completes."""
+    buffer, waiting, known = state
     _, payload, final, tokens = values
     known = {**known, **dict(tokens)} if tokens else known
     events, buffer = framed(buffer, payload or "")
     out = ""
     for raw in events:
-        made, held, shape = restore_event(raw, known, held, shape)
+        made, waiting = restore_event(raw, known, waiting)
         out += made
-    if final and buffer:
-        made, held, shape = restore_event(buffer, known, held, shape)
-        out, buffer = out + made, ""
-    return (buffer, held, shape, known), out
+    if final:
+        if buffer:
+            made, waiting = restore_event(buffer, known, waiting)
+            out, buffer = out + made, ""
+        out, waiting = out + let_out(waiting, known), {}
+    return (buffer, waiting, known), out
 
 
 def restore_frames_stream(chunks: DataFrame) -> DataFrame:
@@ -164,20 +225,20 @@ def restore_frames_stream(chunks: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("seq")
-        now = (*state.get[:3], json.loads(state.get[3])) if state.exists else ("", "", "", {})
+        now = (state.get[0], json.loads(state.get[1]), json.loads(state.get[2])) if state.exists else ("", {}, {})
         out = []
         for values in zip(rows["seq"], rows["payload"], rows["final"], rows["tokens"], strict=True):
             now, text = restore_chunk(now, values)
             out.append((key[0], values[0], text))
-        state.update((*now[:3], json.dumps(now[3])))
+        state.update((now[0], json.dumps(now[1]), json.dumps(now[2])))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "payload"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, payload string", "buffer string, held string, shape string, tokens string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, payload string", "buffer string, waiting string, tokens string", "append", GroupStateTimeout.NoTimeout)
 
 
 def restore_frames_batch(chunks: DataFrame) -> DataFrame:
     """The rows of restore_frames_stream() for a finished table; rows are streamed with the state of one stream held."""
-    return fold(chunks, "stream_id", ("seq",), lambda: ("", "", "", {}), restore_chunk, "payload", pa.string(), ("payload", "final", "tokens"))
+    return fold(chunks, "stream_id", ("seq",), lambda: ("", {}, {}), restore_chunk, "payload", pa.string(), ("payload", "final", "tokens"))
 
 
 def admit(times: list[float], now: float, most: int, seconds: float) -> tuple[bool, list[float]]:
@@ -274,16 +335,11 @@ def cascade_batch(counts: DataFrame) -> DataFrame:
 
 
 def restore_json(text: str, originals: dict[str, str]) -> str:
-    """JSON text with tokens restored in every string, keys aside; text that isn't JSON is restored as it is."""
-
-    def walk(value):
-        if isinstance(value, str):
-            return push("", value, originals, True)[0]
-        if isinstance(value, list):
-            return [walk(v) for v in value]
-        return {k: walk(v) for k, v in value.items()} if isinstance(value, dict) else value
-
+    """JSON text with tokens restored in every string, keys and all other bytes as they are; other text is restored plainly."""
     try:
-        return json.dumps(walk(json.loads(text)), ensure_ascii=False)
+        leaves = json_text.string_leaves(text)
+        read = {n: json_text.value(text, a, b) for n, (_, a, b) in enumerate(leaves) if "[" in text[a:b]}
+        changed = {n: new for n, old in read.items() if (new := push("", old, originals, True)[0]) != old}
+        return json_text.rewrite(text, changed, leaves)
     except ValueError:
         return push("", text, originals, True)[0]
