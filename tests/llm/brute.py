@@ -105,7 +105,7 @@ def edits(pattern, text):
     return min(row)
 
 
-def leaks(docs, items, rate, q, segment, least):
+def leaks(docs, items, rate, segment, stride, least):
     """{id: items} of which a segment occurs within the budget."""
     out = {}
     for d, text in docs:
@@ -117,8 +117,9 @@ def leaks(docs, items, rate, q, segment, least):
                     found.add(item)
                 continue
             size = min(len(whole), segment)
-            for at in {*range(0, len(whole) - size + 1, segment // 2), len(whole) - size}:
-                if edits(whole[at : at + size], body) <= min(int(rate * size), (size - q) // q):
+            for at in {*range(0, len(whole) - size + 1, stride), len(whole) - size}:
+                if edits(whole[at : at + size], body) <= int(rate * size):
                     found.add(item)
+                    break
         out[d] = found
     return out

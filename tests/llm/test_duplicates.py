@@ -174,7 +174,7 @@ def test_decontamination(spark, chars):
     docs, items = leak_fixture()
     table = spark.createDataFrame([(*d, 3) for d in docs], "doc_id long, text string, items int")
     got = decontaminate.find(table, spark.createDataFrame(items, "item_id long, text string"), pass_chars=chars).collect()
-    want = brute.leaks(docs, [i for i in items if i[1]], decontaminate.RATE, decontaminate.Q, decontaminate.SEGMENT, decontaminate.LEAST)
+    want = brute.leaks(docs, [i for i in items if i[1]], decontaminate.RATE, decontaminate.SEGMENT, decontaminate.STRIDE, decontaminate.LEAST)
     assert len(got) == len(docs) and {r.doc_id: set(r["items"]) for r in got} == want and any(want.values())
     assert all(r.contaminated == bool(r["items"]) and r.n_items == len(r["items"]) for r in got)
     if chars == 200:
@@ -182,6 +182,47 @@ def test_decontamination(spark, chars):
         assert not decontaminate.find(table, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count()
 
 
+def test_quotes_of_every_length():
+    """Parts of items, wherever they begin: all are found from QUOTE characters on; the test knows no segments."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 9)))
+    items = [(i, " ".join(word() for _ in range(n))[:m]) for i, (n, m) in enumerate([(60, 101), (60, 195), (90, 398), (200, 700)])]
+    index = decontaminate.Index([(i, t.encode()) for i, t in items])
+    share = {}
+    for size in (60, 80, 90, 99, 100, 101, 110, 150, 180, 210, 250, 390):
+        hits = total = 0
+        for i, t in items:
+            for a in range(0, len(t) - size + 1, 3):
+                quote = t[a : a + size]
+                if quote != quote.strip():
+                    continue  # the edges of a quote are words' characters
+                texts = [f"{word()} {quote} {word()}", quote]
+                raw = np.frombuffer("".join(texts).encode(), np.uint8)
+                found = {(d, item) for d, item, _, _ in index.matches(raw, np.cumsum([0, *map(len, texts)]))}
+                hits += len(found & {(0, i), (1, i)})
+                total += 2
+                assert {item for _, item in found} <= {i}
+        share[size] = hits / max(1, total)
+    assert all(share[s] == 1 for s in share if s >= decontaminate.QUOTE) and share[60] == 0
+
+
+def test_budget_falls_steadily():
+    """An item with as many changed letters as its length allows is found at every length, with more it isn't."""
+    rng = random.Random(13)
+    for m in range(8, 140):
+        item = "".join(rng.choice("abcdefghijklm") for _ in range(m))
+        budget = decontaminate.budget_of(min(m, decontaminate.SEGMENT))
+        for k in (0, budget, 2 * budget + 4):
+            x = list(item)
+            for at in (rng.sample(range(m), min(k, m)) if k <= budget else range(0, m, max(1, m // k))):
+                x[at] = "z"
+            text = f"some words {''.join(x)} and more"
+            found = list(decontaminate.Index([(1, item.encode())]).matches(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))
+            assert bool(found) == (k <= budget), (m, k)
+    budgets = [decontaminate.budget_of(min(m, decontaminate.SEGMENT)) for m in range(8, 140)]
+    assert max(b - a for a, b in zip(budgets, budgets[1:], strict=False)) == 1 and budgets == sorted(budgets)
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5000 + i) for i in range(1, 200)] + [(7, 7)]

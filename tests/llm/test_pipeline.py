@@ -69,7 +69,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         out += piece.decode("utf-8", "ignore")
         if out or not gone:
             cut.append((d, out))
-    leaks = brute.leaks(cut, items, decontaminate.RATE, decontaminate.Q, decontaminate.SEGMENT, decontaminate.LEAST)
+    leaks = brute.leaks(cut, items, decontaminate.RATE, decontaminate.SEGMENT, decontaminate.STRIDE, decontaminate.LEAST)
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = []

@@ -3,14 +3,14 @@
 A passage of m characters that differs from a segment by at most k edits shares at least m + 1 - q - k * q of the
 segment's q-grams with it, and their diagonals (place in the document less place in the segment) differ by at most k.
 So per document: windows with too few q-grams of any segment are passed over; in the others shared q-grams are counted
-by segment in overlapping diagonal bands; bands that reach the bound are verified by banded alignment. Items too short for
-the lemma are looked for word by word, without edits.
+by segment in overlapping diagonal bands; bands that reach the bound are verified by banded alignment. Segments of an item
+start every few characters, so that any quote of QUOTE characters holds a whole one. Items of some words are searched by
+shorter q-grams, and items too short for an edit word by word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from velum.llm.common import WORD_BYTE, blocks, flat, map_batches, mix, prefix_hash, span_hash, stored, utf8
 
 Q, RATE = 12, 0.06
-#: Long items are searched in overlapping segments of so many characters (a part of an item is sure to hold a whole one
-#: from 1.5 times as many on); items of fewer characters than LEAST are found only as they stand.
-SEGMENT, LEAST = 200, 40
+#: Any part of QUOTE characters of a longer item is sure to hold a whole segment: they start every STRIDE characters.
+QUOTE, STRIDE = 100, 12
+SEGMENT = QUOTE - STRIDE + 1
+#: Items below SHORT characters are searched by q-grams of SHORT_Q, as longer ones would leave too few; those below LEAST,
+#: whose budget is no edit at all, word by word.
+SHORT, SHORT_Q, LEAST = 60, 6, 17
 #: Characters of benchmark items that one pass over the documents holds in memory; more take more passes.
 PASS_CHARS = 4_000_000
 _TABLE_BITS = 22
@@ -42,9 +45,9 @@ def normal(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.searchsorted(place, offsets), place
 
 
-def gram_keys(text: np.ndarray) -> np.ndarray:
-    """A 64-bit key of the Q bytes from each place on (Q is 12: eight bytes and the eight that start four later)."""
-    n = len(text) - Q + 1
+def gram_keys(text: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit key of the `q` bytes from each place on (6 to 16: up to eight bytes, and the last eight of more)."""
+    n = len(text) - q + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     padded = np.zeros(-(-len(text) // 8) * 8 + 16, np.uint8)
@@ -53,47 +56,39 @@ def gram_keys(text: np.ndarray) -> np.ndarray:
     for k in range(8):
         eight[k::8] = padded[k : k + len(eight[k::8]) * 8].view(np.uint64)
     with np.errstate(over="ignore"):
-        key = eight[:n] * _A ^ (eight[4 : n + 4] * _B >> np.uint64(7))
+        if q <= 8:
+            key = (eight[:n] & np.uint64((1 << (8 * q)) - 1)) * _A
+        else:
+            key = eight[:n] * _A ^ (eight[q - 8 : n + q - 8] * _B >> np.uint64(7))
         return (key ^ (key >> np.uint64(29))) * _B
 
 
-@dataclass
-class Segment:
-    item: int
-    text: np.ndarray
-    budget: int
-    bound: int
+def budget_of(size: int, rate: float = RATE) -> int:
+    """Edits that a segment of so many characters may have."""
+    return int(rate * size)
 
 
-class Index:
-    """Segments of benchmark items, their q-grams, and the bounds of the lemma."""
+class Grams:
+    """Segments of the items searched with one length of q-grams, their q-grams, and the bounds of the lemma."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
-        self.segments: list[Segment] = []
-        short: list[tuple[int, bytes]] = []
-        for item, text in items:
-            raw = np.frombuffer(text, np.uint8)
-            clean, _, _ = normal(raw, np.array([0, len(raw)]))
-            clean = clean[:-1] if len(clean) and clean[-1] == 32 else clean
-            m = len(clean)
-            if m < LEAST:
-                if m:
-                    short.append((item, clean.tobytes()))
-                continue
-            size = min(m, SEGMENT)
-            for at in sorted({*range(0, m - size + 1, SEGMENT // 2), m - size}):
-                budget = min(int(rate * size), (size - Q) // Q)
-                self.segments.append(Segment(item, clean[at : at + size], budget, size + 1 - Q - budget * Q))
-        # Short items by their number of words: (words, ascending hashes, items by hash).
-        self.short: list[tuple[int, np.ndarray, dict[int, list[tuple[int, bytes]]]]] = []
-        for words in sorted({t.count(b" ") + 1 for _, t in short}):
-            held: dict[int, list[tuple[int, bytes]]] = {}
-            for item, t in short:
-                if t.count(b" ") + 1 == words:
-                    h = span_hash(prefix_hash(np.frombuffer(t, np.uint8)), np.array([0]), np.array([len(t)]))[0]
-                    held.setdefault(int(h), []).append((item, t))
-            self.short.append((words, np.array(sorted(held), np.uint64), held))
-        keys = [gram_keys(s.text) for s in self.segments]
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, rate: float):
+        self.q, self.names = q, [item for item, _ in items]
+        self.text = np.concatenate([t for _, t in items]) if items else np.zeros(0, np.uint8)
+        length = np.array([len(t) for _, t in items], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(length)[:-1]]) if items else length
+        size = np.minimum(length, SEGMENT)
+        # An item has segments at every STRIDE, and one at its end if none is there.
+        self.regular = (length - size) // STRIDE + 1
+        more = ((length - size) % STRIDE > 0).astype(np.int64)
+        self.last = np.where(more > 0, length - size, np.iinfo(np.int64).max)
+        self.first_segment = np.concatenate([[0], np.cumsum(self.regular + more)])
+        self.item = np.repeat(np.arange(len(items)), self.regular + more)
+        number = np.arange(len(self.item)) - self.first_segment[self.item]
+        self.at = np.where(number < self.regular[self.item], number * STRIDE, self.last[self.item])
+        self.size = size
+        self.budget = np.array([min(budget_of(int(n), rate), max(0, (int(n) - q) // q)) for n in size], np.int64)
+        self.bound = size + 1 - q - self.budget * q
+        keys = [gram_keys(t, q) for _, t in items]
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
         flat_keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -102,49 +97,19 @@ class Index:
         self.keys, self.first = np.unique(flat_keys[order], return_index=True)
         self.first = np.append(self.first, len(order))
         # Windows are counted by class of segment length, so that a short segment doesn't lower the bound of long ones.
-        grade = np.array([len(s.text) // 40 for s in self.segments], np.int64)
+        grade = size // 20
         self.table = np.zeros(1 << _TABLE_BITS, np.uint8)
         self.classes: list[tuple[int, int, int]] = []  # (bit, window, least bound)
         for n, g in enumerate(np.unique(grade)):
-            bit = 1 << min(n, 7)
-            mine = [s for s, x in zip(self.segments, grade, strict=True) if x == g]
-            self.classes.append((bit, max(len(s.text) + s.budget for s in mine), min(s.bound for s in mine)))
-            self.table[(flat_keys[grade[owner] == g] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] |= np.uint8(bit)
+            bit, mine = 1 << min(n, 7), grade == g
+            self.classes.append((bit, int((size + self.budget)[mine].max()), int(self.bound[mine].min())))
+            self.table[(flat_keys[mine[owner]] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] |= np.uint8(bit)
 
-    def exact(self, raw: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
-        """(document, item) of every short item that stands, word by word, in a block of lower-cased texts."""
-        found: set[tuple[int, int]] = set()
-        if not self.short:
-            return found
-        text, cuts, _ = normal(raw, offsets)
-        # Every word has one space behind it, but the last of a block may have none.
-        space = text == 32
-        first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]) if len(text) else space)
-        starts = cuts[:-1][cuts[:-1] < len(text)]
-        first = np.unique(np.concatenate([first, starts[~space[starts]]]))
-        last = np.flatnonzero(~space & np.append(space[1:], True))
-        ends = cuts[1:][cuts[1:] > 0] - 1
-        last = np.unique(np.concatenate([last, ends[~space[ends]]])) + 1
-        owner = np.searchsorted(cuts, first, "right") - 1
-        sums = prefix_hash(text)
-        for words, hashes, held in self.short:
-            n = len(first) - words + 1
-            if n < 1:
-                continue
-            inside = np.flatnonzero(owner[:n] == owner[words - 1 :])
-            h = span_hash(sums, first[inside], last[inside + words - 1])
-            for k in np.flatnonzero(np.isin(h, hashes)):
-                i = inside[k]
-                part = text[first[i] : last[i + words - 1]].tobytes()
-                found |= {(int(owner[i]), item) for item, t in held[int(h[k])] if t == part}
-        return found
-
-    def matches(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, segment, edits, start byte) of every verified segment of a block of lower-cased texts."""
+    def matches(self, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, fewest edits, place of a segment with them) of every item with a segment in some texts."""
         none = (np.zeros(0, np.int64),) * 4
-        text, cuts, origin = normal(raw, offsets)
-        key = gram_keys(text)
-        if not len(key) or not self.segments:
+        key = gram_keys(text, self.q)
+        if not len(key) or not self.names:
             return none
         seen = self.table[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
         near = np.zeros(len(key) + 1, np.int32)
@@ -163,49 +128,75 @@ class Index:
         same = self.keys[at] == key[place]
         place, at = place[same], at[same]
         owner = np.searchsorted(cuts, place, "right") - 1
-        inside = place + Q <= cuts[owner + 1]
+        inside = place + self.q <= cuts[owner + 1]
         place, at, owner = place[inside], at[inside], owner[inside]
+        if not len(place):
+            return none
         many = self.first[at + 1] - self.first[at]
-        which = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else at
-        segment = self.owner[which]
-        diagonal = np.repeat(place, many) - self.place[which]
-        owner = np.repeat(owner, many)
-        step = np.array([s.budget + 1 for s in self.segments])[segment]
-        band = np.floor_divide(diagonal, step)
-        # Bands are two steps wide and start at every step, so diagonals of one passage share a band.
-        rows = np.stack([np.tile(owner, 2), np.tile(segment, 2), np.concatenate([band, band - 1])], 1)
-        rows, count = np.unique(rows, axis=0, return_counts=True)
-        bound = np.array([s.bound for s in self.segments])[rows[:, 1]]
-        rows = rows[count >= bound]
-        if not len(rows):
+        which = _spread(self.first[at], many)
+        item, p = self.owner[which], self.place[which]
+        owner, diagonal = np.repeat(owner, many), np.repeat(place, many) - p
+        # Every shared q-gram counts for each segment that holds it, in the two bands that its diagonal lies in: bands are
+        # two steps wide and start at every step, so the diagonals of one passage share a band.
+        low = np.maximum(0, -(-(p - self.size[item] + self.q) // STRIDE))
+        high = np.minimum(self.regular[item] - 1, p // STRIDE)
+        number = np.maximum(0, high - low + 1)
+        ends = np.flatnonzero(p >= self.last[item])
+        hit = np.concatenate([np.repeat(np.arange(len(p)), number), ends])
+        segment = np.concatenate([_spread(self.first_segment[item] + low, number), self.first_segment[item[ends] + 1] - 1])
+        band = np.floor_divide(diagonal, self.budget[item] + 1)[hit]
+        lowest = int(band.min()) - 1
+        wide, segments = int(band.max()) - lowest + 1, len(self.item)
+        row = (owner[hit] * segments + segment) * wide - lowest
+        rows, index, count = np.unique(np.concatenate([row + band, row + band - 1]), return_index=True, return_counts=True)
+        group, band = np.divmod(rows, wide)
+        doc, segment = np.divmod(group, segments)
+        enough = count >= self.bound[self.item[segment]]
+        doc, segment, band, index = doc[enough], segment[enough], band[enough] + lowest, index[enough]
+        if not len(doc):
             return none
-        edits, start = self._aligned(text, cuts, rows)
-        ok = edits <= np.array([s.budget for s in self.segments])[rows[:, 1]]
-        rows, edits, start = rows[ok], edits[ok], start[ok]
-        order = np.lexsort((start, edits, rows[:, 1], rows[:, 0]))
-        rows, edits, start = rows[order], edits[order], start[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
-        start = np.clip(start[new], 0, len(origin) - 1)
-        doc = rows[new, 0]
-        return doc, rows[new, 1], edits[new], origin[start] - offsets[doc]
-
-    def _aligned(self, text: np.ndarray, cuts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least edits, start) of the segment in each row's band of diagonals; bands of one width are done together."""
-        edits, start = np.full(len(rows), 1 << 30), np.zeros(len(rows), np.int64)
-        budgets = np.array([s.budget for s in self.segments])
-        for budget in np.unique(budgets[rows[:, 1]]):
-            all_some = np.flatnonzero(budgets[rows[:, 1]] == budget)
+        start = diagonal[hit[index % len(hit)]] + self.at[segment]  # of one shared q-gram: what stands there as it is needs no alignment
+        edits = np.where(self._equal(text, cuts, doc, segment, start), 0, -1)
+        pair = doc * len(self.names) + self.item[segment]
+        rest = np.flatnonzero((edits < 0) & ~np.isin(pair, pair[edits == 0]))
+        edits[edits < 0] = 1 << 30
+        edits[rest], start[rest] = self._aligned(text, cuts, doc[rest], segment[rest], band[rest])
+        ok = edits <= self.budget[self.item[segment]]
+        pair, edits, start = pair[ok], edits[ok], start[ok]
+        order = np.lexsort((start, edits, pair))
+        pair, edits, start = pair[order], edits[order], start[order]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, bool)
+        doc, item = np.divmod(pair[new], len(self.names))
+        return doc, item, edits[new], start[new]
+
+    def _equal(self, text: np.ndarray, cuts: np.ndarray, doc: np.ndarray, segment: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Where a segment stands at `start` as it is."""
+        size = self.size[self.item[segment]]
+        out = (start >= cuts[doc]) & (start + size <= cuts[doc + 1])
+        here = self.begin[self.item[segment]] + self.at[segment]
+        for a in range(0, len(doc), 4096):
+            some = a + np.flatnonzero(out[a : a + 4096])
+            if len(some):
+                ramp = np.minimum(np.arange(size[some].max()), size[some, None] - 1)
+                out[some] = (text[start[some, None] + ramp] == self.text[here[some, None] + ramp]).all(1)
+        return out
+
+    def _aligned(self, text: np.ndarray, cuts: np.ndarray, doc: np.ndarray, segment: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fewest edits, start) of each segment in its band of diagonals; bands of one width are done together."""
+        edits, start = np.full(len(doc), 1 << 30), np.zeros(len(doc), np.int64)
+        budgets = self.budget[self.item[segment]]
+        for budget in np.unique(budgets):
+            all_some = np.flatnonzero(budgets == budget)
+            step, width = int(budget) + 1, 4 * (int(budget) + 1)
+            ramp = np.arange(width)
             for c in range(0, len(all_some), 256):
                 some = all_some[c : c + 256]
-                step, width = budget + 1, 4 * (budget + 1)
-                low = rows[some, 2] * step - step
-                sizes = np.array([len(self.segments[s].text) for s in rows[some, 1]])
-                pattern = np.zeros((len(some), sizes.max()), np.uint8)
-                for i, s in enumerate(rows[some, 1]):
-                    pattern[i, : sizes[i]] = self.segments[s].text
-                begin, end = cuts[rows[some, 0]], cuts[rows[some, 0] + 1]
-                ramp = np.arange(width)
+                item = self.item[segment[some]]
+                low = band[some] * step - step + self.at[segment[some]]
+                sizes = self.size[item]
+                here = (self.begin[item] + self.at[segment[some]])[:, None] + np.minimum(np.arange(sizes.max()), sizes[:, None] - 1)
+                pattern = self.text[here]
+                begin, end = cuts[doc[some]], cuts[doc[some] + 1]
                 cost = np.zeros((len(some), width), np.int64)
                 best = np.full(len(some), 1 << 30)
                 for i in range(pattern.shape[1]):
@@ -222,13 +213,81 @@ class Index:
         return edits, start
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... count[i] of them, for every i in a row."""
+    before = np.cumsum(count) - count
+    return np.repeat(begin - before, count) + np.arange(int(count.sum()))
+
+
+class Index:
+    """Benchmark items, held by the way in which they are searched."""
+
+    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
+        by_q: dict[int, list[tuple[int, np.ndarray]]] = {Q: [], SHORT_Q: []}
+        short: list[tuple[int, bytes]] = []
+        for item, text in items:
+            raw = np.frombuffer(text, np.uint8)
+            clean, _, _ = normal(raw, np.array([0, len(raw)]))
+            clean = clean[:-1] if len(clean) and clean[-1] == 32 else clean
+            if len(clean) >= LEAST:
+                by_q[Q if len(clean) >= SHORT else SHORT_Q].append((item, clean))
+            elif len(clean):
+                short.append((item, clean.tobytes()))
+        self.grams = [Grams(some, q, rate) for q, some in by_q.items() if some]
+        # Short items by their number of words: (words, ascending hashes, items by hash).
+        self.short: list[tuple[int, np.ndarray, dict[int, list[tuple[int, bytes]]]]] = []
+        for words in sorted({t.count(b" ") + 1 for _, t in short}):
+            held: dict[int, list[tuple[int, bytes]]] = {}
+            for item, t in short:
+                if t.count(b" ") + 1 == words:
+                    h = span_hash(prefix_hash(np.frombuffer(t, np.uint8)), np.array([0]), np.array([len(t)]))[0]
+                    held.setdefault(int(h), []).append((item, t))
+            self.short.append((words, np.array(sorted(held), np.uint64), held))
+
+    def exact(self, text: np.ndarray, cuts: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) of every short item that stands, word by word, in some texts."""
+        found: set[tuple[int, int]] = set()
+        if not self.short:
+            return found
+        # Every word has one space behind it, but the last of a block may have none.
+        space = text == 32
+        first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]) if len(text) else space)
+        starts = cuts[:-1][cuts[:-1] < len(text)]
+        first = np.unique(np.concatenate([first, starts[~space[starts]]]))
+        last = np.flatnonzero(~space & np.append(space[1:], True))
+        ends = cuts[1:][cuts[1:] > 0] - 1
+        last = np.unique(np.concatenate([last, ends[~space[ends]]])) + 1
+        owner = np.searchsorted(cuts, first, "right") - 1
+        sums = prefix_hash(text)
+        for words, hashes, held in self.short:
+            n = len(first) - words + 1
+            if n < 1:
+                continue
+            inside = np.flatnonzero(owner[:n] == owner[words - 1 :])
+            h = span_hash(sums, first[inside], last[inside + words - 1])
+            for k in np.flatnonzero(np.isin(h, hashes)):
+                i = inside[k]
+                part = text[first[i] : last[i + words - 1]].tobytes()
+                found |= {(int(owner[i]), item) for item, t in held[int(h[k])] if t == part}
+        return found
+
+    def matches(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, fewest edits, start byte) of every item found in a block of lower-cased texts."""
+        text, cuts, origin = normal(raw, offsets)
+        for grams in self.grams:
+            for d, i, e, at in zip(*(x.tolist() for x in grams.matches(text, cuts)), strict=True):
+                yield d, grams.names[i], e, int(origin[min(max(at, 0), len(origin) - 1)] - offsets[d])
+        for d, item in sorted(self.exact(text, cuts), key=repr):
+            yield d, item, 0, 0
+
+
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = (), pass_chars: int = PASS_CHARS) -> DataFrame:
     """(id, contaminated, n_items, items array<long>, edits, *carry): one row per row of `docs`.
 
     `benchmark` has item_id and text. items lists the benchmark items of which a segment occurs within the edit budget
     of RATE, ascending; edits is the fewest edits of any (null: none). Case, punctuation and white space don't count.
-    Items of fewer than LEAST characters count where all their words stand in a row; items without words are found
-    nowhere.
+    Any part of an item of QUOTE characters or more is found, wherever it begins, and shorter items as a whole; items of
+    fewer than LEAST characters count where all their words stand in a row, items without words nowhere.
     The benchmark is held by every task in passes of at most `pass_chars` characters, each of which reads the documents
     again, one after the other, and leaves only its hits; the documents are never shuffled while one pass is enough. Null
     texts count as empty, null items are not searched, repeated rows and items don't matter, other columns are dropped
@@ -247,18 +306,14 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str =
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = Index(index.value, rate)
-            names = [s.item for s in held.segments]
             for batch in batches:
                 n = batch.num_rows
                 lists: list[set] = [set() for _ in range(n)]
                 least: list[int | None] = [None] * n
                 for i, raw, offsets in blocks(*flat(batch.column(1))):
-                    for d, s, e, _ in zip(*(x.tolist() for x in held.matches(raw, offsets)), strict=True):
-                        lists[i + d].add(names[s])
-                        least[i + d] = e if least[i + d] is None else min(e, least[i + d])
-                    for d, item in held.exact(raw, offsets):
+                    for d, item, e, _ in held.matches(raw, offsets):
                         lists[i + d].add(item)
-                        least[i + d] = 0
+                        least[i + d] = e if least[i + d] is None else min(e, least[i + d])
                 found = [sorted(x, key=lambda v: (v is None, v)) for x in lists]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([bool(x) for x in found], pa.bool_()), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(least, pa.int64()), *batch.columns[2:]],
