@@ -44,6 +44,19 @@ def test_toxicity_shares_grams_with_misspellings():
     assert score("w001 w002 w003 morons moronx w004") > score("w001 w002 w003 w005 w006 w004")
 
 
+def test_rare_toxic_words_count():
+    """A word in 10 of 2400 documents, all toxic, is predicted, as is a common one; clean texts and words aren't."""
+    rng = np.random.default_rng(5)
+    clean = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(2, 8))) for _ in range(500)]
+    text = lambda *more: " ".join(rng.permutation([*rng.choice(clean, 25), *more]))
+    texts = [(text(), 0) for _ in range(2100)] + [(text("vilewurd"), 1) for _ in range(290)] + [(text("zorkblat"), 1) for _ in range(10)]
+    rows = [(*toxicity.counted(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0], y) for t, y in texts]
+    model = toxicity.fit([rows[i] for i in rng.permutation(len(rows))])
+    score = lambda w: np.mean([toxicity.scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), *model)[0] >= toxicity.THRESHOLD for t in (text(*w) for _ in range(60))])
+    assert score(["vilewurd"]) > 0.95 and score(["zorkblat"]) > 0.8 and score(["vilewurds"]) > 0.8 and score(["vylewurd"]) > 0.5
+    assert score([]) < 0.02 and score([clean[3]]) < 0.02
+
+
 def test_model_operators_on_odd_rows(spark):
     docs = table(spark, SF, "documents")
     rows = [(1, None, "a"), (2, "", "a"), (3, "word " * 60000, "a"), (4, "x", None), (4, "x", None), (None, "y", "b")]

@@ -20,8 +20,8 @@ from velum.llm.samples import bounded, train_side
 BITS, DIM, GRAMS = 18, 12, (3, 4, 5)
 #: Labelled documents that the model is fitted on at most.
 MOST_TRAIN = 6000
-#: Features in fewer training documents than this number and this share of them are left out.
-LEAST_DOCS, LEAST_SHARE = 3, 0.005
+#: Features in fewer training documents than this are left out.
+LEAST_DOCS = 3
 THRESHOLD = 0.3
 _ALL = (1 << 64) - 1
 
@@ -60,11 +60,6 @@ def counted(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
     return [(key[a:b] & ((1 << BITS) - 1), count[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def least_docs(n: int) -> float:
-    """Training documents, of `n`, that a feature must stand in to be used."""
-    return max(LEAST_DOCS, LEAST_SHARE * n)
-
-
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], totals: np.ndarray | None = None, epochs: int = 8, rate: float = 1.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """(value of each bucket, bias): the log-odds of a document are the mean value of its bag plus the bias.
 
@@ -83,7 +78,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], totals: np.ndarray | Non
     spread = np.zeros(1 << BITS, np.int64)
     for i, _, _ in rows:
         spread[i] += 1
-    common = spread >= least_docs(len(rows))
+    common = spread >= LEAST_DOCS
     weight = np.where(common, np.log((1 + len(rows)) / (1 + spread)), 0).astype(np.float32)
     if totals is None:
         totals = np.array([int(c.sum()) for _, c, _ in rows])
@@ -171,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     counts = map_batches(bags.select("buckets"), spread, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     common = np.zeros(1 << BITS, bool)
-    common[[r.bucket for r in counts.where(F.col("n") >= least_docs(bags.count())).select("bucket").collect()]] = True  # at most 2 ** BITS
+    common[[r.bucket for r in counts.where(F.col("n") >= LEAST_DOCS).select("bucket").collect()]] = True  # at most 2 ** BITS
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
