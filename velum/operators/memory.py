@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from velum.io import cut
+from velum.operators.neighbours import build, pairs_within, search
 from velum.operators.retrieval import knn
+from velum.operators.rounds import heads
 
 DECAY_FLAG, MERGE_COSINE = 0.15, 0.88
 STORE_CHARS, CHUNK_CHARS = 20, 1500
@@ -120,6 +122,59 @@ def promote(facts: DataFrame, nodes: DataFrame, least: float = MERGE_COSINE) ->
     return out.select("fact_id", F.when(hit, F.col("node_id")).alias("node_id"), "cosine", F.when(hit, "reinforce").otherwise("insert").alias("action"))
 
 
+def promote_in_order(facts: DataFrame, nodes: DataFrame, least: float = MERGE_COSINE, lists: int | None = None) -> DataFrame:
+    """(fact_id, node_id, as_fact, cosine, action): promote() one fact after the other, in the order of fact_id.
+
+    A fact sees the nodes and what earlier facts of its profile have become: it reinforces the most similar of them at
+    `least` or more (a node with the least node_id, else a fact's node with the least fact_id, where cosines are equal),
+    or is inserted. `node_id` is a node, `as_fact` the fact whose new node is meant (an inserted fact's own id).
+    `facts` has fact_id, profile, vector, `nodes` node_id, profile, vector (integer ids that don't repeat).
+
+    Nothing is done fact by fact: which facts are inserted is a first choice along their order over links between facts
+    without a node (rounds.heads()), and links come from inverted lists. Equal vectors are linked once.
+    """
+    rows = cut(facts.select(F.col("fact_id").cast("long").alias("fact_id"), "profile", F.col("vector").cast("array<double>").alias("vector")))
+    held = rows.where(F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0))  # others are like nothing
+    near = search(held.select(F.col("fact_id").alias("query_id"), "vector", "profile"), build(nodes.select(F.col("node_id").alias("id"), "vector", "profile"), lists, "profile"), 1, exact=True, by="profile")
+    near = cut(near.select(F.col("query_id").alias("fact_id"), F.col("id").alias("node_id"), (1 - F.col("distance")).alias("cosine")).where(F.col("cosine") >= least))
+    once = cut(held.groupBy("profile", "vector").agg(F.min("fact_id").alias("id")))
+    links = cut(pairs_within(once.select("id", "vector", "profile"), least, "profile", lists))
+    bare = once.select("id").join(near.select(F.col("fact_id").alias("id")), "id", "left_anti")
+    free = links.join(bare.select(F.col("id").alias("a")), "a", "left_semi").join(bare.select(F.col("id").alias("b")), "b", "left_semi")
+    chosen = heads(free)
+    inserted = cut(bare.join(chosen, "id", "left").where(F.coalesce("head", F.lit(True))).select("id"))
+    # What a fact may reinforce: earlier inserted facts linked to it, or equal to it, and its best node.
+    both = links.select("a", "b", "cosine").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    to_new = both.join(inserted.select(F.col("id").alias("a")), "a", "left_semi").unionAll(inserted.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0)))
+    copies = held.join(once.withColumnRenamed("id", "rep"), ["profile", "vector"]).select("fact_id", F.col("rep").alias("b"))
+    options = copies.join(to_new, "b").where(F.col("a") < F.col("fact_id")).select("fact_id", F.lit(None).cast("long").alias("node_id"), F.col("a").alias("as_fact"), "cosine")
+    options = options.unionAll(near.select("fact_id", "node_id", F.lit(None).cast("long").alias("as_fact"), "cosine"))
+    best = options.groupBy("fact_id").agg(F.min(F.struct((-F.round("cosine", 12)).alias("c"), F.col("node_id").isNull().alias("new"), "node_id", "as_fact", "cosine")).alias("x")).select("fact_id", "x.node_id", "x.as_fact", "x.cosine")
+    out = rows.select("fact_id").join(best, "fact_id", "left")
+    hit = F.col("cosine").isNotNull()
+    return out.select("fact_id", "node_id", F.when(hit, F.col("as_fact")).otherwise(F.col("fact_id")).alias("as_fact"), "cosine", F.when(hit, "reinforce").otherwise("insert").alias("action"))
+
+
+def promoted(facts: DataFrame, nodes: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """`nodes` (node_id, profile, content, confidence, access_count, last_accessed_at) after promote_in_order().
+
+    Reinforced nodes are counted and touched once a fact; inserted facts (fact_id, profile, content, confidence) follow with
+    the confidence held within 0.1 to 1, numbered behind the largest node_id by how far their fact_id is from the smallest.
+    """
+    touched = decisions.where("action = 'reinforce'")
+    by_node = touched.where("node_id IS NOT NULL").groupBy("node_id").agg(F.count("*").alias("_n"))
+    by_fact = touched.where("node_id IS NULL").groupBy(F.col("as_fact").alias("fact_id")).agg(F.count("*").alias("_n"))
+    moved = F.when(F.col("_n").isNotNull(), now)
+    count = F.col("access_count") + F.coalesce("_n", F.lit(0))
+    old = nodes.join(by_node, "node_id", "left").select("node_id", "profile", "content", "confidence", count.cast("long").alias("access_count"), F.coalesce(moved, "last_accessed_at").alias("last_accessed_at"))
+    new = facts.join(decisions.where("action = 'insert'").select("fact_id"), "fact_id").join(by_fact, "fact_id", "left")
+    held = F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("confidence")))
+    top = nodes.agg(F.coalesce(F.max("node_id"), F.lit(-1)).cast("long").alias("_top")).crossJoin(facts.agg(F.min("fact_id").alias("_low")))
+    behind = new.crossJoin(F.broadcast(top))  # one row
+    number = F.col("_top") + 1 + F.col("fact_id") - F.col("_low")
+    return old.unionAll(behind.select(number.cast("long").alias("node_id"), "profile", "content", held.alias("confidence"), F.coalesce("_n", F.lit(0)).cast("long").alias("access_count"), moved.alias("last_accessed_at")))
+
+
 def noisy(text: Column) -> Column:
     """True for code, logs, terminal output and JSON."""
     return (
@@ -184,18 +239,13 @@ def similar_pairs(facts: DataFrame, least: float, words: Callable[[Column], Colu
 def clusters(facts: DataFrame, least: float = 0.25) -> DataFrame:
     """(id, seed): greedy stars in the order of id. A fact not yet taken becomes a seed and takes its later neighbours.
 
-    Pairs come from similar_pairs(). Greedy stars are settled in rounds of joins: a fact all of whose earlier
-    neighbours are settled is a seed unless one of them is a seed, in which case it goes to the first such seed.
+    Pairs come from similar_pairs(); which facts are seeds is settled in blocks of links (rounds.heads()), and each other
+    fact goes to the first seed linked to it.
     """
     links = cut(similar_pairs(facts, least).select("a", "b"))
-    state = facts.select("id", F.lit(None).cast("long").alias("seed"), F.lit(False).alias("done"))
-    while True:
-        known = links.join(state.select(F.col("id").alias("a"), "seed", "done"), "a").groupBy("b").agg(F.min("done").alias("ready"), F.min(F.when(F.col("seed") == F.col("a"), F.col("a"))).alias("first"))
-        joined = state.join(known, F.col("id") == F.col("b"), "left")
-        ready = F.coalesce("ready", F.lit(True)) & ~F.col("done")
-        state = cut(joined.select("id", F.when(ready, F.coalesce("first", "id")).otherwise(F.col("seed")).alias("seed"), (F.col("done") | ready).alias("done")))
-        if state.where("NOT done").isEmpty():
-            return state.select("id", "seed")
+    seeds = heads(links).where("head").select(F.col("id").alias("a"))
+    first = links.join(seeds, "a").groupBy("b").agg(F.min("a").alias("seed"))
+    return facts.select("id").join(first, F.col("id") == F.col("b"), "left").select("id", F.coalesce("seed", "id").alias("seed"))
 
 
 def not_covered(candidates: DataFrame, existing: DataFrame, most: float = 0.7) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velum.functions import vectors
 from velum.io import spread, table
-from velum.operators import bodies, conversation, detect, masking, memory, retrieval
+from velum.operators import bodies, conversation, detect, masking, memory, neighbours, retrieval
 from velum.plans import text_queries
 from velum.streaming import bus, restore, windows
 
@@ -404,6 +404,39 @@ def restored_tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("stream_id").agg(of("0").alias("first"), of("1").alias("second"))
 
 
+@_query(text_queries.SQL["knn_cosine"])
+def knn_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours through inverted lists, with the lists read that exactness asks for."""
+    e = table(spark, sf_dir, "embeddings")
+    index = neighbours.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    found = neighbours.search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), index, 5, 4, exact=True)
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+_IN_ORDER = """
+    WITH RECURSIVE f AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings WHERE vec_id % 5 = 0),
+    p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM f x JOIN f y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3),
+    m AS (SELECT f.vec_id AS id, n.vec_id AS node, list_cosine_similarity(f.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS c FROM f JOIN embeddings n ON f.label = n.label AND n.vec_id % 5 <> 0),
+    n AS (SELECT id, node, c FROM m WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, node) = 1),
+    l AS MATERIALIZED (SELECT f.i, f.vec_id AS id, any_value(n.node) AS node, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS earlier FROM f LEFT JOIN n ON n.id = f.vec_id LEFT JOIN p ON p.b = f.vec_id GROUP BY 1, 2),
+    s(i, made) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+        SELECT l.i, CASE WHEN node IS NULL AND len(list_intersect(made, earlier)) = 0 THEN list_append(made, id) ELSE made END FROM s JOIN l ON l.i = s.i + 1),
+    made AS (SELECT unnest(made) AS id FROM s WHERE i = (SELECT max(i) FROM s)),
+    o AS (SELECT id, node, NULL::BIGINT AS as_fact, c, 0 AS new FROM n UNION ALL SELECT b, NULL, a, c, 1 FROM p WHERE a IN (SELECT id FROM made)),
+    best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, new, coalesce(node, as_fact)) = 1)
+    SELECT f.vec_id AS fact_id, node AS node_id, CASE WHEN c IS NULL THEN f.vec_id ELSE as_fact END AS as_fact, round(c, 6) AS cosine, CASE WHEN c IS NULL THEN 'insert' ELSE 'reinforce' END AS action
+    FROM f LEFT JOIN best ON best.id = f.vec_id"""
+
+
+@_query(_IN_ORDER)
+def promoted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts promoted one after the other: what earlier facts have become counts for later ones."""
+    e = table(spark, sf_dir, "embeddings")
+    of = lambda rows, name: rows.select(F.col("vec_id").alias(name), F.col("label").alias("profile"), F.col("embedding").alias("vector"))
+    out = memory.promote_in_order(of(e.where("vec_id % 5 = 0"), "fact_id"), of(e.where("vec_id % 5 != 0"), "node_id"), 0.3)
+    return out.select("fact_id", "node_id", "as_fact", F.round("cosine", 6).alias("cosine"), "action")
+
+
 # --- the bus and event time --------------------------------------------------------------------------------------------
 
 
