@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from velum.functions import vectors
 from velum.io import spread, table
-from velum.operators import bodies, conversation, detect, masking, memory, neighbours, retrieval
+from velum.operators import bodies, conversation, detect, fulltext, masking, memory, neighbours, retrieval
 from velum.plans import text_queries
 from velum.streaming import bus, restore, windows
 
@@ -404,6 +404,39 @@ def restored_tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("stream_id").agg(of("0").alias("first"), of("1").alias("second"))
 
 
+#: Queries, and of each stem in them the words that have it.
+_STEMMED = [(1, "the licensing of works"), (2, "GNU licenses"), (3, "generally public, a licensed version"), (4, "license"), (5, "of the"), (6, "licensed under version 3")]
+_FORMS = {"licens": "license licenses licensed licensing", "work": "work works worked working", "gnu": "gnu", "general": "general generals generally generalize generalized", "public": "public publics", "version": "version versions", "3": "3"}
+_STEMS = {1: ["licens", "work"], 2: ["gnu", "licens"], 3: ["general", "licens", "public", "version"], 4: ["licens"], 6: ["3", "licens", "version"]}
+
+
+def _stemmed_sql() -> str:
+    forms = ", ".join(f"('{k}', '{word}')" for k, v in _FORMS.items() for word in v.split())
+    asked = ", ".join(f"({q}::BIGINT, {t}, '{x}', {len(words)})" for q, words in _STEMS.items() for t, x in enumerate(words))
+    last = ", ".join(f"max(CASE WHEN t = {k} THEN i END) OVER w AS l{k}" for k in range(4))
+    return f"""
+    WITH forms(lexeme, word) AS (VALUES {forms}), q(query_id, t, lexeme, need) AS (VALUES {asked}),
+    d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+    words AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d),
+    e AS (SELECT query_id, id, place, t, need, row_number() OVER (PARTITION BY query_id, id ORDER BY place) AS i FROM words JOIN forms USING (word) JOIN q USING (lexeme)),
+    l AS (SELECT *, {last} FROM e WINDOW w AS (PARTITION BY query_id, id ORDER BY i)),
+    b AS (SELECT *, CASE need WHEN 1 THEN l0 WHEN 2 THEN CASE WHEN l0 > 0 AND l1 > 0 THEN least(l0, l1) END WHEN 3 THEN CASE WHEN l0 > 0 AND l1 > 0 AND l2 > 0 THEN least(l0, l1, l2) END
+        ELSE CASE WHEN l0 > 0 AND l1 > 0 AND l2 > 0 AND l3 > 0 THEN least(l0, l1, l2, l3) END END AS b FROM l),
+    c AS (SELECT query_id, id, b, min(i) AS i FROM b WHERE b IS NOT NULL GROUP BY 1, 2, 3),
+    s AS (SELECT c.query_id, c.id, sum(0.1::DOUBLE / (1 + (y.place - x.place) - (c.i - c.b))) AS score
+        FROM c JOIN e x ON x.query_id = c.query_id AND x.id = c.id AND x.i = c.b JOIN e y ON y.query_id = c.query_id AND y.id = c.id AND y.i = c.i GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM s)
+    SELECT query_id, id, round(score, 6) AS score, rank FROM o WHERE rank <= 10"""
+
+
+@_query(_stemmed_sql())
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all stems of a query, stop words aside, by cover density."""
+    asked = spark.createDataFrame(_STEMMED, "query_id long, query string")
+    out = fulltext.search(asked, _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 10)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @_query(text_queries.SQL["knn_cosine"])
 def knn_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours through inverted lists, with the lists read that exactness asks for."""
