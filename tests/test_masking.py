@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from velum.functions import json_text
-from velum.operators import bodies, detect, lexicon, masking
+from velum.functions import json_text, text_sql
+from velum.operators import bodies, detect, lexicon, masking, memory
 
 # Synthetic golden cases: text and the entities (text, kind) of the class and CamelCase passes.
 GOLDEN = [
@@ -279,3 +279,23 @@ def test_control_characters_outside_code(spark):
     text = "a\x01b `Ann` Ann\x02 c"
     got = spark.createDataFrame([(text,), (None,)], "t string").select(detect.outside_code(F.col("t"), lambda p: F.upper(p)).alias("x")).collect()
     assert [r.x for r in got] == ["A\x01B `Ann` ANN\x02 C", ""]
+
+
+def test_sql_functions(spark):
+    """Spans and chunks of the table functions equal the columns; masks made in SQL restore."""
+    assert text_sql.register(spark) == ["text_chunks", "text_spans", "mask_text", "restore_text", "token_map_of"]
+    texts = [*fuzz(150), None, "", "x\n\n" * 10 + "a paragraph that is long enough. " * 60 + "\n \n" + "another long paragraph", "word " * 500]
+    table = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    table.createOrReplaceTempView("_texts")
+    got = {}
+    for r in spark.sql("SELECT i, s.start, s.text, s.kind FROM _texts t, LATERAL text_spans(t.text) s").collect():
+        got.setdefault(r.i, []).append((r.start, r.text, r.kind))
+    want = {r.i: [(e.start, e.text, e.kind) for e in r.entities] for r in detect.entities(table).collect()}
+    assert got == {i: e for i, e in want.items() if e}
+    parts = {}
+    for r in spark.sql("SELECT i, c.idx, c.chunk FROM _texts t, LATERAL text_chunks(t.text) c").collect():
+        parts.setdefault(r.i, {})[r.idx] = r.chunk
+    for r in table.where("text IS NOT NULL").select("i", memory.chunks(F.col("text")).alias("c")).collect():
+        assert [parts[r.i][k] for k in sorted(parts[r.i])] == list(r.c)
+    row = spark.sql(r"SELECT mask_text('Ann and ANN x@y.io', token_map_of(array(struct('Ann' AS text, 'PERSON' AS kind), struct('x@y.io' AS text, 'EMAIL' AS kind), struct('Bo' AS text, 'PERSON' AS kind)))) AS m, restore_text('[PERSON_2] [PERSON_1] [X_1]', map('a[X_1', '[X_1]', 'Bo', '[PERSON_2]')) AS r").first()
+    assert (row.m, row.r) == ("[PERSON_1] and [PERSON_1] [EMAIL_1]", "Bo [PERSON_1] [X_1]")

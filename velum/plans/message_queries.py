@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velum.functions import vectors
-from velum.io import spread, table
+from velum.functions import text_sql, vectors
+from velum.io import checkpoint_dir, spread, table
 from velum.operators import bodies, conversation, detect, fulltext, masking, memory, neighbours, retrieval
 from velum.plans import text_queries
+from velum.sources import formats
 from velum.streaming import bus, restore, windows
 
 QUERIES, SQL = [], {}
@@ -470,6 +473,52 @@ def promoted_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("fact_id", "node_id", "as_fact", F.round("cosine", 6).alias("cosine"), "action")
 
 
+@_query(rf"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '{text_queries._RE_EMAIL}') AS l FROM documents)
+    SELECT d.doc_id, len(list_distinct(list_transform(l, lambda x: lower(x))))::BIGINT AS n_mails, 0 AS n_left, sha256(text) AS restored,
+        CASE WHEN length(text) <= 1500 THEN 1 ELSE greatest(1, len(list_filter(string_split_regex(text, '\n\s*\n'), lambda x: length(trim(x)) >= 20))) END::BIGINT AS n_chunks
+    FROM documents d JOIN e USING (doc_id)""")
+def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection, token maps, masks, restoring and chunks in SQL text alone."""
+    text_sql.register(spark)
+    _docs(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("_velum_documents")
+    return spark.sql(rf"""
+        WITH found AS (SELECT doc_id, array_sort(collect_list(struct(start, s.text AS text, kind))) AS e FROM _velum_documents d, LATERAL text_spans(d.text) s WHERE kind = 'EMAIL' GROUP BY doc_id),
+        maps AS (SELECT doc_id, size(e) AS n, token_map_of(transform(e, x -> struct(x.text, x.kind))) AS m FROM found),
+        masked AS (SELECT d.doc_id, text, n, m, CASE WHEN m IS NULL THEN text ELSE mask_text(text, m) END AS masked FROM _velum_documents d LEFT JOIN maps USING (doc_id)),
+        parts AS (SELECT doc_id, count(*) AS n_chunks FROM _velum_documents d, LATERAL text_chunks(d.text) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0L) AS n_mails, regexp_count(masked, r'{detect.EMAIL}') AS n_left, sha2(CASE WHEN m IS NULL THEN masked ELSE restore_text(masked, m) END, 256) AS restored, n_chunks
+        FROM masked JOIN parts USING (doc_id)""")
+
+
+# --- backups -----------------------------------------------------------------------------------------------------------
+
+_RELATIONS = {"nation": [("regionkey", "region")], "customer": [("nationkey", "nation")], "orders": [("custkey", "customer")]}
+
+
+@_query("""WITH r AS (SELECT r_regionkey AS id FROM region WHERE r_regionkey <> 2),
+    n AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey IN (SELECT id FROM r)),
+    c AS (SELECT c_custkey AS id, c_custkey % 7 = 0 AS mine FROM customer WHERE c_custkey % 7 = 0 OR c_nationkey IN (SELECT id FROM n)),
+    o AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT id FROM c))
+    SELECT 'region' AS name, count(*) AS n, sum(id)::BIGINT AS ids, 0 AS mine FROM r UNION ALL SELECT 'nation', count(*), sum(id)::BIGINT, 0 FROM n
+    UNION ALL SELECT 'customer', count(*), sum(id)::BIGINT, count(*) FILTER (mine) FROM c UNION ALL SELECT 'orders', count(*), sum(id)::BIGINT, 0 FROM o""")
+def restored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backup of four tables that refer to each other, restored over a store with rows of its own; orphans are left out."""
+    t = lambda name, key, *rest: table(spark, sf_dir, name).select(F.col(key).alias("id"), *(F.col(c).alias(c.split("_")[1]) for c in rest))
+    tables = {
+        "region": t("region", "r_regionkey", "r_name").where("id != 2"), "nation": t("nation", "n_nationkey", "n_regionkey", "n_name"),
+        "customer": t("customer", "c_custkey", "c_nationkey", "c_name"), "orders": t("orders", "o_orderkey", "o_custkey", "o_orderdate").withColumnRenamed("orderdate", "created_at"),
+    }
+    path = f"{checkpoint_dir(spark).rstrip('/')}/velum-backup-{uuid.uuid4().hex}"
+    formats.backup(tables, path)
+    held = {name: df.limit(0) for name, df in tables.items()} | {"customer": tables["customer"].where("id % 7 = 0").withColumn("name", F.lit("mine"))}
+    out, both = formats.restored(spark, path, held, True, _RELATIONS), None
+    for name, df in out.items():
+        mine = F.count(F.when(F.col("name") == "mine", 1)) if name == "customer" else F.lit(0).cast("long")
+        row = df.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), mine.alias("mine")).select(F.lit(name).alias("name"), "n", "ids", "mine")
+        both = row if both is None else both.unionAll(row)
+    return both
+
+
 # --- the bus and event time --------------------------------------------------------------------------------------------
 
 

@@ -41,23 +41,47 @@ def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(work, "path string, index long, vector array<double>")
 
 
-def backup(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as JSON lines below `path`, refusing folders that exist."""
+#: Relations between tables: table -> [(column, table whose id it holds)].
+Relations = dict[str, list[tuple[str, str]]]
+
+
+def dependency_order(tables: list[str], relations: Relations) -> list[str]:
+    """`tables` so that each comes behind those it refers to (itself aside), else by name; a loop is an error."""
+    left, out = sorted(tables), []
+    while left:
+        free = [t for t in left if all(p == t or p not in left for _, p in relations.get(t, []))]
+        if not free:
+            raise ValueError(f"tables refer to each other: {', '.join(left)}")
+        out += free
+        left = [t for t in left if t not in free]
+    return out
+
+
+def backup(tables: dict[str, DataFrame], path: str, created: str = "created_at") -> None:
+    """Each table as JSON lines below `path`, in the order of `created` where a table has it; refuses folders that exist."""
     for name, df in tables.items():
-        df.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        rows = df.orderBy(created, *(["id"] if "id" in df.columns else [])) if created in df.columns else df
+        rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{path}/{name}")
 
 
-def restored(spark: SparkSession, path: str, current: dict[str, DataFrame], force: bool = False) -> dict[str, DataFrame]:
-    """Tables of a backup joined to the current ones: rows whose id is there already are ignored.
+def restored(spark: SparkSession, path: str, current: dict[str, DataFrame], force: bool = False, relations: Relations | None = None) -> dict[str, DataFrame]:
+    """Tables of a backup joined to the current ones, in dependency order: rows whose id is there already are ignored.
 
-    Tables that aren't empty raise an error unless `force` is set. Schemas are those of the current tables.
+    With `relations` so are rows that refer to a row which is neither there nor restored; references that are null, and
+    those of a table to itself, are not looked at. Tables that aren't empty raise an error unless `force` is set.
+    Schemas are those of the current tables.
     """
-    out = {}
-    for name, df in current.items():
+    relations, out = relations or {}, {}
+    for name in dependency_order(list(current), relations):
+        df = current[name]
         if not force and not df.isEmpty():
             raise ValueError(f"{name} isn't empty")
-        saved = spark.read.schema(df.schema).json(f"{path}/{name}")
-        out[name] = df.unionByName(saved.join(df.select("id"), "id", "left_anti"))
+        saved = spark.read.schema(df.schema).json(f"{path}/{name}").join(df.select("id"), "id", "left_anti")
+        for column, parent in relations.get(name, []):
+            if parent != name and parent in out:
+                there = out[parent].select(F.col("id").alias(column)).distinct().withColumn("_there", F.lit(True))
+                saved = saved.join(there, column, "left").where(F.col(column).isNull() | F.col("_there")).drop("_there")
+        out[name] = df.unionByName(saved)
     return out
 
 
