@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from velum.llm import common, decontaminate, jaccard, lattice, suffix_dedup
@@ -233,6 +234,67 @@ def test_components(spark):
     assert got == {x: union.find(x) for p in pairs for x in p if p[0] != p[1] or x in got}
 
 
+def anisotropic(n, dims=64, seed=3):
+    """Vectors of length 1 that share a mean direction, twice as long as what tells them apart."""
+    rng = np.random.default_rng(seed)
+    mean = rng.normal(size=dims)
+    x = rng.normal(size=(n, dims)) / np.sqrt(dims) + 2 * mean / np.linalg.norm(mean)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_lattice_depth_follows_crowded_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(3000, 64))
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    x = anisotropic(3000)
+    assert lattice.crowding(plain) < 1.5 and 20 < lattice.crowding(x) < 60
+    largest = [max(np.unique(lattice.cells(x, np.zeros(3000, np.uint64), depth, 1, 0)[:, 0, 0], return_counts=True)[1]) / 3000 for depth in (1, 3)]
+    assert largest[1] < 0.03 < 0.1 < largest[0]
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x[:1200])] + [(5000 + i, [float(a) for a in v], 1) for i, v in enumerate(plain[:1500])]
+    table = spark.createDataFrame([*rows, *((9000 + i, rows[0][1], 0) for i in range(300))], "vec_id long, embedding array<double>, label int")
+    live = table.select("vec_id", F.col("embedding").alias("v"), F.xxhash64("label").alias("g"))
+    assert 20 * 1200 < lattice.crowded_rows(live) < 60 * 1300 and lattice.crowded_rows(live.where("vec_id between 5000 and 8999")) < 1.5 * 1500
+    assert lattice.crowded_rows(live.limit(0)) == 0
+    # The deeper cells find the same links.
+    used = []
+    whole = lattice.settings
+    monkeypatch.setattr(lattice, "SETTINGS", ((1 << 12, 1, 10, 1), (1 << 18, 2, 22, 2), (None, 3, 48, 3)))
+    monkeypatch.setattr(lattice, "settings", lambda n: used.append(whole(n)) or used[-1])
+    near = x[:200] + 0.02 * np.random.default_rng(6).normal(size=(200, 64)) / 8
+    more = spark.createDataFrame([(20_000 + i, [float(a) for a in v], 0) for i, v in enumerate(near)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in lattice.join(table.unionAll(more)).collect()}
+    held = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in table.unionAll(more).where("label = 0").collect()}
+    ids, m = list(held), np.stack(list(held.values()))
+    want = dict(zip(ids, (m @ m.T >= lattice.COSINE).sum(1) - 1, strict=True))
+    assert used == [[2, 22, 2]] and sum(want.values()) > 400
+    assert all(got[i] <= want[i] for i in ids) and sum(got[i] for i in ids) >= 0.995 * sum(want.values())
+
+
+def test_planted_links_through_the_query(spark, tmp_path):
+    """Links at and beyond the threshold, chains, copies and odd rows in a table that the query reads; SQL agrees."""
+    import duckdb
+
+    from velum.llm import queries
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 64))
+    rows = [(i, v / np.linalg.norm(v), int(i % 3)) for i, v in enumerate(x)]
+    for i in range(60):
+        z = rng.normal(size=64)
+        for k, cosine in enumerate((0.9305, 0.96, 0.999, 0.925)):
+            a = rows[i][1]
+            side = z - (z @ a) * a
+            rows.append((1000 + 10 * i + k, cosine * a + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side), i % 3 if k < 3 or i % 2 else (i + 1) % 3))
+    rows += [(5000, rows[7][1], rows[7][2]), (5001, np.zeros(64), 0), (5002, rows[8][1], None)]
+    table = spark.createDataFrame([(int(i), [float(a) for a in v], l) for i, v, l in rows], "vec_id long, embedding array<float>, label int")
+    table.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, queries.queries()["op2_embedding_dedup"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(c.sql(queries.oracle_sql()["op2_embedding_dedup"]).fetchall())
+    assert got == want and sum(r[1] for r in want) > 300 and not all(r[3] for r in want)
+
+
 def test_lattice_screen_keeps_all_near_pairs():
     """Of pairs at the threshold no sketch is screened out, of unrelated ones nearly all are."""
     rng = np.random.default_rng(5)
