@@ -35,9 +35,10 @@ def deliveries(rows: DataFrame, most: int = HELD) -> DataFrame:
     keys = ["subscriber", "kind"]
     sliced = rows.withColumn("slice", F.floor(F.col("seq") / SLICE))
     first = sliced.groupBy(*keys, "slice").agg(F.min(F.when(F.col("poll"), F.col("seq"))).alias("f"))
-    behind = Window.partitionBy(*keys).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    # Both look ahead along a falling order, as frames that grow cost one step a row.
+    behind = Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     later = first.select(*keys, "slice", F.min("f").over(behind).alias("later"))
-    ahead = Window.partitionBy(*keys, "slice").orderBy("seq", "poll").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys, "slice").orderBy(F.desc("seq"), F.desc("poll")).rowsBetween(Window.unboundedPreceding, 0)
     near = sliced.withColumn("next", F.min(F.when(F.col("poll"), F.col("seq"))).over(ahead))
     sent = near.where("NOT poll").join(later, [*keys, "slice"]).select(*keys, "seq", F.coalesce("next", "later").alias("at")).where("at IS NOT NULL")
     counted = sent.groupBy(*keys, "at").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
