@@ -56,6 +56,14 @@ def test_tags_edges_digest_and_plans(spark):
     assert spark.range(1).select(memory.unfenced(F.lit('```json\n{"a":1}\n```'))).first()[0] == '{"a":1}'
 
 
+def test_review_by_a_classifier(spark):
+    plans = spark.createDataFrame([(1, "plans to move", 0.4), (2, "plans to stay", 0.4), (3, None, 0.4)], "id long, content string, confidence double")
+    said = memory.review_answers(plans, lambda t: '{"status": "completed", "rewrite": "moved"}' if "move" in t else '{"status": "abandoned"}' if t else "?")
+    decisions = memory.review_decisions(said)
+    assert {r.id: r.status for r in decisions.collect()} == {1: "completed", 2: "abandoned", 3: "error"}
+    assert sorted(map(tuple, memory.reviewed(plans, decisions).collect())) == [(1, "moved", 0.9, "completed"), (3, None, 0.4, "error")]
+
+
 def test_extractor_is_pluggable(spark):
     texts = spark.createDataFrame([(1, "a. b."), (2, None)], "id long, content string")
     assert {(r.id, r.fact) for r in memory.extract(texts, lambda t: [x.strip() for x in t.split(".") if x.strip()]).collect()} == {(1, "a"), (1, "b")}

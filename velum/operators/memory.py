@@ -213,6 +213,34 @@ def future_plans(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return facts.where(plan & ~kept)
 
 
+def review_answers(plans: DataFrame, classify: Callable[[str], str]) -> DataFrame:
+    """(id, answer): what `classify` says of each plan (id, content), as JSON with status, reason and rewrite, fenced or not."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "answer": [classify(t or "") for t in frame["content"]]}).astype({"answer": "object"})
+
+    return plans.select(F.col("id").cast("long").alias("id"), "content").mapInPandas(work, "id long, answer string")
+
+
+def review_decisions(answers: DataFrame) -> DataFrame:
+    """(id, status, reason, rewrite) of answers (id, answer): keep, completed, abandoned or stale; anything else is error."""
+    read = answers.select("id", F.from_json(unfenced(F.col("answer")), "status string, reason string, rewrite string").alias("a"))
+    known = F.col("a.status").isin("keep", "completed", "abandoned", "stale")
+    return read.select("id", F.when(known, F.col("a.status")).otherwise("error").alias("status"), "a.reason", "a.rewrite")
+
+
+def reviewed(facts: DataFrame, decisions: DataFrame, confidence: float = 0.9) -> DataFrame:
+    """`facts` (id, content, confidence, ...) after a review (id, status, rewrite; one row an id), with `status` (null: not reviewed).
+
+    Completed plans with a rewrite get its wording and `confidence`, abandoned ones go, all others stay as they are.
+    """
+    joined = facts.join(decisions.select("id", "status", F.col("rewrite").alias("_rewrite")), "id", "left").where(~F.col("status").eqNullSafe("abandoned"))
+    done = (F.col("status") == "completed") & (F.coalesce("_rewrite", F.lit("")) != "")
+    changed = joined.withColumn("confidence", F.when(done, confidence).otherwise(F.col("confidence"))).withColumn("content", F.when(done, F.col("_rewrite")).otherwise(F.col("content")))
+    return changed.select(*facts.columns, "status")
+
+
 def fact_words(text: Column) -> Column:
     """Distinct words of three letters or more without stop words."""
     return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), 1)), lambda w: (F.char_length(w) > 2) & ~w.isin(*STOP_WORDS))

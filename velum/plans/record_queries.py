@@ -88,6 +88,23 @@ def stale_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.future_plans(_events(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat(start, "event_type").alias("content")), ("always",)).select("id")
 
 
+@_query(f"""WITH p AS (SELECT id, content, id % 5 IN (0, 1, 2) AND NOT contains(content, 'always') AS plan FROM ({_PLANS})),
+    d AS (SELECT *, CASE WHEN plan THEN CASE id % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'abandoned' WHEN 2 THEN 'stale' WHEN 3 THEN 'error' WHEN 4 THEN 'completed' ELSE 'keep' END END AS status FROM p)
+    SELECT id, CASE WHEN status = 'completed' AND id % 6 = 0 THEN 'The user did no ' || id ELSE content END AS content, CASE WHEN status = 'completed' AND id % 6 = 0 THEN 0.9::DOUBLE ELSE 0.5 END AS confidence, status
+    FROM d WHERE status IS NULL OR status <> 'abandoned'""")
+def reviewed_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts after the review of plans that may be stale, by answers as a classifier gives them, fenced, bare or broken."""
+    k = F.col("event_id") % 5
+    start = F.when(k == 0, "The user plans to ").when(k == 1, "User is MIGRATING from ").when(k == 2, "always Planning ").otherwise("likes ")
+    facts = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat(start, "event_type").alias("content"), F.lit(0.5).alias("confidence"))
+    n = F.col("id") % 6
+    status = lambda x, more="": F.lit(f'{{"status": "{x}", "reason": "so"{more}}}')
+    done = F.concat(F.lit('```json\n{"status": "completed", "rewrite": "The user did no '), "id", F.lit('"}\n```'))
+    answer = F.when(n == 0, done).when(n == 1, status("abandoned")).when(n == 2, status("stale")).when(n == 3, F.lit("I can't tell")).when(n == 4, status("completed", ', "rewrite": ""')).otherwise(status("keep"))
+    answers = memory.future_plans(facts, ("always",)).select("id", answer.alias("answer"))
+    return memory.reviewed(facts, memory.review_decisions(answers))
+
+
 @_query("""WITH r AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'work' WHEN 1 THEN 'public' ELSE 'home' END AS profile, CASE WHEN p_size % 2 = 0 THEN 'identity' ELSE 'episodic' END AS kind,
         CASE WHEN p_size % 5 = 0 THEN 'preference' WHEN p_size % 5 < 3 THEN 'fact' END AS category FROM part)
     SELECT 1::BIGINT AS agent_id, * FROM r UNION ALL SELECT 2, * FROM r WHERE profile = 'work' AND kind <> 'identity' UNION ALL SELECT 3, * FROM r WHERE kind <> 'identity'
