@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from velum.io import cut
+from velum.operators import overlap
 from velum.operators.neighbours import build, pairs_within, search
 from velum.operators.retrieval import knn
 from velum.operators.rounds import heads
@@ -249,53 +250,45 @@ def fact_words(text: Column) -> Column:
 def similar_pairs(facts: DataFrame, least: float, words: Callable[[Column], Column] = fact_words) -> DataFrame:
     """(a, b, jaccard): pairs of facts (id, content), a < b, whose word sets overlap by at least `least` (above 0).
 
-    Prefix filter: a set of n words shares with its partner at least one of its n - ceil(least * n) + 1 rarest words, so
-    only those are joined; frequent words are hardly ever among them. Whole sets are then compared.
+    Equal sets are compared once (overlap.within()); their facts are put in at the end, as every pair is a row.
     """
-    sets = facts.select("id", words(F.col("content")).alias("w")).where(F.size("w") > 0)
-    df = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ordered = sets.select("id", F.explode("w").alias("word")).join(df, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    ordered = ordered.select("id", F.transform("o", lambda x: x["word"]).alias("w"))
-    prefix = ordered.select("id", "w", F.explode(F.slice("w", F.lit(1), F.size("w") - F.ceil(F.size("w") * least - 1e-9).cast("int") + 1)).alias("word"))
-    left, right = prefix.select(F.col("id").alias("a"), F.col("w").alias("wa"), "word"), prefix.select(F.col("id").alias("b"), F.col("w").alias("wb"), "word")
-    size = (F.size("wa") >= least * F.size("wb") - 1e-9) & (F.size("wb") >= least * F.size("wa") - 1e-9)
-    pairs = left.join(right, "word").where((F.col("a") < F.col("b")) & size).dropDuplicates(["a", "b"])
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return pairs.select("a", "b", (shared / (F.size("wa") + F.size("wb") - shared)).alias("jaccard")).where(F.col("jaccard") >= least - 1e-12)
+    members, pairs = overlap.within(facts, words(F.col("content")), least)
+    members = cut(members)
+    of = lambda name, at: members.select(F.col("id").alias(name), F.col("set").alias(at))
+    found = pairs.join(of("_a", "x"), "x").join(of("_b", "y"), "y").where("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "jaccard")
+    same = of("a", "x").join(of("b", "x"), "x").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return found.unionAll(same)
 
 
 def clusters(facts: DataFrame, least: float = 0.25) -> DataFrame:
     """(id, seed): greedy stars in the order of id. A fact not yet taken becomes a seed and takes its later neighbours.
 
-    Pairs come from similar_pairs(); which facts are seeds is settled in blocks of links (rounds.heads()), and each other
-    fact goes to the first seed linked to it.
+    Of facts with equal word sets only the first can be a seed, and the others go where it goes. Links between such first
+    facts come from overlap.within(); which are seeds is settled in blocks of links (rounds.heads()), and each other one
+    goes to the first seed linked to it.
     """
-    links = cut(similar_pairs(facts, least).select("a", "b"))
+    members, pairs = overlap.within(facts, fact_words(F.col("content")), least)
+    members = cut(members)
+    first = members.groupBy("set").agg(F.min("id").alias("rep"))
+    of = lambda name, at: first.select(F.col("rep").alias(name), F.col("set").alias(at))
+    both = pairs.join(of("_a", "x"), "x").join(of("_b", "y"), "y")
+    links = cut(both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
     seeds = heads(links).where("head").select(F.col("id").alias("a"))
-    first = links.join(seeds, "a").groupBy("b").agg(F.min("a").alias("seed"))
-    return facts.select("id").join(first, F.col("id") == F.col("b"), "left").select("id", F.coalesce("seed", "id").alias("seed"))
+    taken = links.join(seeds, "a").groupBy("b").agg(F.min("a").alias("seed"))
+    settled = first.join(taken, F.col("rep") == F.col("b"), "left").select("set", F.coalesce("seed", "rep").alias("seed"))
+    own = members.join(settled, "set").groupBy("id").agg(F.min("seed").alias("seed"))
+    return facts.select("id").join(own, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))
 
 
 def not_covered(candidates: DataFrame, existing: DataFrame, most: float = 0.7) -> DataFrame:
     """Candidates (id, content) whose white-space words overlap with no existing fact (content) by more than `most`.
 
-    Prefix filter: sets that overlap by `most` share one of the n - ceil(most * n) + 1 rarest words of either, so only
-    those words are joined, and only sets of fitting sizes; frequent words are hardly ever among them.
+    Sets meet by their rarest words (overlap.meeting()); candidates too large or too small for any fact are left alone.
     """
-    split = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), r"\s+")), lambda w: w != "")
-    have = existing.select(split(F.col("content")).alias("w")).where(F.size("w") > 0).distinct().select(F.xxhash64("w").alias("key"), "w", F.lit(True).alias("held"))
-    asked = candidates.select(split(F.col("content")).alias("w")).where(F.size("w") > 0).distinct().select(F.xxhash64("w").alias("key"), "w", F.lit(False).alias("held"))
-    both = have.unionByName(asked)
-    df = have.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ranked = both.select("held", "key", "w", F.explode("w").alias("word")).join(df, "word", "left").groupBy("held", "key").agg(F.any_value("w").alias("w"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("o"))
-    prefix = ranked.select("held", "key", "w", F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(F.size("o") * most - 1e-9).cast("int") + 1)).alias("x")).where("x.df > 0").select("held", "key", "w", "x.word")
-    left, right = prefix.where("NOT held").select("key", F.col("w").alias("wc"), "word"), prefix.where("held").select(F.col("w").alias("we"), "word")
-    size = (F.size("wc") >= most * F.size("we") - 1e-9) & (F.size("we") >= most * F.size("wc") - 1e-9)
-    shared = F.size(F.array_intersect("wc", "we"))
-    hit = left.join(right, "word").where(size).withColumn("shared", shared)
-    covered = hit.where(F.col("shared") / (F.size("wc") + F.size("we") - F.col("shared")) > most).select("key").distinct()
-    keyed = candidates.withColumn("_w", split(F.col("content"))).withColumn("key", F.xxhash64("_w"))
-    return keyed.join(covered, "key", "left_anti").drop("_w", "key")
+    split = lambda c: F.array_sort(F.filter(F.array_distinct(F.split(F.lower(c), r"\s+")), lambda w: w != ""))
+    made = lambda df: df.select(split(F.col("content")).alias("w")).select(overlap.set_key(F.col("w")).alias("key"), "w")
+    covered = overlap.meeting(made(candidates), made(existing), most).where(F.col("jaccard") > most).select("key").distinct()
+    return candidates.withColumn("key", overlap.set_key(split(F.col("content")))).join(covered, "key", "left_anti").drop("key")
 
 
 def not_known(candidates: DataFrame, existing: DataFrame) -> DataFrame:
