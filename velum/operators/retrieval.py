@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 
 #: Queries that one pass over the corpus compares; more queries take more passes.
 QUERY_BLOCK = 4096
+#: Queries and rows whose distances a task holds at once, and pairs whose vectors it multiplies again.
+TILE_QUERIES, TILE_ROWS, PAIRS = 256, 4096, 20_000
+_LOOSE = 1e-12
 RRF_K = 60
 #: Distinct words of all queries up to which they are kept in the plan.
 MOST_ASKED = 200
@@ -21,6 +24,57 @@ SHORT_BYTES, FLOOR, KEYWORD_BONUS, FINGERPRINT = 150, 0.3, 0.02, 200
 CONTEXT_ITEMS, ITEM_CHARS, CONTEXT_CHARS = 3, 250, 600
 
 
+class _Best:
+    """The k nearest rows so far of each query of a block. Distances are held for a tile of queries and rows at a time."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str, groups: np.ndarray | None):
+        self.ids, self.k, self.metric, self.groups = ids, k, metric, groups
+        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if metric == "cosine" else q
+        self.d, self.i = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Rows (id, vector, group) join the nearest ones."""
+        x = pc.list_flatten(batch.column(1)).to_numpy().reshape(batch.num_rows, -1)
+        if self.metric == "cosine":
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        ids, of = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for first in range(0, len(self.ids), TILE_QUERIES):
+            tile = slice(first, first + TILE_QUERIES)
+            d = self._distances(self.q[tile], x)
+            d[np.isnan(d)] = np.inf
+            if self.groups is not None:
+                d[self.groups[tile, None] != of[None]] = np.inf
+            if x.shape[0] > self.k:
+                limit = np.minimum(self.d[tile, -1], np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+            else:
+                limit = self.d[tile, -1]
+            i, j = np.nonzero((d <= limit[:, None] + _LOOSE) & np.isfinite(d))
+            n = len(d)
+            near = self._again(first + i, x, j) if self.metric == "cosine" else d[i, j]
+            row = np.concatenate([np.repeat(np.arange(n), self.k), i])
+            every, who = np.concatenate([self.d[tile].ravel(), near]), np.concatenate([self.i[tile].ravel(), ids[j]])
+            order = np.lexsort((who, every, row))
+            sorted_rows = row[order]
+            order = order[np.arange(len(order)) - np.searchsorted(sorted_rows, sorted_rows) < self.k]
+            self.d[tile], self.i[tile] = every[order].reshape(n, self.k), who[order].reshape(n, self.k)
+
+    def _distances(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if self.metric == "cosine":
+            return 1 - q @ x.T
+        if self.metric == "l2":
+            return np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
+        return np.stack([np.abs(x - v).sum(1) for v in q])
+
+    def _again(self, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Cosine distances pair by pair: a product of matrices rounds equal vectors differently by their place."""
+        parts = [1 - (self.q[i[a : a + PAIRS]] * x[j[a : a + PAIRS]]).sum(1) for a in range(0, len(i), PAIRS)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def found(self) -> pa.RecordBatch:
+        near = np.isfinite(self.d.ravel())
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.k)[near]), pa.array(self.i.ravel()[near]), pa.array(self.d.ravel()[near])], names=["query_id", "id", "distance"])
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK, most: float | None = None, by: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest corpus rows of each query, ties by id.
 
@@ -28,7 +82,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
 
     `queries` has query_id and vector, `corpus` id, vector and perhaps filters already applied (they prune the scan).
     Queries are dealt to blocks of at most `block` by a hash of their id; each block is broadcast (block x length
-    numbers at most), every corpus partition keeps k rows a query, and only those are shuffled. `most` drops pairs
+    numbers at most), every corpus partition keeps k rows a query, and only those are shuffled. A task compares in tiles,
+    so what it holds doesn't grow with queries or rows beyond a block. `most` drops pairs
     beyond a distance. Rows with null vectors are left out; vectors of another length raise an error.
     """
     group = (F.xxhash64(by) if by else F.lit(0).cast("long")).alias("_by")
@@ -46,26 +101,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared, by=by) -> Iterator[pa.RecordBatch]:
             ids, q, groups = shared.value
-            best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-            unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            best = _Best(ids, q, k, metric, groups if by else None)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = pc.list_flatten(batch.column(1)).to_numpy().reshape(batch.num_rows, -1)
-                if metric == "cosine":
-                    d = 1 - unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                elif metric == "l2":
-                    d = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-                else:
-                    d = np.stack([np.abs(x - v).sum(1) for v in q])
-                if by:
-                    d = np.where(groups[:, None] == batch.column(2).to_numpy()[None, :], d, np.inf)
-                d = np.concatenate([best_d, d], 1)
-                i = np.concatenate([best_i, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], 1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            width, near = best_d.shape[1], np.isfinite(best_d.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)[near]), pa.array(best_i.ravel()[near]), pa.array(best_d.ravel()[near])], names=["query_id", "id", "distance"])
+                for at in range(0, batch.num_rows, TILE_ROWS):
+                    best.add(batch.slice(at, TILE_ROWS))
+            yield best.found()
 
         parts.append(rows.mapInArrow(work, "query_id long, id long, distance double"))
     if not parts:
