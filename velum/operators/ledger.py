@@ -71,9 +71,11 @@ def refills(accounts: DataFrame, now: Column) -> DataFrame:
 def permissions(entries: DataFrame, members: DataFrame) -> DataFrame:
     """(user, resource, bits): the union of the bits that the principals of each user hold on a resource.
 
-    `entries` has principal, resource, bits; `members` user, principal.
+    `entries` has principal, resource, bits; `members` user, principal. Entries of a principal on one resource are one
+    before they meet its members, and repeated members are one, so the join makes a row a user, principal and resource.
     """
-    return members.join(entries, "principal").groupBy("user", "resource").agg(F.bit_or("bits").alias("bits"))
+    held = entries.groupBy("principal", "resource").agg(F.bit_or("bits").alias("bits"))
+    return members.select("user", "principal").distinct().join(held, "principal").groupBy("user", "resource").agg(F.bit_or("bits").alias("bits"))
 
 
 def reachable(entries: DataFrame, members: DataFrame, bit: int) -> DataFrame:
