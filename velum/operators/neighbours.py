@@ -25,6 +25,8 @@ from velum.io import checkpoint_dir, cut
 MOST_LISTS, SAMPLE = 4096, 40
 #: Rows and queries of a unit of work; larger lists are cut into several.
 UNIT_ROWS, UNIT_QUERIES = 8192, 2048
+#: Rows that meet all centroids at once, and rows of a batch that leaves, as a query may read every list.
+AT_ONCE, OUT_ROWS = 256, 4096
 _LOOSE = 1e-7
 
 
@@ -67,6 +69,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _held(df: DataFrame, id_col: str, by: str | None) -> DataFrame:
     group = (F.xxhash64(by) if by else F.lit(0).cast("long")).alias("by")
     return df.where(F.col("vector").isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), group)
@@ -92,9 +100,7 @@ def build(corpus: DataFrame, lists: int | None = None, by: str | None = None, pa
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heart = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, AT_ONCE):
             near = _cosines(unit(_matrix(batch.column(1))), heart)
             own = near.argmax(1)
             angle = np.arccos(np.clip(near[np.arange(len(own)), own], -1, 1))
@@ -118,9 +124,7 @@ def _probed(queries: DataFrame, index: Lists, first: int, beyond: bool) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heart, angles, sizes = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, AT_ONCE):
             x = unit(_matrix(batch.column("vector")))
             near = np.where(sizes > 0, _cosines(x, heart), -2)
             place = np.empty_like(near, np.int64)
@@ -132,8 +136,9 @@ def _probed(queries: DataFrame, index: Lists, first: int, beyond: bool) -> DataF
                 open_ = (far <= batch.column("angle").to_numpy()[:, None] + _LOOSE) | (np.linalg.norm(x, axis=1) < 0.5)[:, None] | (np.arange(len(heart)) == 0)
                 wanted = ~wanted & open_ & (sizes > 0)
             i, own = np.nonzero(wanted)
-            at = pa.array(i)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(batch.column(c).take(at) for c in ("id", "vector", "by"))], names=["list", "id", "vector", "by"])
+            for a in range(0, len(i), OUT_ROWS):
+                at = pa.array(i[a : a + OUT_ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array(own[a : a + OUT_ROWS].astype(np.int32)), *(batch.column(c).take(at) for c in ("id", "vector", "by"))], names=["list", "id", "vector", "by"])
 
     return queries.mapInArrow(work, "list int, id long, vector array<double>, by long")
 
