@@ -359,19 +359,25 @@ def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(asked, rows, 8, 20).select("query_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _chunks(sent: DataFrame, size: int, originals: dict[str, str]) -> DataFrame:
+    """Chunks of `size` characters of texts (stream_id, s), the first with the tokens; a text is cut up in one pass."""
+    parts = sent.select("stream_id", F.regexp_extract_all("s", F.lit(f"(?s)(.{{1,{size}}})"), 1).alias("p"))
+    cut = parts.select("stream_id", F.size("p").alias("n"), F.posexplode_outer("p").alias("i", "payload"))
+    tokens = F.when(F.col("i") == 0, F.create_map(*(F.lit(x) for pair in originals.items() for x in pair)))
+    return cut.select("stream_id", F.col("i").cast("long").alias("seq"), "payload", (F.col("i") == F.col("n") - 1).alias("final"), tokens.alias("tokens"))
+
+
 @_query("SELECT conv_id || '/' || turn AS stream_id, sha256('Ada ' || text || ' Acme [x') AS digest FROM conversations")
 def restored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server-sent events cut anywhere, with tokens split over deltas of both provider shapes, restored and read back."""
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), "turn", F.concat(F.lit("[PERSON_1] "), "text", F.lit(" [ORG_12]")).alias("t"))
+    c = spread(table(spark, sf_dir, "conversations")).select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), "turn", F.concat(F.lit("[PERSON_1] "), "text", F.lit(" [ORG_12]")).alias("t"))
     pieces = F.transform(F.sequence(F.lit(0), F.floor(F.char_length("t") / 7).cast("int")), lambda i: F.substring(F.col("t"), i * 7 + 1, F.lit(7)))
     block = lambda p: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), p.alias("text")).alias("delta")))
     choice = lambda p: F.to_json(F.struct(F.array(F.struct(F.struct(p.alias("content")).alias("delta"))).alias("choices")))
     frame = lambda body: F.concat(F.lit("data: "), body, F.lit("\n\n"))
     whole = F.when(F.col("turn") % 2 == 0, F.array_join(F.transform(pieces, lambda p: frame(block(p))), "")).otherwise(F.array_join(F.transform(pieces, lambda p: frame(choice(p))), ""))
     sent = c.select("stream_id", F.concat(whole, F.lit("data: [DONE]\n\n")).alias("s"))
-    cut = sent.select("stream_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("s") - 1) / 50).cast("int"))).alias("i"))
-    tokens = F.when(F.col("i") == 0, F.create_map(F.lit("[PERSON_1]"), F.lit("Ada"), F.lit("[ORG_12]"), F.lit("Acme [x")))
-    chunks = cut.select("stream_id", F.col("i").cast("long").alias("seq"), F.substring("s", F.col("i") * 50 + 1, F.lit(50)).alias("payload"), (F.col("i") == F.floor((F.char_length("s") - 1) / 50)).alias("final"), tokens.alias("tokens"))
+    chunks = _chunks(sent, 50, {"[PERSON_1]": "Ada", "[ORG_12]": "Acme [x"})
     out = restore.restore_frames_batch(chunks).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), "").alias("payload"))
     said = F.coalesce(F.get_json_object("data", "$.delta.text"), F.get_json_object("data", "$.choices[0].delta.content"))
     read = restore.sse_events(out).select("stream_id", "seq", said.alias("text")).where("text IS NOT NULL")
@@ -389,7 +395,7 @@ _PERSON, _ORG = 'A"d\\a', "Ac\nme é"
 @_query(f"""SELECT conv_id || '/' || turn AS stream_id, sha256({_tool_input('A\\"d\\\\a', 'Ac\\nme é')}) AS first, sha256({_tool_input('Ac\\nme é', 'A\\"d\\\\a')}) AS second FROM conversations""")
 def restored_tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tool inputs streamed as interleaved JSON fragments, with originals that need JSON's escapes, read back."""
-    c = table(spark, sf_dir, "conversations")
+    c = spread(table(spark, sf_dir, "conversations"))
     js = F.to_json(F.array(F.coalesce("text", F.lit(""))))
     whole = lambda a, b: F.concat(F.lit(f'{{"to":"{a}","body":'), F.substring(js, F.lit(2), F.char_length(js) - 2), F.lit(f',"from":["{b}",1.50]}}'))
     t = c.select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), whole("[PERSON_1]", "[ORG_12]").alias("t0"), whole("[ORG_12]", "[PERSON_1]").alias("t1"))
@@ -397,10 +403,7 @@ def restored_tool_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda n, i: F.concat(F.lit("data: "), delta(n, F.substring(F.col(f"t{n}"), i * 9 + 1, F.lit(9))), F.lit("\n\n"))
     places = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("t0"), F.char_length("t1")) / 9).cast("int"))
     sent = t.select("stream_id", F.concat(F.array_join(F.transform(places, lambda i: F.concat(part(0, i), part(1, i))), ""), F.lit('data: {"type":"message_stop"}\n\n')).alias("s"))
-    last = F.floor((F.char_length("s") - 1) / 70).cast("int")
-    tokens = F.when(F.col("i") == 0, F.create_map(F.lit("[PERSON_1]"), F.lit(_PERSON), F.lit("[ORG_12]"), F.lit(_ORG)))
-    cut = sent.select("stream_id", "s", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    chunks = cut.select("stream_id", F.col("i").cast("long").alias("seq"), F.substring("s", F.col("i") * 70 + 1, F.lit(70)).alias("payload"), (F.col("i") == last).alias("final"), tokens.alias("tokens"))
+    chunks = _chunks(sent, 70, {"[PERSON_1]": _PERSON, "[ORG_12]": _ORG})
     out = restore.restore_frames_batch(chunks).groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda x: x["payload"]), "").alias("payload"))
     read = restore.sse_events(out).select("stream_id", "seq", F.get_json_object("data", "$.index").alias("n"), F.get_json_object("data", "$.delta.partial_json").alias("text")).where("text IS NOT NULL")
     of = lambda n: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") == n, F.struct("seq", "text")))), lambda x: x["text"]), ""), 256)

@@ -111,9 +111,17 @@ def usage(events: DataFrame) -> DataFrame:
     )
 
 
+_BLANK, _LINE = re.compile(r"(\r\n\r\n|\n\n)"), re.compile(r"[^\n]*\n|[^\n]+")
+#: JSON as json.dumps(value, ensure_ascii=False) writes it.
+_written = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def framed(buffer: str, text: str) -> tuple[list[str], str]:
     """(whole events with their blank lines, what is left): server-sent events that end in `buffer` + `text`."""
-    parts = re.split(r"(\r\n\r\n|\n\n)", buffer + text)
+    whole = buffer + text
+    if "\n\n" not in whole and "\r\n\r\n" not in whole:
+        return [], whole
+    parts = _BLANK.split(whole)
     return [a + b for a, b in zip(parts[:-1:2], parts[1::2], strict=True)], parts[-1]
 
 
@@ -143,7 +151,9 @@ def _objects(value) -> list[dict]:
 
 
 def _safe(held: str, text: str, key: str, originals: dict[str, str], final: bool) -> tuple[str, str]:
-    """push(), with originals escaped where the text is a fragment of JSON."""
+    """push(), with originals escaped where the text is a fragment of JSON; a text without a bracket is safe as it is."""
+    if not held and "[" not in text:
+        return text, ""
     if key == "partial_json":
         originals = {t: json.dumps(o, ensure_ascii=False)[1:-1] for t, o in originals.items()}
     return push(held, text, originals, final)
@@ -170,8 +180,8 @@ def restore_event(raw: str, originals: dict[str, str], waiting: dict[str, list[s
     block is restored in all its strings, fragments of tool input get originals in JSON's escapes, anything else passes
     as it is.
     """
-    out, waiting = "", dict(waiting)
-    for line in re.findall(r"[^\n]*\n|[^\n]+", raw):
+    out, waiting = "", dict(waiting) if waiting else {}
+    for line in _LINE.findall(raw):
         body = line.rstrip("\r\n")
         end = line[len(body) :]
         try:
@@ -183,16 +193,16 @@ def restore_event(raw: str, originals: dict[str, str], waiting: dict[str, list[s
             out, waiting = let_out(waiting, originals, end) + out, {}
         for where, key, lane in places:
             held = waiting.get(lane, ["", ""])[0]
-            shape = json.dumps(event, ensure_ascii=False)
-            where[key], held = _safe(held, where[key], key, originals, False)
+            safe, held = _safe(held, where[key], key, originals, False)
             if held:
-                waiting[lane] = [held, shape]
+                waiting[lane] = [held, _written(event)]
             else:
                 waiting.pop(lane, None)
+            where[key] = safe
         if isinstance(event, dict) and event.get("type") == "content_block_start":
             line = "data: " + restore_json(body[6:], originals) + end
         elif places:
-            line = f"data: {json.dumps(event, ensure_ascii=False)}{end}"
+            line = f"data: {_written(event)}{end}"
         out += line
     return out, waiting
 
