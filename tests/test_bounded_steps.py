@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from velum.operators import ledger, retrieval
+from velum.operators import ledger, neighbours, retrieval
+from velum.plans import message_queries
+from velum.streaming import restore
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2", "l1"])
@@ -57,3 +59,38 @@ def test_permissions_join_no_repeated_entries(spark):
 
     walk(plan)
     assert made and max(made) <= 6001
+
+
+def test_probes_leave_in_bounded_batches():
+    """2000 queries that read 64 lists each: before, one batch of 128,000 vectors."""
+
+    class Session:
+        sparkSession = sparkContext = property(lambda self: self)
+        broadcast = staticmethod(lambda value: type("Shared", (), {"value": value}))
+        mapInArrow = staticmethod(lambda work, shape: work)
+
+    rng = np.random.default_rng(3)
+    index = neighbours.Lists(None, neighbours.unit(rng.normal(size=(64, 8))), np.ones(64, np.int64), np.full(64, np.pi))
+    vectors = [*rng.normal(size=(1999, 8)).tolist(), [0.0] * 8]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array(vectors), pa.array(np.zeros(2000, np.int64)), pa.array(np.full(2000, 4.0))], names=["id", "vector", "by", "angle"])
+    got = list(neighbours._probed(Session(), index, 0, True)([batch]))
+    assert max(b.num_rows for b in got) <= neighbours.OUT_ROWS
+    pairs = [(i, n) for b in got for i, n in zip(b.column("id").to_pylist(), b.column("list").to_pylist(), strict=True)]
+    assert len(pairs) == 128_000 and set(pairs) == {(i, n) for i in range(2000) for n in range(64)}
+    assert all(b.column("vector")[0].as_py() == vectors[b.column("id")[0].as_py()] for b in got)
+
+
+def test_events_without_tokens_are_written_once(monkeypatch):
+    """Before, every event was written twice and all originals once more, which was most of the time."""
+    event = 'data: {"type": "content_block_delta", "index": 0, "delta": {"type": "input_json_delta", "partial_json": "né"}}\n\n'
+    monkeypatch.setattr(restore.json, "dumps", lambda *a, **k: pytest.fail("written again"))
+    assert restore.restore_event(event, {"[PERSON_1]": "Ada"}, {}) == (event, {})
+
+
+@pytest.mark.parametrize("name", ["masked_names", "restored_frames", "restored_tool_inputs"])
+def test_one_file_is_spread_over_the_cores(spark, monkeypatch, name):
+    seen = []
+    whole = message_queries.spread
+    monkeypatch.setattr(message_queries, "spread", lambda df: seen.append(whole(df)) or seen[-1])
+    getattr(message_queries, name)(spark, "/root/testdata/sf0.001")
+    assert [df.rdd.getNumPartitions() for df in seen] == [spark.sparkContext.defaultParallelism]

@@ -189,7 +189,7 @@ def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("@mail.example` stays, as does\n```\nQuillBase nova"), k % 7, F.lit("\n```\nbut quillbase goes"),
     )
     terms = F.array(F.struct(F.concat(F.lit("nova"), k % 7).alias("text"), F.lit("PROJECT").alias("kind")))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), terms.alias("terms"))
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", text.alias("text"), terms.alias("terms"))
     return masking.anonymize(rows, "c_custkey", custom="terms").select("c_custkey", "masked", "n_entities")
 
 
