@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from velum.operators import ledger, neighbours, retrieval
+from velum.operators import ledger, neighbours, retrieval, store
 from velum.plans import message_queries
 from velum.streaming import restore
 
@@ -94,3 +94,11 @@ def test_one_file_is_spread_over_the_cores(spark, monkeypatch, name):
     monkeypatch.setattr(message_queries, "spread", lambda df: seen.append(whole(df)) or seen[-1])
     getattr(message_queries, name)(spark, "/root/testdata/sf0.001")
     assert [df.rdd.getNumPartitions() for df in seen] == [spark.sparkContext.defaultParallelism]
+
+
+def test_scores_count_gold_and_found_in_one_pass(spark):
+    """Before, both were grouped and then joined; keys without a document never matched, as they do in SQL."""
+    entities = lambda rows: spark.createDataFrame(rows, "doc_id long, kind string, text string")
+    out = store.scores(entities([(1, "A", "x"), (1, "A", "X"), (None, "A", "y"), (2, "B", "z")]), entities([(1, "A", "x"), (None, "A", "Y"), (2, "B", "w")]))
+    assert {(r.kind, r.tp, r.fp, r.fn) for r in out.collect()} == {("A", 2, 0, 1), ("B", 0, 1, 1), ("overall", 2, 1, 2)}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -164,10 +164,11 @@ def scores(gold: DataFrame, found: DataFrame) -> DataFrame:
 
     Texts match without regard to case; equal ones are matched one to one by number.
     """
-    count = lambda df, name: df.groupBy("doc_id", "kind", F.lower("text").alias("key")).agg(F.count("*").alias(name))
-    both = count(gold, "g").join(count(found, "f"), ["doc_id", "kind", "key"], "full").na.fill(0, ["g", "f"])
+    rows = lambda df, g: df.select("doc_id", "kind", F.lower("text").alias("key"), F.lit(g).cast("long").alias("g"), F.lit(1 - g).cast("long").alias("f"))
+    both = rows(gold, 1).unionAll(rows(found, 0)).groupBy("doc_id", "kind", "key").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
     sums = both.select("kind", F.least("g", "f").alias("tp"), F.greatest(F.col("f") - F.col("g"), F.lit(0)).alias("fp"), F.greatest(F.col("g") - F.col("f"), F.lit(0)).alias("fn"))
-    every = sums.unionAll(sums.withColumn("kind", F.lit("overall"))).groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    each = sums.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    every = each.unionAll(each.withColumn("kind", F.lit("overall"))).groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     return every.withColumns({"precision": p, "recall": r}).withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
