@@ -309,3 +309,53 @@ def test_lattice_screen_keeps_all_near_pairs():
     words, home, side = np.stack([first[:300], second[:300]], 1).reshape(600, -1), np.ones(600, bool), np.arange(600) % 2
     assert lattice.likely(words, home, side, False, most, 64).all() and lattice.likely(words, home, side, True, most, 64).all()
     assert not lattice.likely(words, ~home, side, True, most, 64).any() and not lattice.likely(first[:300], home[:300], side[:300] * 0, False, most, 64).any()
+
+
+def test_links_of_the_query_do_not_depend_on_its_size(spark, tmp_path, monkeypatch):
+    """The same links stand in a table and in one with many more rows, exactly, whatever the settings by size are."""
+    from velum.llm import queries
+
+    monkeypatch.setattr(lattice, "SETTINGS", ((500, 1, 1, 0), (None, 3, 1, 0)))
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[:200] + 0.3 * rng.normal(size=(200, 64)) / 8  # around the threshold
+    group = x[0] + 0.05 * rng.normal(size=(80, 64)) / 8  # near copies: cells of more than 80 rows
+    few = [(i, [float(a) for a in v], 1) for i, v in enumerate([*x[:200], *near, *group])]
+    more = [*few, *((1000 + i, [float(a) for a in v], 1) for i, v in enumerate(x[200:]))]
+    links = []
+    for name, rows in (("few", few), ("more", more)):
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / name / "embeddings.parquet"))
+        got = sorted(map(tuple, queries.queries()["op2_embedding_dedup"](spark, str(tmp_path / name)).collect()), key=repr)
+        assert got == brute.vectors(rows, 0.93)
+        links.append([r for r in got if r[0] < 1000])
+    assert links[0] == links[1] and sum(r[1] for r in links[0]) > 80 * 80 + 200
+
+
+@pytest.mark.parametrize("dims", [16, 64, 256])
+def test_steady_setting_misses_one_in_a_million(dims):
+    """The share of tables in which a pair at the threshold meets, and so the chance that it meets in none."""
+    rng = np.random.default_rng(dims)
+    a, z = rng.normal(size=(2, 1500, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    b = lattice.COSINE * a + np.sqrt(1 - lattice.COSINE**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    depth, tables, probes = lattice.STEADY
+    p, q = (lattice.cells(v, np.zeros(1500, np.uint64), depth, tables, probes, lattice.STEADY_SPACING) for v in (a, b))
+    share = ((p == q[:, :, :1]).any(2) | (q == p[:, :, :1]).any(2)).mean()
+    assert (1 - share) ** tables < 3e-6
+
+
+def test_runs_are_cut_whole_and_paired():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    unit = np.repeat(np.arange(60), [rng.choice([1, 2, 3, 5, 40, 90]) for _ in range(60)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(unit[a : a + 7])], names=["unit"]) for a in range(0, len(unit), 7)]
+    tables = [t.column("unit").to_numpy() for t in lattice.whole_runs(iter(batches), "unit", 50)]
+    assert np.array_equal(np.concatenate(tables), unit) and len(tables) > 10
+    assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:], strict=False)) and not list(lattice.whole_runs(iter([]), "unit"))
+    low, high, large = lattice.run_pairs(unit)
+    pairs = [*zip(low.tolist(), high.tolist(), strict=True), *((a, b) for s in large for b in range(s.start, s.stop) for a in range(s.start, b))]
+    assert sorted(pairs) == [(a, b) for a in range(len(unit)) for b in range(a + 1, len(unit)) if unit[a] == unit[b]]
+    assert {s.stop - s.start for s in large} == {40, 90}

@@ -1,15 +1,15 @@
 """Embedding near-duplicates by lattice hashing.
 
 Unit vectors are projected to eight dimensions by several random maps and decoded to points of the E8 lattice. Each
-table files a vector under its own point, or under the points of several maps together where a label is large, and
-probes the neighbouring cells that lie nearest. Vectors that meet in a cell are screened by short sign sketches; those
+table files a vector under its own point, or under the points of several maps together, and probes the neighbouring
+cells that lie nearest. Vectors that meet in a cell are screened by short sign sketches; those
 with a likely partner are compared by cosine in double precision.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velum.llm.common import block_units, components, link_roots, map_batches, mix, runs, stored
+from velum.llm.common import block_units, components, link_roots, map_batches, mix, stored
 
 COSINE = 0.93
 #: Lattice spacing against unit vectors.
@@ -26,6 +26,10 @@ SPACING = 0.7
 #: vectors of cosine 0.93 meet in some table with about the same probability (measured in 64 dimensions: README), while
 #: unrelated ones meet in a table with 0.010, 0.00007 and 0.000001, so that what a vector meets grows with its label within a line only, and in the last.
 SETTINGS = ((1 << 18, 1, 10, 1), (40_000_000, 2, 22, 2), (None, 3, 48, 3))
+#: Maps of a cell, tables, probed neighbours and spacing that serve tables of any size, so that links don't depend on it. A
+#: pair of cosine 0.93 meets in a table with 0.484, so one in a million never does; unrelated ones meet in a table with
+#: 0.00044 (measured in 64 dimensions), so a vector meets about one in a hundred of its label.
+STEADY, STEADY_SPACING = (2, 21, 2), 0.85
 #: The share of pairs of unrelated vectors that have one cell of one map in common (measured in 64 dimensions), and how
 #: many labels, and distinct rows of each, are sampled to measure it for the vectors at hand.
 MEET, SAMPLED_LABELS, SAMPLED_ROWS = 0.004, 8, 2048
@@ -33,6 +37,8 @@ MEET, SAMPLED_LABELS, SAMPLED_ROWS = 0.004, 8, 2048
 #: that still count as likely: of the pairs at the threshold one in a hundred million or fewer are screened out.
 SIGNS, DEVIATIONS = 128, 6
 BLOCK_ROWS = 1024
+#: Cosines of a matrix product this near the threshold are taken again pair by pair; pairs taken at once.
+ROUNDING, PAIRS_AT_ONCE = 1e-9, 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,6 +183,37 @@ def likely(words: np.ndarray, home: np.ndarray, side: np.ndarray, alone: bool, m
     return out
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 2048) -> Iterator[pa.Table]:
+    """Tables of at least `rows` rows (the last may have fewer) that cut no run of equal `key`; the input is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            table = pa.Table.from_batches(held)
+            value = table.column(key).to_numpy()
+            cut = int(np.searchsorted(value, value[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, count = table.slice(cut).to_batches(), count - cut
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+def run_pairs(unit: np.ndarray, most: int = 32) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+    """(lower row, higher row) of all pairs within runs of up to `most` equal values, and the larger runs."""
+    start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    size = np.diff(np.r_[start, len(unit)])
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.unique(size[size <= most]):
+        i, j = np.triu_indices(k, 1)
+        at = start[size == k][:, None]
+        low.append((at + i).ravel())
+        high.append((at + j).ravel())
+    return np.concatenate(low), np.concatenate(high), [slice(a, a + k) for a, k in zip(start, size, strict=True) if k > most]
+
+
 def join(vectors: DataFrame, cosine: float = COSINE, setting: tuple[int, int, int] | None = None, spacing: float = SPACING, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of `vectors` (vec_id integer, embedding array, label).
 
@@ -189,8 +226,9 @@ def join(vectors: DataFrame, cosine: float = COSINE, setting: tuple[int, int, in
 
     Cells are counted, and vectors that share one screened by their sketches, before any vector moves; cells beyond
     `block_rows` are treated in pairs of blocks. A pair is counted in the first cell that it shares, so nothing is
-    emitted per pair. `setting` (maps of a cell, tables, probed neighbours) follows the rows of the largest labels and how
-    crowded their cells are (crowded_rows()).
+    emitted per pair. Without a `setting` (maps of a cell, tables, probed neighbours) it follows the rows of the largest
+    labels and how crowded their cells are (crowded_rows()), and so does which few pairs near the threshold are missed;
+    with STEADY and its spacing no link depends on the size of the input.
     """
     value = F.col("embedding")
     clean = F.transform(value, lambda x: x.cast("double"))
@@ -230,50 +268,54 @@ def join(vectors: DataFrame, cosine: float = COSINE, setting: tuple[int, int, in
     most = most_unequal(cosine)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, rows = [], 0
-        for table in runs(batches, "unit"):
-            if table.num_rows < 2:
-                continue
+        for table in whole_runs(batches, "unit"):
             words = np.stack([table.column(c).to_numpy() for c in names], 1)
-            home = table.column("home").to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(likely(words, home, table.column("side").to_numpy(), table.column("alone")[0].as_py(), most))
-            if len(some):
-                kept.append(table.drop_columns(names).take(pa.array(some)))
-                rows += len(some)
-            if rows >= 10_000:
-                yield from pa.concat_tables(kept).combine_chunks().to_batches()
-                kept, rows = [], 0
-        if kept:
-            yield from pa.concat_tables(kept).combine_chunks().to_batches()
+            side = table.column("side").to_numpy()
+            home, alone = (table.column(c).to_numpy() for c in ("home", "alone"))
+            a, b, large = run_pairs(table.column("unit").to_numpy())
+            close = (unequal(words[a], words[b]) <= most) & (home[a] | home[b]) & (alone[a] | (side[a] != side[b]))
+            kept = np.zeros(table.num_rows, bool)
+            kept[a[close]] = kept[b[close]] = True
+            for run in large:
+                kept[run] = likely(words[run], home[run], side[run], alone[run.start], most)
+            if kept.any():
+                yield from table.drop_columns(names).filter(pa.array(kept)).combine_chunks().to_batches()
 
     near = map_batches(units.repartition("unit").sortWithinPartitions("unit"), screen, "unit long, key long, rep long, home boolean, side int, alone boolean")
     wanted = near.groupBy("rep").agg(F.collect_list(F.struct("unit", "key", "home", "side", "alone")).alias("u"))
     ready = filed.select("rep", "v", "copies", "keys").join(wanted, "rep").withColumn("u", F.explode("u")).select("u.unit", "u.key", "rep", "copies", "u.home", "u.side", "u.alone", "v", "keys")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, "unit"):
-            if table.num_rows < 2:
-                continue
+        for table in whole_runs(batches, "unit"):
             rep, copies, side, key = (table.column(c).to_numpy() for c in ("rep", "copies", "side", "key"))
-            home = table.column("home").to_numpy(zero_copy_only=False)
-            n = len(rep)
-            x = pc.list_flatten(table.column("v")).to_numpy().astype(np.float64)
-            if len(x) % n:
-                continue  # lengths differ: two groups with one hash
-            x = x.reshape(n, -1)
-            x = x / np.abs(x).max(1, keepdims=True)
+            home, alone = (table.column(c).to_numpy() for c in ("home", "alone"))
+            n = table.num_rows
+            size = pc.list_value_length(table.column("v")).to_numpy()
+            x = np.zeros((n, size.max()))
+            x[np.arange(x.shape[1]) < size[:, None]] = pc.list_flatten(table.column("v")).to_numpy()
+            x /= np.abs(x).max(1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            hit = np.triu(x @ x.T >= cosine, 1) & (home[:, None] | home[None, :])
-            if not table.column("alone")[0].as_py():
-                hit &= side[:, None] != side[None, :]
-            a, b = np.nonzero(hit)
-            if not len(a):
-                continue
             filed_at = pc.list_flatten(table.column("keys")).to_numpy().reshape(n, tables, probes + 1)
-            once = np.zeros(len(a), bool)
-            for c in range(0, len(a), 200_000):
-                once[c : c + 200_000] = first_meeting(filed_at[a[c : c + 200_000]], filed_at[b[c : c + 200_000]]) == key[0]
-            a, b = a[once], b[once]
+            a, b, large = run_pairs(table.column("unit").to_numpy())
+            links = []
+            for run in [None, *large]:
+                if run is None:
+                    sure = np.zeros(len(a), bool)
+                else:
+                    value = x[run] @ x[run].T
+                    a, b = np.nonzero(np.triu(value >= cosine - ROUNDING, 1))
+                    sure = value[a, b] >= cosine + ROUNDING
+                    a, b = a + run.start, b + run.start
+                fits = (home[a] | home[b]) & (alone[a] | (side[a] != side[b])) & (size[a] == size[b])
+                a, b, sure = a[fits], b[fits], sure[fits]
+                for c in range(0, len(a), PAIRS_AT_ONCE):
+                    i, j, hit = (y[c : c + PAIRS_AT_ONCE] for y in (a, b, sure))
+                    open_ = np.flatnonzero(~hit)
+                    hit[open_] = np.einsum("ij,ij->i", x[i[open_]], x[j[open_]]) >= cosine
+                    i, j = i[hit], j[hit]
+                    once = first_meeting(filed_at[i], filed_at[j]) == key[i]
+                    links.append((i[once], j[once]))
+            a, b = (np.concatenate(y) for y in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
             if not len(a):
                 continue
             number = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
